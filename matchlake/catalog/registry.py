@@ -23,6 +23,11 @@ class Query:
         return None if self.oracle is None else oracle_with_fixtures(self.oracle)
 
 
+def rnd(expr: str, digits: int) -> str:
+    """Oracle text for ``stable_round``: half-up rounding in decimals, so that ties do not depend on binary fractions."""
+    return f"CAST(round(CAST({expr} AS DECIMAL(28, 9)), {digits}) AS DOUBLE)"
+
+
 QUERIES: dict[str, Query] = {}
 
 

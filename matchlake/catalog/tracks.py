@@ -228,16 +228,16 @@ st AS (SELECT video_id, track_id, sum(least(step_m, 25e0 / 2.23694e0 / 10 * 2))
 fast AS (SELECT video_id, track_id, coalesce(sum(step_m) FILTER (WHERE sustained_mph >= 12.3), 0) / 1000 AS hsr_km,
   coalesce(sum(step_m) FILTER (WHERE sustained_mph >= 15.7), 0) / 1000 AS sprint_km FROM sus GROUP BY video_id, track_id),
 vf AS (SELECT video_id AS v, max(frame) + 1 AS frames FROM fx_detections GROUP BY video_id)
-SELECT b.video_id, b.track_id, round(top_speed_mph, 2) AS top_speed_mph, round(top_speed_mph * 1.60934e0, 2) AS top_speed_kmh,
-  round(km, 3) AS distance_km, round(km * 1000, 1) AS distance_m, round((t1 - t0) / 60, 2) AS minutes_played,
-  round((t1 - t0) / 60 * 60, 1) AS minutes_played_s, round(n / 10e0 / 60, 2) AS visible_minutes,
-  round(n / 10e0 / 60 * 60, 1) AS visible_minutes_s, round(km * 1000 / (n / 10e0 / 60), 2) AS distance_per_min_m,
-  round(ax, 2) AS avg_pitch_x, round(ay, 2) AS avg_pitch_y, round(hsr_km, 3) AS high_speed_distance_km,
-  round(sprint_km, 3) AS sprint_distance_km, coalesce(hc.c, 0) AS hsr_count, coalesce(sc.c, 0) AS sprint_count,
+SELECT b.video_id, b.track_id, CAST(round(CAST(top_speed_mph AS DECIMAL(28, 9)), 2) AS DOUBLE) AS top_speed_mph, CAST(round(CAST(top_speed_mph * 1.60934e0 AS DECIMAL(28, 9)), 2) AS DOUBLE) AS top_speed_kmh,
+  CAST(round(CAST(km AS DECIMAL(28, 9)), 3) AS DOUBLE) AS distance_km, CAST(round(CAST(km * 1000 AS DECIMAL(28, 9)), 1) AS DOUBLE) AS distance_m, CAST(round(CAST((t1 - t0) / 60 AS DECIMAL(28, 9)), 2) AS DOUBLE) AS minutes_played,
+  CAST(round(CAST((t1 - t0) / 60 * 60 AS DECIMAL(28, 9)), 1) AS DOUBLE) AS minutes_played_s, CAST(round(CAST(n / 10e0 / 60 AS DECIMAL(28, 9)), 2) AS DOUBLE) AS visible_minutes,
+  CAST(round(CAST(n / 10e0 / 60 * 60 AS DECIMAL(28, 9)), 1) AS DOUBLE) AS visible_minutes_s, CAST(round(CAST(km * 1000 / (n / 10e0 / 60) AS DECIMAL(28, 9)), 2) AS DOUBLE) AS distance_per_min_m,
+  CAST(round(CAST(ax AS DECIMAL(28, 9)), 2) AS DOUBLE) AS avg_pitch_x, CAST(round(CAST(ay AS DECIMAL(28, 9)), 2) AS DOUBLE) AS avg_pitch_y, CAST(round(CAST(hsr_km AS DECIMAL(28, 9)), 3) AS DOUBLE) AS high_speed_distance_km,
+  CAST(round(CAST(sprint_km AS DECIMAL(28, 9)), 3) AS DOUBLE) AS sprint_distance_km, coalesce(hc.c, 0) AS hsr_count, coalesce(sc.c, 0) AS sprint_count,
   coalesce(hc.c, 0) + coalesce(sc.c, 0) AS hi_efforts_count,
-  round(z1, 3) AS zone_walk_km, round(z2, 3) AS zone_jog_km, round(z3, 3) AS zone_run_km, round(z4, 3) AS zone_hsr_km,
-  round(z5, 3) AS zone_sprint_km, coalesce(accel_count_high, 0) AS accel_count_high,
-  coalesce(decel_count_high, 0) AS decel_count_high, round(n * 100e0 / frames, 2) AS coverage_pct,
+  CAST(round(CAST(z1 AS DECIMAL(28, 9)), 3) AS DOUBLE) AS zone_walk_km, CAST(round(CAST(z2 AS DECIMAL(28, 9)), 3) AS DOUBLE) AS zone_jog_km, CAST(round(CAST(z3 AS DECIMAL(28, 9)), 3) AS DOUBLE) AS zone_run_km, CAST(round(CAST(z4 AS DECIMAL(28, 9)), 3) AS DOUBLE) AS zone_hsr_km,
+  CAST(round(CAST(z5 AS DECIMAL(28, 9)), 3) AS DOUBLE) AS zone_sprint_km, coalesce(accel_count_high, 0) AS accel_count_high,
+  coalesce(decel_count_high, 0) AS decel_count_high, CAST(round(CAST(n * 100e0 / frames AS DECIMAL(28, 9)), 2) AS DOUBLE) AS coverage_pct,
   det AS detected_frames, total AS total_frames,
   CASE WHEN pts >= 4 THEN 'High' WHEN pts >= 2 THEN 'Medium' ELSE 'Low' END AS injury_risk
 FROM (SELECT b.*, st.* EXCLUDE (video_id, track_id), fast.hsr_km, fast.sprint_km,

@@ -177,6 +177,27 @@ SELECT log_id AS line, upload_id,
        CASE WHEN log_id % 19 = 0 THEN '900' WHEN log_id % 5 = 0 THEN ' ' ELSE CAST(60 + log_id % 100 AS STRING) END AS heart_rate,
        CASE WHEN log_id % 41 = 0 THEN '3.5' ELSE CAST(log_id % 40 AS STRING) END AS sprints
 FROM {fx_logs}""",
+    # track fragments of one player in one video, as the tracker reports them
+    "fx_fragments": """
+SELECT o_custkey AS player_id, o_orderkey AS video_id, CAST(l_linenumber AS BIGINT) AS track_id, l_partkey AS part_id,
+       CAST(12 + l_linenumber AS DOUBLE) AS top_speed_mph,
+       CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE CAST(19 + l_linenumber AS DOUBLE) END AS top_speed_kmh,
+       CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_quantity / 20 END AS distance_km,
+       CASE WHEN l_linenumber % 2 = 0 THEN NULL ELSE l_quantity * 50 END AS distance_m,
+       CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE l_quantity END AS minutes_played,
+       CASE WHEN l_linenumber % 2 = 1 THEN NULL ELSE l_quantity * 60 END AS minutes_played_s,
+       CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE l_quantity - 3 END AS visible_minutes,
+       CASE WHEN l_linenumber % 4 <> 1 THEN NULL ELSE l_quantity * 60 - 200 END AS visible_minutes_s,
+       CASE WHEN l_partkey % 6 = 0 THEN NULL ELSE l_quantity * 1.5 END AS coverage_pct,
+       CASE WHEN l_partkey % 8 = 0 THEN NULL ELSE l_quantity * 3 END AS distance_per_min_m,
+       CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE CAST(l_partkey % 105 AS DOUBLE) END AS avg_pitch_x,
+       CAST(l_partkey % 68 AS DOUBLE) AS avg_pitch_y,
+       CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE l_suppkey % 9 END AS hsr_count,
+       CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE l_suppkey % 4 END AS sprint_count,
+       CASE WHEN l_suppkey % 2 = 0 THEN NULL ELSE l_suppkey % 11 END AS hi_efforts_count,
+       CASE l_linestatus WHEN 'F' THEN CASE WHEN l_linenumber > 5 THEN 'High' ELSE 'Low' END ELSE 'Medium' END AS injury_risk,
+       CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(30 + o_orderkey % 60 AS DOUBLE) END AS clip_minutes
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
     # stored per-cell heatmaps of each stat row (sparse), two shapes
     "fx_heatmaps": """
 SELECT stat_id, player_id, video_id, CASE WHEN stat_id % 5 = 0 THEN 12 ELSE 21 END AS grid_cols,

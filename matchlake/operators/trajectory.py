@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import constants as C
+from ..functions.numbers import stable_round
 from ..plans.blocked import BLOCK_ROWS, pos_block, with_halo, with_position
 from ..plans.materialize import reuse
 from ..plans.runs import runs
@@ -259,30 +260,30 @@ def physical(points: DataFrame, fps: float, total_frames: DataFrame | None = Non
     out = out.fillna(0.0, zero).fillna(0, counted)
     if total_frames is not None:
         out = out.join(total_frames.withColumnRenamed("total_frames", "__frames"), "video_id", "left").withColumn(
-            "coverage_pct", F.round(F.col("n_points") / F.col("__frames") * 100, 2)
+            "coverage_pct", stable_round(F.col("n_points") / F.col("__frames") * 100, 2)
         )
     else:
         out = out.withColumn("coverage_pct", F.lit(None).cast("double"))
     visible = F.col("visible_minutes")
     return out.select(
         *keys,
-        F.round("top_speed_mph", 2).alias("top_speed_mph"),
-        F.round(F.col("top_speed_mph") * C.KMH_PER_MPH_TRACK, 2).alias("top_speed_kmh"),
-        F.round("distance_km", 3).alias("distance_km"),
-        F.round(F.col("distance_km") * 1000, 1).alias("distance_m"),
-        F.round("minutes_played", 2).alias("minutes_played"),
-        F.round(F.col("minutes_played") * 60, 1).alias("minutes_played_s"),
-        F.round("visible_minutes", 2).alias("visible_minutes"),
-        F.round(visible * 60, 1).alias("visible_minutes_s"),
-        F.when(visible > 0, F.round(F.col("distance_km") * 1000 / visible, 2)).alias("distance_per_min_m"),
-        F.round("avg_pitch_x", 2).alias("avg_pitch_x"),
-        F.round("avg_pitch_y", 2).alias("avg_pitch_y"),
-        F.round("high_speed_distance_km", 3).alias("high_speed_distance_km"),
-        F.round("sprint_distance_km", 3).alias("sprint_distance_km"),
+        stable_round("top_speed_mph", 2).alias("top_speed_mph"),
+        stable_round(F.col("top_speed_mph") * C.KMH_PER_MPH_TRACK, 2).alias("top_speed_kmh"),
+        stable_round("distance_km", 3).alias("distance_km"),
+        stable_round(F.col("distance_km") * 1000, 1).alias("distance_m"),
+        stable_round("minutes_played", 2).alias("minutes_played"),
+        stable_round(F.col("minutes_played") * 60, 1).alias("minutes_played_s"),
+        stable_round("visible_minutes", 2).alias("visible_minutes"),
+        stable_round(visible * 60, 1).alias("visible_minutes_s"),
+        F.when(visible > 0, stable_round(F.col("distance_km") * 1000 / visible, 2)).alias("distance_per_min_m"),
+        stable_round("avg_pitch_x", 2).alias("avg_pitch_x"),
+        stable_round("avg_pitch_y", 2).alias("avg_pitch_y"),
+        stable_round("high_speed_distance_km", 3).alias("high_speed_distance_km"),
+        stable_round("sprint_distance_km", 3).alias("sprint_distance_km"),
         "hsr_count",
         "sprint_count",
         (F.col("hsr_count") + F.col("sprint_count")).alias("hi_efforts_count"),
-        *[F.round(f"zone_{z}_km", 3).alias(f"zone_{z}_km") for z in ZONES],
+        *[stable_round(f"zone_{z}_km", 3).alias(f"zone_{z}_km") for z in ZONES],
         "accel_count_high",
         "decel_count_high",
         "coverage_pct",
