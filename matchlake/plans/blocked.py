@@ -6,7 +6,7 @@ stalls the job. The helpers here cut each key into blocks along its order:
 * ``with_position`` numbers rows per key from block counts (partial aggregation) plus a row number inside the block;
 * ``with_halo`` copies the few rows next to a block border into the neighbouring block, so any window whose row frame
   is bounded gives the same values as the window over the whole key;
-* ``running_sum`` is the prefix sum built the same way.
+* ``running`` is the prefix aggregate built the same way.
 
 Only the block table (one row per key and block) is ever windowed by the key alone.
 """
@@ -54,27 +54,58 @@ def with_position(
     )
 
 
-def running_sum(
+_RUNNING = {"sum": F.sum, "max": F.max, "min": F.min}
+
+
+def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
     block: Column,
-    sums: dict[str, Column],
+    values: dict[str, tuple[str, Column]],
     inclusive: bool = True,
 ) -> DataFrame:
-    """Prefix sums per key along ``order``; ``inclusive=False`` leaves the row itself out."""
+    """Prefix aggregates per key along ``order``; ``inclusive=False`` leaves the row itself out.
+
+    ``values`` maps an output name to ``("sum" | "max" | "min", expression)``.
+    """
     keys = list(keys)
-    src = df.withColumns({"__blk": block, **{f"__v_{c}": v for c, v in sums.items()}})
+    src = df.withColumns({"__blk": block, **{f"__v_{c}": v for c, (_, v) in values.items()}})
     before = W.partitionBy(*keys).orderBy("__blk").rowsBetween(W.unboundedPreceding, -1)
-    blocks = src.groupBy(*keys, "__blk").agg(*[F.sum(f"__v_{c}").alias(f"__t_{c}") for c in sums])
-    blocks = blocks.select(
-        *keys, "__blk", *[F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0)).alias(f"__b_{c}") for c in sums]
-    )
+    blocks = src.groupBy(*keys, "__blk").agg(*[_RUNNING[how](f"__v_{c}").alias(f"__t_{c}") for c, (how, _) in values.items()])
+    blocks = blocks.select(*keys, "__blk", *[_RUNNING[how](f"__t_{c}").over(before).alias(f"__b_{c}") for c, (how, _) in values.items()])
     inside = W.partitionBy(*keys, "__blk").orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
-    local = src.withColumns({f"__l_{c}": F.coalesce(F.sum(f"__v_{c}").over(inside), F.lit(0)) for c in sums})
+    local = src.withColumns({f"__l_{c}": _RUNNING[how](f"__v_{c}").over(inside) for c, (how, _) in values.items()})
     out = _join_blocks(local, blocks, [*keys, "__blk"])
-    out = out.withColumns({c: F.col(f"__b_{c}") + F.col(f"__l_{c}") for c in sums})
-    return out.drop("__blk", *[f"__{p}_{c}" for c in sums for p in "vlb"])
+
+    def merged(c, how):
+        b, l = F.col(f"__b_{c}"), F.col(f"__l_{c}")  # noqa: E741
+        if how == "sum":
+            return F.coalesce(b, F.lit(0)) + F.coalesce(l, F.lit(0))
+        return F.greatest(b, l) if how == "max" else F.least(b, l)
+
+    out = out.withColumns({c: merged(c, how) for c, (how, _) in values.items()})
+    return out.drop("__blk", *[f"__{p}_{c}" for c in values for p in "vlb"])
+
+
+def asof_before(
+    queries: DataFrame, facts: DataFrame, keys: Sequence[str], at: str, fact_at: str, out: str, block_size: int = BLOCK_ROWS
+) -> DataFrame:
+    """Add to each query row the greatest ``fact_at`` strictly below ``at`` within its key (null if none).
+
+    Both sides are merged into one ordered stream, so no pair of query and fact is ever built.
+    """
+    keys = list(keys)
+    cols = [c for c in queries.columns if c not in keys]
+    packed = queries.select(*keys, F.col(at).cast("bigint").alias("__at"), F.lit(0).alias("__fact"), F.struct(*cols).alias("__row"))
+    empty = F.lit(None).cast(packed.schema["__row"].dataType)
+    known = facts.select(*keys, F.col(fact_at).cast("bigint").alias("__at"), F.lit(1).alias("__fact"), empty.alias("__row")).distinct()
+    merged = packed.unionByName(known)
+    merged = running(
+        merged, keys, [F.asc("__at"), F.asc("__fact")], F.floor(F.col("__at") / F.lit(block_size)),
+        {out: ("max", F.when(F.col("__fact") == 1, F.col("__at")))},
+    )
+    return merged.where("__fact = 0").select(*keys, "__row.*", out)
 
 
 def with_halo(
