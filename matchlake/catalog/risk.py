@@ -1 +1,346 @@
-from .registry import query  # noqa: F401
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import constants as C
+from ..operators import model as M, registry as R, risk as K
+from ..plans.materialize import reuse
+from .registry import query, rnd
+
+LOAD = ["minutes_played", "visible_minutes", "sprint_count", "hsr_distance_km"]
+MODEL = M.DEFAULT_MODEL
+
+
+def stat_rows(d):
+    s = R.widen(d.fx_stats, d.fx_metrics, LOAD)
+    s = s.join(d.fx_matches.select("match_id", F.col("match_date").alias("score_date")), "match_id")
+    v = d.fx_videos.select("video_id", "adapter_source", "calibration", "distance_valid")
+    return s.join(v, "video_id", "left")
+
+
+def logs(d):
+    return K.all_logs(d.fx_logs, None)
+
+
+MET = ", ".join(f"max(value) FILTER (WHERE metric_key = '{k}') AS {k}" for k in LOAD)
+ROWS = f"""
+mw AS (SELECT stat_id AS sid, {MET} FROM fx_metrics GROUP BY stat_id),
+sr AS (SELECT s.*, {", ".join(LOAD)}, m.match_date AS score_date, adapter_source, calibration, distance_valid, p.first_name = 'Unknown' AS placeholder,
+    {rnd('top_speed_mph * 1.609344e0', 2)} AS top_speed_kmh
+  FROM fx_stats s JOIN fx_players p ON p.player_id = s.player_id JOIN fx_matches m ON m.match_id = s.match_id LEFT JOIN mw ON mw.sid = s.stat_id LEFT JOIN fx_videos v ON v.video_id = s.video_id),
+g1 AS (SELECT *, video_id IS NULL OR coalesce(adapter_source = 'stub', FALSE) AS demo FROM sr),
+g2 AS (SELECT *, NOT demo AND (calibration IS NULL OR trim(calibration) = 'none' OR calibration LIKE '%default_calibration.json') AS no_cal,
+  NOT demo AND coalesce(NOT distance_valid, FALSE) AS bad_distance,
+  CASE WHEN visible_minutes IS NOT NULL OR NOT demo THEN visible_minutes ELSE minutes_played END AS exposure FROM g1),
+g3 AS (SELECT *, exposure IS NULL OR exposure < 1 AS short FROM g2),
+gate AS (SELECT *, CASE WHEN NOT (placeholder OR no_cal OR bad_distance OR distance_km IS NULL OR short) THEN 'scored' WHEN no_cal OR bad_distance THEN 'uncalibrated'
+    ELSE 'insufficient_data' END AS score_status,
+  nullif(concat_ws('; ', CASE WHEN placeholder THEN 'no roster match (placeholder player)' END, CASE WHEN no_cal THEN 'no custom pitch calibration' END,
+    CASE WHEN bad_distance THEN 'distance_valid=false' END, CASE WHEN distance_km IS NULL THEN 'distance missing' END,
+    CASE WHEN short THEN CASE WHEN demo THEN 'exposure minutes < 1' ELSE 'visible_minutes < 1' END END), '') AS score_note,
+  CASE WHEN demo THEN 'demo' WHEN NOT (no_cal OR bad_distance) THEN 'calibrated' END AS data_quality, CASE WHEN demo THEN minutes_played END AS model_minutes FROM g3)"""
+
+
+@query("match_row_gate", "P10 P11 P12", "WITH " + ROWS + """
+SELECT stat_id, score_status, score_note, data_quality, exposure, model_minutes FROM gate""")
+def _(d):
+    p = d.fx_players.select("player_id", K.is_placeholder(F.col("first_name"), F.col("last_name"), F.col("position")).alias("placeholder"))
+    g = K.gate_match_rows(K.stat_values(stat_rows(d).join(p, "player_id")))
+    return g.select("stat_id", "score_status", "score_note", "data_quality", "exposure", "model_minutes")
+
+
+@query("calibration_predicate", "P11", """
+SELECT video_id, calibration IS NOT NULL AND trim(calibration) NOT IN ('', 'none', 'null') AND calibration NOT LIKE '%default_calibration.json' AS custom FROM fx_videos""")
+def _(d):
+    return d.fx_videos.select("video_id", K.custom_calibration(F.col("calibration")).alias("custom"))
+
+
+@query("placeholder_players", "P12 X24", """
+SELECT player_id, player_id % 40 = 0 AS placeholder, CASE WHEN player_id % 40 = 0 THEN jersey END AS jersey FROM fx_players""")
+def _(d):
+    from ..functions.text import jersey_from_placeholder
+
+    return d.fx_players.select(
+        "player_id", K.is_placeholder(F.col("first_name"), F.col("last_name"), F.col("position")).alias("placeholder"),
+        jersey_from_placeholder(F.col("last_name")).alias("jersey"),
+    )
+
+
+@query("log_row_gate", "P13", """
+SELECT log_id, CASE WHEN coalesce(gps_distance_km, heart_rate, sprints, top_speed_kmh) IS NULL THEN 'insufficient_data' ELSE 'scored' END AS score_status FROM fx_logs""")
+def _(d):
+    return K.gate_log_rows(d.fx_logs).select("log_id", "score_status")
+
+
+def ratio_sql(source: str, keys: str, order: str, load: str, name: str) -> str:
+    """Oracle text: plain windows over a whole key."""
+    return f"""
+{name}_u AS (SELECT {keys}, {order}, avg({load}) OVER (PARTITION BY {keys} ORDER BY {order} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS m4
+  FROM {source} WHERE {load} > 0),
+{name}_j AS (SELECT s.*, u.m4 FROM {source} s LEFT JOIN {name}_u u USING ({keys}, {order})),
+{name}_p AS (SELECT *, last_value(m4 IGNORE NULLS) OVER (PARTITION BY {keys} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM {name}_j),
+{name} AS (SELECT * EXCLUDE (m4, prev), CASE WHEN {load} IS NOT NULL AND prev IS NOT NULL THEN {rnd(f'least({load} / prev, 5)', 3)} END AS acwr FROM {name}_p)"""
+
+
+LG = """
+lg AS (SELECT *, log_date AS score_date, log_id AS order_id FROM fx_logs WHERE coalesce(gps_distance_km, heart_rate, sprints, top_speed_kmh) IS NOT NULL)"""
+LR = LG + "," + ratio_sql("lg", "player_id", "score_date, order_id", "gps_distance_km", "lr")
+
+
+@query("rolling_workload", "W15", "WITH " + LR + "SELECT log_id, acwr FROM lr")
+def _(d):
+    l = K.gate_log_rows(logs(d)).where("score_status = 'scored'").withColumn("score_date", F.col("log_date"))  # noqa: E741
+    return K.rolling_ratio(l, ["player_id"], ["score_date", "order_id"], "gps_distance_km").select("log_id", "acwr")
+
+
+def per_min(v, m, scale):
+    return f"CASE WHEN {m} >= 1 THEN {rnd(f'{v} * {scale} / {m}', 4)} END"
+
+
+HR = """
+hr AS (SELECT player_id, log_date AS score_date, max_by(heart_rate, log_id) AS heart_rate, max_by(heart_rate_max, log_id) AS heart_rate_max FROM (
+  SELECT player_id, log_date, log_id, coalesce(heart_rate, -1) AS heart_rate, coalesce(heart_rate_max, -1) AS heart_rate_max FROM fx_logs
+  WHERE heart_rate IS NOT NULL OR heart_rate_max IS NOT NULL) GROUP BY player_id, log_date)"""
+SM = ROWS + f""",
+sm AS (SELECT *, {per_min('distance_km', 'exposure', 1000)} AS load FROM gate WHERE score_status = 'scored')""" + "," + ratio_sql(
+    "sm", "player_id, data_quality", "score_date, stat_id", "load", "mr") + "," + HR
+MF = SM + f""",
+mf AS (SELECT mr.player_id, 'match' AS source, stat_id, CAST(NULL AS BIGINT) AS log_id, mr.score_date, data_quality, acwr, load AS distance_m_per_min,
+  {per_min('sprint_count', 'exposure', 90)} AS sprints_per_90, {per_min('hsr_distance_km', 'exposure', 1000)} AS hsr_m_per_min, top_speed_kmh,
+  model_minutes AS minutes_played, nullif(heart_rate, -1) AS heart_rate_avg, CASE WHEN nullif(heart_rate, -1) IS NULL THEN 1e0 ELSE 0e0 END AS hr_missing
+  FROM mr LEFT JOIN hr ON hr.player_id = mr.player_id AND hr.score_date = mr.score_date)"""
+LF = LR + f""",
+lf AS (SELECT player_id, 'csv' AS source, CAST(NULL AS BIGINT) AS stat_id, log_id, score_date, 'csv' AS data_quality, acwr,
+  {per_min('gps_distance_km', 'minutes_played', 1000)} AS distance_m_per_min, {per_min('sprints', 'minutes_played', 90)} AS sprints_per_90,
+  CAST(NULL AS DOUBLE) AS hsr_m_per_min, top_speed_kmh, minutes_played, heart_rate AS heart_rate_avg, CASE WHEN heart_rate IS NULL THEN 1e0 ELSE 0e0 END AS hr_missing FROM lr)"""
+FEATS = ", ".join(C.FEATURES)
+
+
+@query("log_features", "M2 X13", "WITH " + LF + f"SELECT log_id, {FEATS} FROM lf")
+def _(d):
+    l = K.gate_log_rows(logs(d)).where("score_status = 'scored'").withColumn("score_date", F.col("log_date"))  # noqa: E741
+    return K.log_features(l).select("log_id", *[F.col(f"f_{f}").alias(f) for f in C.FEATURES])
+
+
+def gated_matches(d):
+    p = d.fx_players.select("player_id", K.is_placeholder(F.col("first_name"), F.col("last_name"), F.col("position")).alias("placeholder"))
+    g = K.gate_match_rows(K.stat_values(stat_rows(d).join(p, "player_id")))
+    return g.join(K.heart_rate_by_day(logs(d)), ["player_id", "score_date"], "left")
+
+
+@query("match_features", "M1 J11 J15 X15", "WITH " + MF + f"SELECT stat_id, {FEATS} FROM mf")
+def _(d):
+    g = gated_matches(d).where("score_status = 'scored'")
+    return K.match_features(g).select("stat_id", *[F.col(f"f_{f}").alias(f) for f in C.FEATURES])
+
+
+@query("heart_rate_of_day", "J11", "WITH " + HR + """
+SELECT player_id, score_date, nullif(heart_rate, -1) AS heart_rate, nullif(heart_rate_max, -1) AS heart_rate_max FROM hr""")
+def _(d):
+    return K.heart_rate_by_day(logs(d))
+
+
+@query("display_features", "M3", """
+SELECT log_id, gps_distance_km AS distance_km, sprints AS sprint_count, minutes_played, top_speed_kmh, heart_rate AS heart_rate_avg, heart_rate_max FROM fx_logs""")
+def _(d):
+    x = d.fx_logs.select("log_id", K.display_from_log().alias("x"))
+    return x.select("log_id", "x.distance_km", "x.sprint_count", "x.minutes_played", "x.top_speed_kmh", "x.heart_rate_avg", "x.heart_rate_max")
+
+
+def z(i):
+    return f"(coalesce({C.FEATURES[i]}, {MODEL.medians[i]}e0) - {MODEL.means[i]}e0) / {MODEL.scales[i]}e0"
+
+
+LOGIT = " + ".join(f"{z(i)} * {MODEL.coefficients[i]}e0" for i in range(8)) + f" + {MODEL.intercept}e0"
+SC = MF + "," + LF.lstrip("\n") + f""",
+fr AS (SELECT * FROM mf UNION ALL SELECT * FROM lf),
+sc AS (SELECT *, 1 / (1 + exp(-({LOGIT}))) AS probability FROM fr),
+sp AS (SELECT *, {rnd('probability * 100', 1)} AS risk_percent FROM sc),
+sl AS (SELECT *, CASE WHEN risk_percent >= 70 THEN 'red' WHEN risk_percent >= 40 THEN 'yellow' ELSE 'green' END AS level FROM sp)"""
+
+
+def scored(d):
+    return K.score_rows(stat_rows(d), logs(d), d.fx_players)
+
+
+@query("risk_scores", "M9 M6 X28 U2", "WITH " + SC + f"""
+SELECT player_id, source, stat_id, log_id, score_date, risk_percent, level, {FEATS} FROM sl""")
+def _(d):
+    return scored(d).where("score_status = 'scored'").select(
+        "player_id", "source", "stat_id", "log_id", "score_date", "risk_percent", "level", *C.FEATURES
+    )
+
+
+@query("contributions", "M7", "WITH " + SC + f"""
+SELECT source, coalesce(stat_id, log_id) AS id, f.feature, {rnd('f.c', 4)} AS contribution, f.imputed FROM sl, LATERAL (
+  {" UNION ALL ".join(f"SELECT '{C.FEATURES[i]}' AS feature, {z(i)} * {MODEL.coefficients[i]}e0 AS c, {C.FEATURES[i]} IS NULL AS imputed" for i in range(8))}) f""")
+def _(d):
+    s = scored(d).where("score_status = 'scored'")
+    e = s.select("source", F.coalesce("stat_id", "log_id").alias("id"), F.explode("contributions").alias("c"))
+    return e.select("source", "id", "c.feature", "c.contribution", "c.imputed")
+
+
+@query("top_factors", "K5 K9", "WITH " + SC + f""",
+c AS (SELECT source, coalesce(stat_id, log_id) AS id, f.* FROM sl, LATERAL (
+  {" UNION ALL ".join(f"SELECT '{C.FEATURES[i]}' AS feature, {i} AS place, {rnd(f'{z(i)} * {MODEL.coefficients[i]}e0', 4)} AS c, {C.FEATURES[i]} IS NULL AS imputed" for i in range(8))}) f),
+r AS (SELECT *, row_number() OVER (PARTITION BY source, id ORDER BY abs(c) DESC, place) AS rank FROM c WHERE NOT imputed)
+SELECT source, id, rank, feature, c AS contribution, CASE WHEN c > 0 THEN 'up' ELSE 'down' END AS direction,
+  CAST(CASE WHEN max(abs(c)) OVER (PARTITION BY source, id) > 0 THEN floor(abs(c) / max(abs(c)) OVER (PARTITION BY source, id) * 100 + 0.5e0) ELSE 0 END AS BIGINT) AS width
+FROM r WHERE rank <= 5""")
+def _(d):
+    s = scored(d).where("score_status = 'scored'")
+    s = s.select("source", F.coalesce("stat_id", "log_id").alias("id"), M.factors(F.col("contributions")).alias("f"))
+    s = s.withColumn("b", M.bar_widths(F.col("f")))
+    e = s.select("source", "id", F.posexplode(F.arrays_zip("f", "b")).alias("i", "x"))
+    return e.select(
+        "source", "id", (F.col("i") + 1).cast("bigint").alias("rank"), "x.f.feature", "x.f.contribution", "x.f.direction", "x.b.width"
+    )
+
+
+ALLROWS = SC + """,
+ar AS (SELECT g.player_id, 'match' AS source, g.stat_id, CAST(NULL AS BIGINT) AS log_id, g.score_date, g.score_status, g.data_quality, s.risk_percent, coalesce(s.level, 'unknown') AS level,
+    g.stat_id * 2 AS risk_id FROM gate g LEFT JOIN (SELECT * FROM sl WHERE source = 'match') s ON s.stat_id = g.stat_id
+  UNION ALL SELECT l.player_id, 'csv', CAST(NULL AS BIGINT), l.log_id, l.log_date, CASE WHEN s.log_id IS NULL THEN 'insufficient_data' ELSE 'scored' END, 'csv', s.risk_percent, coalesce(s.level, 'unknown'),
+    l.log_id * 2 + 1 FROM fx_logs l LEFT JOIN (SELECT * FROM sl WHERE source = 'csv') s ON s.log_id = l.log_id WHERE l.player_id IN (SELECT player_id FROM fx_players)),
+la AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY score_status = 'scored' DESC, score_date DESC, source = 'match' DESC, risk_id DESC) AS rn FROM ar) WHERE rn = 1)"""
+
+
+def with_id(rows):
+    rid = F.coalesce(F.col("stat_id") * 2, F.col("log_id") * 2 + 1)
+    return rows.withColumn("risk_id", rid)
+
+
+@query("latest_score", "W30", "WITH " + ALLROWS + "SELECT player_id, risk_id, score_status, risk_percent, level FROM la")
+def _(d):
+    return K.latest_scores(with_id(scored(d)).drop("contributions", "display")).select("player_id", "risk_id", "score_status", "risk_percent", "level")
+
+
+@query("roster_report", "M10 K3 J17", "WITH " + ALLROWS + """
+SELECT p.player_id, concat(first_name, ' ', last_name) AS name, team_id, risk_percent, coalesce(level, 'unknown') AS level, coalesce(score_status, 'no_data') AS score_status,
+  source, score_date FROM fx_players p LEFT JOIN la ON la.player_id = p.player_id""")
+def _(d):
+    return K.roster_report(d.fx_players, with_id(scored(d)).drop("contributions", "display"))
+
+
+@query("risk_history", "M11", "WITH " + ALLROWS + "SELECT player_id, risk_id, score_date, risk_percent, level FROM ar")
+def _(d):
+    return K.history(with_id(scored(d))).select("player_id", "risk_id", "score_date", "risk_percent", "level")
+
+
+@query("scoring_run_summary", "A35", "WITH " + ALLROWS + "SELECT score_status, data_quality, level, count(*) AS rows FROM ar GROUP BY ALL")
+def _(d):
+    return K.run_summary(scored(d))
+
+
+@query("level_counts", "A29", "WITH " + ALLROWS + """
+SELECT team_id, count(*) FILTER (WHERE level = 'red') AS red, count(*) FILTER (WHERE level = 'yellow') AS yellow, count(*) FILTER (WHERE level = 'green') AS green,
+  count(*) FILTER (WHERE level = 'unknown') AS unknown, count(risk_percent) * 2 < count(*) AS mostly_unscored
+FROM fx_players p JOIN la ON la.player_id = p.player_id GROUP BY team_id""")
+def _(d):
+    latest = K.latest_scores(with_id(scored(d)).drop("contributions", "display"))
+    return K.level_counts(latest.join(d.fx_players.select("player_id", "team_id"), "player_id"), ["team_id"])
+
+
+@query("score_normalisation", "X29", """
+WITH s AS (SELECT log_id, CASE log_id % 5 WHEN 0 THEN ' Scored ' WHEN 1 THEN NULL WHEN 2 THEN 'uncalibrated' WHEN 3 THEN 'bogus' ELSE 'scored' END AS st,
+  CASE WHEN log_id % 7 = 0 THEN NULL ELSE CAST(log_id % 101 AS DOUBLE) END AS pct, CASE log_id % 4 WHEN 0 THEN 'RED' WHEN 1 THEN 'purple' WHEN 2 THEN 'unknown' END AS lv FROM fx_logs),
+t AS (SELECT *, CASE WHEN lower(trim(st)) IN ('scored', 'uncalibrated') THEN lower(trim(st)) WHEN pct IS NULL THEN 'no_data' ELSE 'scored' END AS st2 FROM s)
+SELECT log_id, CASE WHEN st2 = 'scored' AND pct IS NULL THEN 'no_data' ELSE st2 END AS score_status, CASE WHEN st2 = 'scored' THEN pct END AS risk_percent,
+  CASE WHEN st2 <> 'scored' OR pct IS NULL THEN 'unknown' WHEN lower(lv) = 'red' THEN 'red' WHEN pct >= 70 THEN 'red' WHEN pct >= 40 THEN 'yellow' ELSE 'green' END AS level FROM t""")
+def _(d):
+    k = F.col("log_id")
+    st = F.when(k % 5 == 0, " Scored ").when(k % 5 == 2, "uncalibrated").when(k % 5 == 3, "bogus").when(k % 5 == 4, "scored")
+    pct = F.when(k % 7 != 0, (k % 101).cast("double"))
+    lv = F.when(k % 4 == 0, "RED").when(k % 4 == 1, "purple").when(k % 4 == 2, "unknown")
+    return d.fx_logs.select("log_id", *[c.alias(n) for n, c in K.normalised_score(st, pct, lv).items()])
+
+
+@query("preview_union", "U1", """
+SELECT log_id, player_id, log_id AS order_id FROM fx_logs UNION ALL SELECT NULL, CAST(player_id AS BIGINT), 1000000000000 + line FROM fx_csv WHERE line % 23 <> 0""")
+def _(d):
+    u = d.fx_csv.where("line % 23 <> 0").select("line", F.col("player_id").cast("bigint").alias("player_id"))
+    return K.all_logs(d.fx_logs, u).select("log_id", "player_id", "order_id")
+
+
+@query("players_to_score", "U5", "SELECT player_id FROM fx_stats UNION SELECT player_id FROM fx_logs WHERE log_id % 2 = 0")
+def _(d):
+    return d.fx_stats.select("player_id").union(d.fx_logs.where("log_id % 2 = 0").select("player_id")).distinct()
+
+
+@query("replace_player_rows", "S13", """
+SELECT log_id, player_id, 'old' AS run FROM fx_logs WHERE player_id NOT IN (SELECT player_id FROM fx_logs WHERE upload_id = 3)
+UNION ALL SELECT log_id, player_id, 'new' AS run FROM fx_logs WHERE upload_id = 3""")
+def _(d):
+    old = d.fx_logs.select("log_id", "player_id", F.lit("old").alias("run"))
+    new = d.fx_logs.where("upload_id = 3").select("log_id", "player_id", F.lit("new").alias("run"))
+    return K.replace_rows(old, new, ["player_id"])
+
+
+@query("delete_upload", "S15 K7", """
+SELECT log_id, player_id FROM fx_logs WHERE upload_id <> 3 AND player_id IN (SELECT player_id FROM fx_logs WHERE upload_id = 3)""")
+def _(d):
+    kept, players = K.delete_upload(d.fx_logs, 3)
+    return K.touched(players, kept, "player_id").select("log_id", "player_id")
+
+
+TRAIN = LF + """,
+tr AS (SELECT lf.*, l.label FROM lf JOIN fx_logs l ON l.log_id = lf.log_id)"""
+
+
+def labelled(d):
+    l = K.gate_log_rows(logs(d)).where("score_status = 'scored'").withColumn("score_date", F.col("log_date"))  # noqa: E741
+    return K.log_features(l).select("player_id", "log_id", "label", *[F.col(f"f_{f}").alias(f) for f in C.FEATURES])
+
+
+@query("group_hold_out", "M5", "WITH " + TRAIN + "SELECT log_id, (player_id * 7919 + 13) % 4 = 0 AS is_test FROM tr")
+def _(d):
+    return M.hold_out(labelled(d)).select("log_id", "is_test")
+
+
+EVAL = TRAIN + f""",
+ev AS (SELECT *, heart_rate_avg IS NOT NULL AS with_hr, 1 / (1 + exp(-({LOGIT}))) AS p FROM tr WHERE (player_id * 7919 + 13) % 4 = 0)"""
+
+
+@query("model_quality", "M8", "WITH " + EVAL + """
+SELECT with_hr, count(*) AS rows, round(avg(CASE WHEN (label = 1) = (p >= 0.5) THEN 1 ELSE 0 END), 6) AS accuracy,
+  round(coalesce(count(*) FILTER (WHERE p >= 0.5 AND label = 1) / nullif(count(*) FILTER (WHERE p >= 0.5), 0), 0), 6) AS precision,
+  round(coalesce(count(*) FILTER (WHERE p >= 0.5 AND label = 1) / nullif(count(*) FILTER (WHERE label = 1), 0), 0), 6) AS recall,
+  round(avg((p - label) * (p - label)), 6) AS brier FROM ev GROUP BY with_hr""")
+def _(d):
+    s = M.score(M.hold_out(labelled(d)).where("is_test")).withColumn("with_hr", F.col("heart_rate_avg").isNotNull())
+    q = M.quality(s, ["with_hr"])
+    return q.withColumns({c: F.round(c, 6) for c in ("accuracy", "precision", "recall", "brier")})
+
+
+@query("model_auc", "M8", "WITH " + EVAL + """,
+b AS (SELECT with_hr, round(p, 6) AS q, sum(label) AS pos, sum(1 - label) AS neg FROM ev GROUP BY ALL),
+c AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY with_hr ORDER BY q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM b)
+SELECT with_hr, round(sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)), 4) AS auc FROM c GROUP BY with_hr""")
+def _(d):
+    s = M.score(M.hold_out(labelled(d)).where("is_test")).withColumn("with_hr", F.col("heart_rate_avg").isNotNull())
+    return M.auc(s, ["with_hr"]).withColumn("auc", F.round("auc", 4))
+
+
+@query("trained_model", "M4")
+def _(d):
+    fitted = M.train(M.hold_out(labelled(d)).where("not is_test"))
+    s = M.score(M.hold_out(labelled(d)).where("is_test"), fitted)
+    return s.select("log_id", "risk_percent", "level")
+
+
+@query("csv_upload_job", "M12 S5")
+def _(d):
+    """Validated text rows become logs of their player, and every touched player is scored again."""
+    from .athlete import checked
+
+    good = checked(d).where("size(errors) = 0 and matched_id is not null")
+    new = good.select(
+        "line", F.col("matched_id").alias("player_id"), "log_date", "gps_distance_km", "sprints", "heart_rate",
+        F.lit(None).cast("double").alias("minutes_played"), F.lit(None).cast("double").alias("top_speed_kmh"),
+        F.lit(None).cast("double").alias("heart_rate_max"),
+    )
+    new = reuse(new)
+    stored = K.touched(new, d.fx_logs, "player_id")
+    stats = K.touched(new, stat_rows(d), "player_id")
+    rows = K.score_rows(stats, K.all_logs(stored, new), d.fx_players)
+    return rows.select("player_id", "source", "log_id", "stat_id", "score_date", "score_status", "risk_percent", "level")
