@@ -82,7 +82,7 @@ def _(d):
 
 
 SHIFT = """b AS (SELECT video_id, frame, track_id AS rid, sx1, sy1, sx2, sy2 FROM fx_boxes),
-p AS (SELECT x.video_id, x.frame, x.track_id, rid, greatest(0, least(x2, sx2) - greatest(x1, sx1)) * greatest(0, least(y2, sy2) - greatest(y1, sy1)) AS inter
+p AS (SELECT x.video_id, x.frame, x.track_id, rid, greatest(0, least(x2, b.sx2) - greatest(x1, b.sx1)) * greatest(0, least(y2, b.sy2) - greatest(y1, b.sy1)) AS inter
   FROM fx_boxes x JOIN b ON b.video_id = x.video_id AND b.frame = x.frame),
 q AS (SELECT *, CASE WHEN inter > 0 THEN inter / (3600 + 3600 - inter) ELSE 0e0 END AS iou FROM p)"""
 
@@ -308,13 +308,17 @@ def _(d):
     return TG.ambiguity_candidates(jersey_requests(d), track_table(d))
 
 
-def followed(d):
+def follow_candidates(d):
     det = d.fx_detections.where("event_type <> 'error'").selectExpr(
         "video_id", "track_id", "frame", "t", "cx - 20 as x1", "cy - 45 as y1", "cx + 20 as x2", "cy + 45 as y2", "x as pitch_x", "y as pitch_y", "confidence"
     )
     tracks = d.fx_detections.select("video_id", "track_id", F.col("true_jersey").alias("jersey"), (F.col("track_id") % 2).alias("team")).distinct()
     targets = tracks.where("track_id % 3 = 0").select("video_id", F.col("track_id").alias("target_id"), "track_id", "jersey", "team")
-    return TG.follow(TG.candidate_frames(targets, det, tracks), 10.0)
+    return TG.candidate_frames(targets, det, tracks)
+
+
+def followed(d):
+    return TG.follow(follow_candidates(d), 10.0)
 
 
 @query("followed_target", "G9")
@@ -329,13 +333,13 @@ def _(d):
 
 
 @query("frame_candidates", "W32", """
-WITH q AS (SELECT DISTINCT video_id, 20 AS at FROM fx_detections), nr AS (SELECT d.*, at FROM fx_detections d JOIN q ON q.video_id = d.video_id WHERE abs(frame - at) <= 15),
-j AS (SELECT video_id, at, track_id, jersey, sum(CAST(confidence AS DECIMAL(20, 6))) AS w, min(frame) AS f FROM nr WHERE jersey IS NOT NULL GROUP BY ALL),
-vj AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id, at, track_id ORDER BY w DESC, f) AS rn FROM j) WHERE rn = 1),
-t AS (SELECT video_id, at, track_id, team, count(*) AS w, min(frame) AS f FROM nr GROUP BY ALL),
-vt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id, at, track_id ORDER BY w DESC, f) AS rn FROM t) WHERE rn = 1)
+WITH q AS (SELECT DISTINCT video_id, 20 AS qf FROM fx_detections), nr AS (SELECT d.*, qf FROM fx_detections d JOIN q ON q.video_id = d.video_id WHERE abs(frame - qf) <= 15),
+j AS (SELECT video_id, qf, track_id, jersey, sum(CAST(confidence AS DECIMAL(20, 6))) AS w, min(frame) AS f FROM nr WHERE jersey IS NOT NULL GROUP BY ALL),
+vj AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id, qf, track_id ORDER BY w DESC, f) AS rn FROM j) WHERE rn = 1),
+t AS (SELECT video_id, qf, track_id, team, count(*) AS w, min(frame) AS f FROM nr GROUP BY ALL),
+vt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id, qf, track_id ORDER BY w DESC, f) AS rn FROM t) WHERE rn = 1)
 SELECT nr.video_id, nr.track_id, vj.jersey AS voted_jersey, CAST(vt.team AS BIGINT) AS voted_team, nr.role AS voted_role FROM nr JOIN vt ON vt.video_id = nr.video_id AND vt.track_id = nr.track_id
-LEFT JOIN vj ON vj.video_id = nr.video_id AND vj.track_id = nr.track_id WHERE nr.frame = nr.at""")
+LEFT JOIN vj ON vj.video_id = nr.video_id AND vj.track_id = nr.track_id WHERE nr.frame = nr.qf""")
 def _(d):
     req = d.fx_detections.select("video_id").distinct().withColumn("at", F.lit(20))
     out = TG.frame_candidates(d.fx_detections.select("video_id", "track_id", "frame", "jersey", "team", "role", "confidence"), req)

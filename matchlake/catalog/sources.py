@@ -1 +1,226 @@
-from .registry import query  # noqa: F401
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import ingest as G
+from ..sources import files as S, sinks as W
+from .geometry import marked
+from .registry import query, rnd
+
+DET = "video_id, track_id, frame, confidence, x AS pitch_x, jersey AS jersey_number, role"
+
+
+def output_rows(d):
+    return d.fx_detections.selectExpr(
+        "video_id", "frame", "t as timestamp", "track_id", "'player' as class", "confidence", "x as pitch_x", "y as pitch_y", "is_detected", "jersey as jersey_number",
+        "cast(team as string) as team", "role",
+    )
+
+
+@query("detection_lists", "S1 S2", f"SELECT {DET} FROM fx_detections")
+def _(d):
+    """JSON lists on disk, each with a stray number between the objects, read back as rows."""
+    path = W.scratch_path(d.spark, "lists")
+    rows = output_rows(d)
+    obj = F.to_json(F.struct(*[c for c in rows.columns if c != "video_id"]))
+    lists = rows.groupBy("video_id", "track_id", F.floor(F.col("frame") / 50).alias("part")).agg(F.collect_list(obj).alias("o"))
+    stray = F.when(F.col("track_id") % 4 == 0, F.array(F.lit("17"))).otherwise(F.array().cast("array<string>"))
+    text = F.concat(F.lit("["), F.array_join(F.concat(F.col("o"), stray), ","), F.lit("]"))
+    lists.select("video_id", text.alias("value")).write.partitionBy("video_id").text(path)
+    back = S.read_json_list(d.spark, path, S.DETECTIONS, r"video_id=(\d+)", multi_line=False)
+    return back.select("video_id", "track_id", "frame", "confidence", "pitch_x", "jersey_number", "role")
+
+
+@query("json_export", "S11", f"SELECT {DET} FROM fx_detections")
+def _(d):
+    path = W.scratch_path(d.spark, "json")
+    W.write_files(output_rows(d), path, "json")
+    schema = "video_id bigint, track_id bigint, frame bigint, confidence double, pitch_x double, jersey_number bigint, role string"
+    return d.spark.read.schema(schema).json(path)
+
+
+@query("csv_export", "S11", "SELECT video_id, track_id, frame, x AS pitch_x, jersey AS jersey_number FROM fx_detections")
+def _(d):
+    path = W.scratch_path(d.spark, "csv")
+    W.write_files(output_rows(d).select("video_id", "track_id", "frame", "pitch_x", "jersey_number"), path, "csv")
+    return d.spark.read.option("header", True).schema("track_id bigint, frame bigint, pitch_x double, jersey_number bigint, video_id bigint").csv(path)
+
+
+@query("replace_by_video", "S12", """
+SELECT video_id, track_id, frame, CASE WHEN video_id % 3 = 1 THEN -1e0 ELSE x END AS x FROM fx_detections""")
+def _(d):
+    path = W.scratch_path(d.spark, "by-video")
+    rows = d.fx_detections.select("video_id", "track_id", "frame", "x")
+    W.replace_by_video(rows, path)
+    again = rows.where("video_id % 3 = 1").withColumn("x", F.lit(-1.0))
+    W.replace_by_video(again, path)
+    W.replace_by_video(again, path)
+    return d.spark.read.schema("track_id bigint, frame bigint, x double, video_id bigint").parquet(path)
+
+
+@query("replace_by_player", "S13", """
+SELECT log_id, player_id, CASE WHEN player_id % 10 = 3 THEN 'new' ELSE 'old' END AS run FROM fx_logs""")
+def _(d):
+    path = W.scratch_path(d.spark, "by-player")
+    schema = "log_id bigint, player_id bigint, run string, player_bucket int"
+    old = d.fx_logs.select("log_id", "player_id", F.lit("old").alias("run"))
+    W.write_partitions(old.withColumn("player_bucket", F.pmod(F.hash("player_id"), F.lit(16))), path, ["player_bucket"])
+    current = d.spark.read.schema(schema).parquet(path).drop("player_bucket")
+    W.replace_by_player(old.where("player_id % 10 = 3").withColumn("run", F.lit("new")), current, path, buckets=16)
+    return d.spark.read.schema(schema).parquet(path).drop("player_bucket")
+
+
+@query("video_metadata", "S3 S17 X26", """
+SELECT video_id, CASE WHEN video_id % 7 = 0 THEN NULL WHEN video_id % 5 = 4 THEN NULL ELSE duration_s END AS duration_s,
+  CASE WHEN video_id % 8 = 1 THEN NULL ELSE adapter_source END AS adapter_source, CASE WHEN video_id % 8 = 1 THEN NULL ELSE distance_valid END AS distance_valid,
+  CASE WHEN video_id % 8 = 1 THEN NULL WHEN video_id % 2 = 0 THEN '1280x720' ELSE '1920x1080' END AS resolution, video_id % 8 = 1 AS broken
+FROM (SELECT *, 0 AS z FROM fx_videos)""".replace("CASE WHEN video_id % 7 = 0 THEN NULL WHEN video_id % 5 = 4 THEN NULL ELSE duration_s END", "CASE WHEN video_id % 8 = 1 THEN NULL ELSE duration_s END"))
+def _(d):
+    as_text = F.to_json(F.struct("duration_s", "adapter_source", "distance_valid", "calibration", F.lit("1280x720").alias("resolution")))
+    as_pair = F.to_json(F.struct("duration_s", "adapter_source", "distance_valid", "calibration", F.array(F.lit(1920), F.lit(1080)).alias("resolution")))
+    body = F.when(F.col("video_id") % 8 == 1, '{"duration_s": 12,').when(F.col("video_id") % 2 == 0, as_text).otherwise(as_pair)
+    m = S.meta_fields(d.fx_videos.select("video_id", body.alias("body")))
+    return m.select("video_id", "duration_s", "adapter_source", "distance_valid", "resolution", "broken")
+
+
+@query("heatmap_documents", "S4", """
+SELECT stat_id AS video_id, CAST(r AS BIGINT) AS cell_row, CAST(c AS BIGINT) AS cell_col, CAST((r * 3 + c + stat_id) % 5 AS DOUBLE) AS value
+FROM (SELECT * FROM fx_heatmaps WHERE stat_id % 4 <> 1), (SELECT unnest(generate_series(0, 2)) AS r), (SELECT unnest(generate_series(0, 3)) AS c)""")
+def _(d):
+    grid = F.transform(
+        F.sequence(F.lit(0), F.lit(2)),
+        lambda r: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda c: ((r * 3 + c + F.col("stat_id")) % 5).cast("double")),
+    )
+    body = F.to_json(F.create_map((F.col("stat_id") % 30).cast("string"), grid))
+    docs = d.fx_heatmaps.select(F.col("stat_id").alias("video_id"), F.when(F.col("stat_id") % 4 == 1, "{oops").otherwise(body).alias("body"))
+    cells, _flags = S.heatmap_cells(docs)
+    return cells.select("video_id", F.col("cell_row").cast("bigint"), F.col("cell_col").cast("bigint"), "value")
+
+
+@query("heatmap_fallback_flags", "S4", "SELECT stat_id AS video_id, stat_id % 4 = 1 AS use_fallback FROM fx_heatmaps")
+def _(d):
+    body = F.to_json(F.create_map((F.col("stat_id") % 30).cast("string"), F.array(F.array(F.lit(1.0)))))
+    docs = d.fx_heatmaps.select(F.col("stat_id").alias("video_id"), F.when(F.col("stat_id") % 4 == 1, "{oops").otherwise(body).alias("body"))
+    return S.heatmap_cells(docs)[1]
+
+
+@query("log_files", "S5 X20", """
+SELECT upload_id, nullif(trim(player_id), '') AS player_id, nullif(date, '') AS date, nullif(trim(gps_distance), '') AS gps_distance FROM fx_csv""")
+def _(d):
+    """Athlete-log files with odd header spellings, written per upload and read back by canonical name."""
+    path = W.scratch_path(d.spark, "logs")
+    rows = d.fx_csv.select(
+        "upload_id", F.col("player_id").alias("Athlete ID"), F.col("date").alias("Session Date"), F.col("gps_distance").alias("Total-Distance km"),
+        F.lit("x").alias("colour"),
+    )
+    rows.write.partitionBy("upload_id").option("header", True).csv(path)
+    back = S.read_log_csv(d.spark, path)
+    empty = lambda c: F.nullif(F.trim(c), F.lit(""))
+    upload = F.regexp_extract("file", r"upload_id=(\d+)", 1).cast("bigint")
+    return back.select(upload.alias("upload_id"), empty("player_id").alias("player_id"), empty("date").alias("date"), empty("gps_distance").alias("gps_distance"))
+
+
+@query("calibration_points", "S6", """
+SELECT c_custkey AS camera_id, count(*) AS points, CAST(sum(u) AS DOUBLE) AS sum_u FROM customer, (SELECT unnest([100, 1800, 1400, 200 + 300, 960]) AS u) WHERE c_custkey % 6 <> 0 GROUP BY c_custkey""")
+def _(d):
+    m = marked(d).where("camera_id % 6 <> 0 or i < 3")
+    pair = F.struct(F.array("image_x", "image_y").alias("image"), F.array("pitch_x", "pitch_y").alias("pitch"))
+    docs = m.groupBy("camera_id").agg(F.collect_list(pair).alias("correspondences"))
+    return S.calibration_points(docs).groupBy("camera_id").agg(F.count(F.lit(1)).alias("points"), F.sum("image_x").alias("sum_u"))
+
+
+@query("kit_colours", "S7", """
+SELECT player_id, 2 AS kits, CAST(player_id % 256 AS BIGINT) AS r1, CAST(player_id * 7 % 256 AS BIGINT) AS g2 FROM fx_players""")
+def _(d):
+    hx = lambda c: F.lpad(F.hex(c % 256), 2, "0")
+    p = F.col("player_id")
+    text = F.concat(F.lit("#"), hx(p), F.lit("00ff, #10"), hx(p * 7), F.lit("AA,red"))
+    k = d.fx_players.select("player_id", S.kit_colours(text).alias("k"))
+    return k.select("player_id", F.size("k").alias("kits"), F.col("k")[0][0].cast("bigint").alias("r1"), F.col("k")[1][1].cast("bigint").alias("g2"))
+
+
+@query("inline_roster", "S7", """
+SELECT player_id, 'A' AS team, jersey FROM fx_players UNION ALL SELECT player_id, 'B', 7 FROM fx_players""")
+def _(d):
+    text = F.concat(F.lit("a: "), F.col("jersey").cast("string"), F.lit(",x;B:7;junk"))
+    r = d.fx_players.select("player_id", F.explode(S.roster_entries(text)).alias("e"))
+    return r.select("player_id", "e.team", "e.jersey")
+
+
+@query("ground_truth_events", "S9", """
+SELECT concat('clip', video_id) AS clip, 'sprint' AS type, track_id AS player_jersey, frame / 10e0 AS start_time_s, 12.5e0 AS distance_m FROM fx_detections WHERE frame % 25 = 0""")
+def _(d):
+    e = d.fx_detections.where("frame % 25 = 0").select(
+        "video_id", "track_id",
+        F.struct(F.lit("sprint").alias("type"), F.col("track_id").alias("player_jersey"), (F.col("frame") / 10).alias("start_time_s"), F.lit(12.5).alias("distance_m")).alias("e"),
+    )
+    docs = e.groupBy("video_id", "track_id").agg(F.collect_list("e").alias("events"))
+    body = F.to_json(F.create_map(F.concat(F.lit("clip"), F.col("video_id")), F.struct("events")))
+    return S.ground_truth_events(docs.select(body.alias("body"))).select("clip", "type", "player_jersey", "start_time_s", "distance_m")
+
+
+@query("column_backfill", "S16", f"""
+SELECT stat_id, CASE WHEN stat_id % 3 = 0 THEN 1e0 ELSE {rnd('distance_km * 1000', 2)} END AS distance_covered_meters, {rnd('top_speed_mph * 1.609344e0', 2)} AS top_speed_kmh,
+  CASE injury_risk WHEN 'High' THEN 100e0 WHEN 'Medium' THEN 50e0 ELSE 0e0 END AS fatigue_risk_score, m.value AS minutes_played
+FROM fx_stats s LEFT JOIN (SELECT * FROM fx_metrics WHERE metric_key = 'minutes_played') m ON m.stat_id = s.stat_id""".replace("SELECT stat_id,", "SELECT s.stat_id,").replace("WHEN stat_id %", "WHEN s.stat_id %"))
+def _(d):
+    from ..functions import numbers as N
+
+    none = F.lit(None).cast("double")
+    s = d.fx_stats.select(
+        "*", F.when(F.col("stat_id") % 3 == 0, 1.0).alias("distance_covered_meters"), none.alias("top_speed_kmh"), none.alias("fatigue_risk_score"), none.alias("minutes_played"),
+    )
+    m = d.fx_metrics.where("metric_key = 'minutes_played'").select("stat_id", F.col("value").alias("__m"))
+    s = G.fill_nulls(
+        s.join(m, "stat_id", "left"),
+        {
+            "distance_covered_meters": N.metres_from_km(F.col("distance_km")), "top_speed_kmh": N.kmh_from_mph(F.col("top_speed_mph")),
+            "fatigue_risk_score": N.fatigue_score(F.col("injury_risk")), "minutes_played": F.col("__m"),
+        },
+    )
+    return s.select("stat_id", "distance_covered_meters", "top_speed_kmh", "fatigue_risk_score", "minutes_played")
+
+
+# ---- full ingest ----------------------------------------------------------------------------------------------
+def ingested(d):
+    det = d.fx_detections.selectExpr(
+        "video_id", "track_id", "frame", "jersey", "cast(team as string) as team", "role", "'player' as class", "confidence", "x", "y",
+        "cx - 20 as x1", "cy - 45 as y1", "cx + 20 as x2", "cy + 45 as y2",
+    )
+    t = det.groupBy("video_id", "track_id").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"))
+    none = F.lit(None)
+    frag = t.select(
+        "video_id", "track_id", none.cast("bigint").alias("jersey"), none.cast("string").alias("team"), none.cast("string").alias("role"),
+        (F.col("n") / 4).alias("top_speed_mph"), none.cast("double").alias("top_speed_kmh"), (F.col("n") / 20).alias("distance_km"),
+        none.cast("double").alias("distance_m"), (F.col("n") / 2).alias("minutes_played"), none.cast("double").alias("minutes_played_s"),
+        (F.col("n") / 3).alias("visible_minutes"), none.cast("double").alias("visible_minutes_s"), (F.col("n") * 1.0).alias("coverage_pct"),
+        none.cast("double").alias("distance_per_min_m"), F.when(F.col("track_id") % 2 == 0, F.round("mx", 6)).alias("avg_pitch_x"),
+        F.when(F.col("track_id") % 2 == 0, 34.0).alias("avg_pitch_y"), F.col("n").alias("hsr_count"), F.col("n").alias("sprint_count"),
+        none.cast("bigint").alias("hi_efforts_count"), F.lit("Low").alias("injury_risk"), none.cast("double").alias("clip_minutes"),
+    )
+    v = d.fx_detections.select("video_id").distinct().select(
+        "video_id", (F.col("video_id") % 25).alias("home_team_id"), ((F.col("video_id") + 7) % 25).alias("away_team_id")
+    )
+    return G.ingest(det, frag, v, d.fx_players)
+
+
+@query("ingested_statistics", "G15 A5 A9")
+def _(d):
+    return ingested(d)["stats"]
+
+
+@query("ingested_metrics", "G15")
+def _(d):
+    return ingested(d)["metrics"]
+
+
+@query("ingested_detections", "G15 X5 X23", """
+SELECT video_id, track_id, frame AS frame_number, role AS object_class, cx AS x_center, cy AS y_center, 40e0 AS width, 90e0 AS height FROM fx_detections""")
+def _(d):
+    out = ingested(d)["detections"]
+    return out.select("video_id", "track_id", "frame_number", "object_class", "x_center", "y_center", "width", "height")
+
+
+@query("ingested_heatmaps", "G15 A15")
+def _(d):
+    return ingested(d)["heatmap"]

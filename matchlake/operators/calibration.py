@@ -42,21 +42,21 @@ def fit(points: DataFrame) -> DataFrame:
     return points.select(*cols).join(enough, "camera_id", "left_semi").groupBy("camera_id").applyInPandas(_fit, _FIT_SCHEMA)
 
 
-def quality(points: DataFrame, cameras: DataFrame, inlier_m: float = 3.0, limit_m: float = 5.0) -> DataFrame:
+def quality(points: DataFrame, cameras: DataFrame, inlier: float = 5.0, limit: float = 10.0) -> DataFrame:
     """Reprojection errors per camera; ``accepted`` is false when the mean error is above the limit."""
     x, y = project(F.col("image_x"), F.col("image_y"))
     e = points.join(cameras, "camera_id").withColumn(
         "error", F.sqrt(F.pow(x - F.col("pitch_x"), 2) + F.pow(y - F.col("pitch_y"), 2))
     )
-    inlier = F.col("error") <= inlier_m
+    close = F.col("error") <= inlier
     out = e.groupBy("camera_id").agg(
         F.count(F.lit(1)).alias("points"),
-        F.count(F.when(inlier, 1)).alias("inliers"),
-        (F.count(F.when(inlier, 1)) / F.count(F.lit(1))).alias("inlier_ratio"),
+        F.count(F.when(close, 1)).alias("inliers"),
+        (F.count(F.when(close, 1)) / F.count(F.lit(1))).alias("inlier_ratio"),
         F.avg("error").alias("mean_error"),
         F.max("error").alias("max_error"),
     )
-    return out.withColumn("accepted", F.coalesce(F.col("mean_error") <= limit_m, F.lit(False)))
+    return out.withColumn("accepted", F.coalesce(F.col("mean_error") <= limit, F.lit(False)))
 
 
 def smooth(matrices: DataFrame, alpha: float = 0.8) -> DataFrame:

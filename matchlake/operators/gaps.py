@@ -262,10 +262,13 @@ class BallFilter:
 BALL_SCHEMA = "video_id bigint, track_id bigint, frame bigint, cx double, cy double, is_detected boolean, gated boolean"
 
 
-def ball_rows(fps: float):
-    """Step function for ``ordered_scan``: detections in, one row per frame out (predicted where missing or gated)."""
-    ball = BallFilter(fps)
-    seen: list[int] = []
+def ball_rows(fps: float, ball: BallFilter | None = None, seen: list[int] | None = None):
+    """Step function for ``ordered_scan``: detections in, one row per frame out (predicted where missing or gated).
+
+    ``seen`` holds the last frame handled; both arguments let a stream resume from stored state.
+    """
+    ball = ball or BallFilter(fps)
+    seen = [] if seen is None else seen
 
     def step(part: pd.DataFrame) -> pd.DataFrame:
         out = []

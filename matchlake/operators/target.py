@@ -110,9 +110,22 @@ class Follower:
         self.box = None
         self.place = None
         self.missing = 0
-        self.state = "tracked"
+        self.state = "lost"
         self.next_frame = 0
 
+    def snapshot(self) -> dict:
+        num = lambda v: None if v is None else float(v)
+        return {
+            "tracks": sorted(int(t) for t in self.tracks), "box": None if self.box is None else [num(v) for v in self.box],
+            "place": None if self.place is None else [num(v) for v in self.place], "missing": self.missing, "state": self.state,
+            "next": int(self.next_frame),
+        }
+
+    def restore(self, s: dict) -> None:
+        self.tracks, self.missing, self.state, self.next_frame = set(s["tracks"]), s["missing"], s["state"], s["next"]
+        self.box = None if s["box"] is None else tuple(s["box"])
+        self.place = None if s["place"] is None else tuple(s["place"])
+
     def near(self, b) -> bool:
         """Within reach of the last known place, with half as much again for measurement error."""
         if self.place is None or b["pitch_x"] is None or b["pitch_y"] is None or np.isnan(b["pitch_x"]) or np.isnan(b["pitch_y"]):
@@ -160,8 +173,8 @@ class Follower:
         return (frame, t, *self.box, round(b["confidence"], 3), self.state, "detected", b["track_id"])
 
 
-def follow_rows(fps: float):
-    f = Follower(fps)
+def follow_rows(fps: float, f: Follower | None = None):
+    f = f or Follower(fps)
 
     def step(part: pd.DataFrame) -> pd.DataFrame:
         out = []
