@@ -48,7 +48,7 @@ def _(d):
 
 @query("row_normalisation", "X31 X30", f"""
 SELECT part_id, track_id, video_id, coalesce(top_speed_kmh, {rnd('top_speed_mph * 1.609344e0', 2)}) AS kmh, {rnd('coalesce(distance_m, distance_km * 1000)', 2)} AS metres,
-  least(100e0, greatest(0e0, coverage_pct)) AS coverage, avg_pitch_x IS NOT NULL AS placed FROM fx_fragments""")
+  CASE WHEN coverage_pct IS NOT NULL THEN least(100e0, greatest(0e0, coverage_pct)) END AS coverage, avg_pitch_x IS NOT NULL AS placed FROM fx_fragments""")
 def _(d):
     from ..operators.stats import position_struct
 

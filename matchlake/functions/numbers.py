@@ -58,7 +58,7 @@ def fatigue_label(score: Column) -> Column:
 
 
 def fatigue_percent(score: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), score))
+    return F.when(score.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)))
 
 
 def risk_rank(risk: Column) -> Column:

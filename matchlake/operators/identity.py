@@ -242,7 +242,7 @@ def stats_per_uid(stats: DataFrame, mapping: DataFrame) -> DataFrame:
     out = j.groupBy("video_id", "player_uid").agg(
         *[F.sum(c).alias(c) for c in summed if c in j.columns],
         F.max("top_speed_mph").alias("top_speed_mph"),
-        F.least(F.sum("coverage_pct"), F.lit(100.0)).alias("coverage_pct"),
+        F.when(F.sum("coverage_pct") > 100, 100.0).otherwise(F.sum("coverage_pct")).alias("coverage_pct"),
         F.min_by("team", "track_id").alias("team"),
         F.min_by("role", "track_id").alias("role"),
         F.count(F.lit(1)).alias("tracks"),

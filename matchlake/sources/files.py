@@ -67,7 +67,7 @@ def read_json_list(
 
 def read_text_files(spark: SparkSession, path: str, id_from_path: str) -> DataFrame:
     """(video_id, body) of whole small files."""
-    df = spark.read.option("wholetext", True).text(path).withColumnRenamed("value", "body")
+    df = spark.read.text(path, wholetext=True).withColumnRenamed("value", "body")
     return df.select(F.regexp_extract(F.input_file_name(), id_from_path, 1).cast("bigint").alias("video_id"), "body")
 
 
@@ -167,8 +167,8 @@ def read_log_csv(spark: SparkSession, path: str) -> DataFrame:
     """
     from ..operators.athlete import header_positions
 
-    body = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
-    lines = F.split(F.regexp_replace(F.col("value"), "^﻿", ""), "\r\n|\n|\r")
+    body = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    lines = F.split(F.regexp_replace(F.col("value"), "^\\uFEFF", ""), "\r\n|\n|\r")
     rows = body.select("file", F.posexplode(lines).alias("i", "text"))
     rows = rows.where(F.regexp_replace("text", "[,\\s]", "") != "")
     headers = rows.where("i = 0").select(F.col("text").alias("header")).distinct().limit(1000).collect()
