@@ -11,7 +11,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .plans.blocked import with_position
+from .plans.blocked import needs_split, with_position
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
@@ -227,6 +227,14 @@ class Data:
         self.spark = spark
         self.sf_dir = sf_dir
         self._frames: dict[str, DataFrame] = {}
+        self._split: bool | None = None
+
+    @property
+    def split_tracks(self) -> bool:
+        """Whether any track is too long for one task, from a count of the events per user."""
+        if self._split is None:
+            self._split = needs_split(self.events, ["user_id"])
+        return self._split
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
@@ -259,7 +267,7 @@ class Data:
             "ts",
         )
         minute = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 60)
-        e = with_position(e, ["track_id"], [F.asc("ts"), F.asc("event_id")], minute, out="frame").drop("ts")
+        e = with_position(e, ["track_id"], [F.asc("ts"), F.asc("event_id")], minute, out="frame", split=self.split_tracks).drop("ts")
         # steps repeat every 75 frames, so the running sum has a closed form
         steps = F.array(*[F.lit(s) for s in (5, 20, 45, 65, 85)])
 

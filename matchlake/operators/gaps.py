@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import constants as C
 from ..functions.numbers import stable_round
-from ..plans.blocked import BLOCK_ROWS, asof_before, running, with_halo, with_position
+from ..plans.blocked import BLOCK_ROWS, asof_before, needs_split, running, with_halo, with_position
 from ..plans.runs import runs
 from ..plans.scan import ordered_scan
 
@@ -18,8 +18,9 @@ KEYS = ("video_id", "track_id")
 
 
 def _neighbours(df: DataFrame, keys: Sequence[str], frame: str) -> tuple[DataFrame, W]:
-    rows = with_position(df, keys, [F.asc(frame)], F.floor(F.col(frame) / BLOCK_ROWS), out="__pos")
-    rows = with_halo(rows, "__pos", before=1, after=1)
+    split = needs_split(df, keys)
+    rows = with_position(df, keys, [F.asc(frame)], F.floor(F.col(frame) / BLOCK_ROWS), out="__pos", split=split)
+    rows = with_halo(rows, "__pos", before=1, after=1, split=split)
     return rows, W.partitionBy(*keys, "blk").orderBy("__pos")
 
 
@@ -99,9 +100,10 @@ def interval_union(intervals: DataFrame, keys: Sequence[str] = KEYS) -> DataFram
     """Merge intervals that overlap or touch."""
     block = F.floor(F.col("start") / BLOCK_ROWS)
     order = [F.asc("start"), F.asc("end")]
-    rows = running(intervals, keys, order, block, {"reach": ("max", F.col("end"))}, inclusive=False)
+    split = needs_split(intervals, keys)
+    rows = running(intervals, keys, order, block, {"reach": ("max", F.col("end"))}, inclusive=False, split=split)
     fresh = F.coalesce((F.col("start") > F.col("reach") + 1).cast("int"), F.lit(1))
-    rows = running(rows.withColumn("fresh", fresh), keys, order, block, {"island": ("sum", F.col("fresh"))})
+    rows = running(rows.withColumn("fresh", fresh), keys, order, block, {"island": ("sum", F.col("fresh"))}, split=split)
     return rows.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
@@ -214,7 +216,7 @@ def next_and_previous_issue(issue: DataFrame, at: DataFrame, keys: Sequence[str]
 def trail(frames: DataFrame, fps: float, seconds: float = 1.5, keys: Sequence[str] = KEYS) -> DataFrame:
     """Box centres of the last ``seconds`` up to each frame (dense frames), frames without a box left out."""
     n = max(1, int(seconds * fps + 0.5))
-    rows = with_halo(frames.withColumn("__pos", F.col("f")), "__pos", before=n, after=0)
+    rows = with_halo(frames.withColumn("__pos", F.col("f")), "__pos", before=n, after=0, split=needs_split(frames, keys))
     w = W.partitionBy(*keys, "blk").orderBy("f").rowsBetween(-n, 0)
     point = F.when(F.col("x").isNotNull(), F.struct("f", "x", "y"))
     return rows.withColumn("trail", F.collect_list(point).over(w)).where("is_owner").select(*keys, "f", "trail")

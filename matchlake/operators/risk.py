@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from .. import constants as C
 from ..functions.numbers import finite, per_minute, stable_round
 from ..functions.text import file_name
-from ..plans.blocked import running, with_halo
+from ..plans.blocked import needs_split, running, with_halo
 from ..plans.materialize import reuse
 from . import model as M
 
@@ -88,9 +88,10 @@ def rolling_ratio(rows: DataFrame, keys: Sequence[str], order: Sequence[str], lo
     usable = F.col(load).isNotNull() & (F.col(load) > 0)
     block = F.coalesce(F.unix_date(F.col(order[0])), F.lit(-1000000))
     sort = [F.asc_nulls_first(c) for c in order]
-    counted = running(rows, keys, sort, block, {"__seen": ("sum", usable.cast("int"))}, inclusive=False)
+    split = needs_split(rows, keys)
+    counted = running(rows, keys, sort, block, {"__seen": ("sum", usable.cast("int"))}, inclusive=False, split=split)
     history = counted.where(usable).select(*keys, "__seen", F.col(load).alias("__load"))
-    history = with_halo(history, "__seen", before=C.ACWR_SESSIONS, after=0)
+    history = with_halo(history, "__seen", before=C.ACWR_SESSIONS, after=0, split=split)
     w = W.partitionBy(*keys, "blk").orderBy("__seen").rowsBetween(-(C.ACWR_SESSIONS - 1), 0)
     history = history.withColumn("__mean", F.avg("__load").over(w)).where("is_owner")
     history = history.select(*keys, (F.col("__seen") + 1).alias("__seen"), "__mean")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import constants as C
 from ..functions.numbers import stable_round
-from ..plans.blocked import BLOCK_ROWS, pos_block, with_halo, with_position
+from ..plans.blocked import BLOCK_ROWS, needs_split, pos_block, with_halo, with_position
 from ..plans.materialize import reuse
 from ..plans.runs import runs
 from ..plans.topk import kth_largest
@@ -42,20 +42,21 @@ def _edge_mean(col: str, w, index: Column, size: Column) -> Column:
     return total / C.SMOOTHING_ROWS
 
 
-def numbered(points: DataFrame, keys: Sequence[str] = KEYS, frame: str = "frame") -> DataFrame:
+def numbered(points: DataFrame, keys: Sequence[str] = KEYS, frame: str = "frame", split: bool | None = None) -> DataFrame:
     """Position of each row in its track and the track length ``n_points``."""
     return with_position(
-        points, keys, [F.asc(frame)], F.floor(F.col(frame) / BLOCK_ROWS), out="pos", total="n_points"
+        points, keys, [F.asc(frame)], F.floor(F.col(frame) / BLOCK_ROWS), out="pos", total="n_points", split=split
     )
 
 
-def kinematics(points: DataFrame, fps: float, keys: Sequence[str] = KEYS, numbered_input: bool = False) -> DataFrame:
+def kinematics(points: DataFrame, fps: float, keys: Sequence[str] = KEYS, split: bool | None = None) -> DataFrame:
     """Per-row step length, raw and smoothed speed, and smoothed acceleration.
 
     Rows with ``pos = 0`` have no predecessor, so their step and speed are null. Speeds are mph, accelerations m/s².
     """
-    rows = points if numbered_input else numbered(points, keys)
-    rows = with_halo(rows, "pos", before=8, after=8)
+    split = needs_split(points, keys) if split is None else split
+    rows = numbered(points, keys, split=split)
+    rows = with_halo(rows, "pos", before=8, after=8, split=split)
     w = W.partitionBy(*keys, "blk").orderBy("pos")
     dt = F.col("t") - F.lag("t").over(w)
     rows = rows.withColumns(
@@ -91,7 +92,7 @@ def kinematics(points: DataFrame, fps: float, keys: Sequence[str] = KEYS, number
     return rows.where("is_owner").drop("is_owner")
 
 
-def sustained(kin: DataFrame, fps: float, keys: Sequence[str] = KEYS) -> DataFrame:
+def sustained(kin: DataFrame, fps: float, keys: Sequence[str] = KEYS, split: bool | None = None) -> DataFrame:
     """Rolling median of the plausible smoothed speeds over about one second.
 
     Implausible speeds are dropped first and the rest renumbered (``vpos`` of ``n_valid``); every value stays on the
@@ -99,8 +100,9 @@ def sustained(kin: DataFrame, fps: float, keys: Sequence[str] = KEYS) -> DataFra
     """
     size = sustained_window(fps)
     valid = kin.where(F.col("smooth_mph") <= C.MAX_PLAUSIBLE_MPH).drop("blk")
-    valid = with_position(valid, keys, [F.asc("pos")], pos_block("pos"), out="vpos", total="n_valid")
-    valid = with_halo(valid, "vpos", before=size, after=size)
+    split = needs_split(valid, keys) if split is None else split
+    valid = with_position(valid, keys, [F.asc("pos")], pos_block("pos"), out="vpos", total="n_valid", split=split)
+    valid = with_halo(valid, "vpos", before=size, after=size, split=split)
     w = W.partitionBy(*keys, "blk").orderBy("vpos")
     half = size // 2
     rolling = _median(F.collect_list("smooth_mph").over(w.rowsBetween(-half, half)))
@@ -146,7 +148,9 @@ def zone_distances() -> list[Column]:
     ]
 
 
-def bursts(sus: DataFrame, thresholds_mph: dict[str, float], fps: float, keys: Sequence[str] = KEYS) -> DataFrame:
+def bursts(
+    sus: DataFrame, thresholds_mph: dict[str, float], fps: float, keys: Sequence[str] = KEYS, split: bool | None = None
+) -> DataFrame:
     """One row per burst and kind: it starts at the threshold, holds at 90 % of it, and bridges gaps of up to 0.2 s."""
     bridge = int(C.BURST_BRIDGE_S * fps)
     dwell = int(C.BURST_DWELL_S * fps)
@@ -167,6 +171,7 @@ def bursts(sus: DataFrame, thresholds_mph: dict[str, float], fps: float, keys: S
             "n_valid": ("max", F.col("n_valid")),
         },
         block="blk",
+        split=split,
     )
     tail = F.least(F.col("n_valid") - 1 - F.col("end"), F.lit(bridge))
     length = F.col("end") - F.col("first_peak") + 1 + tail
@@ -178,19 +183,19 @@ def bursts(sus: DataFrame, thresholds_mph: dict[str, float], fps: float, keys: S
     )
 
 
-def acceleration_events(kin: DataFrame, fps: float, keys: Sequence[str] = KEYS) -> DataFrame:
+def acceleration_events(kin: DataFrame, fps: float, keys: Sequence[str] = KEYS, split: bool | None = None) -> DataFrame:
     """High accelerations and decelerations per track; a run of k dwell times counts k events."""
     dwell = int(C.ACCEL_DWELL_S * fps)
     kind = F.when(F.col("accel_ms2") >= C.ACCEL_MS2, "accel").when(F.col("accel_ms2") <= -C.ACCEL_MS2, "decel")
     rows = kin.withColumn("kind", kind).where(F.col("kind").isNotNull())
-    r = runs(rows, keys, pos="pos", state="kind", block="blk").withColumn("events", F.floor(F.col("n") / dwell))
+    r = runs(rows, keys, pos="pos", state="kind", block="blk", split=split).withColumn("events", F.floor(F.col("n") / dwell))
     return r.groupBy(*keys).agg(
         F.coalesce(F.sum(F.when(F.col("state") == "accel", F.col("events"))), F.lit(0)).alias("accel_count_high"),
         F.coalesce(F.sum(F.when(F.col("state") == "decel", F.col("events"))), F.lit(0)).alias("decel_count_high"),
     )
 
 
-def top_speed(sus: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def top_speed(sus: DataFrame, keys: Sequence[str] = KEYS, split: bool | None = None) -> DataFrame:
     """Sustained top speed without the highest 1 %, from detected rows when a track has any."""
     has_detected = sus.groupBy(*keys).agg(
         F.max(F.when(F.col("both_detected"), 1).otherwise(0)).alias("any_detected"),
@@ -198,7 +203,7 @@ def top_speed(sus: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     )
     detected = sus.where(F.col("both_detected"))
     index = F.floor(F.col("n_detected") * F.lit(0.01))
-    best = kth_largest(detected, keys, "sustained_mph", index, "n_detected", "robust")
+    best = kth_largest(detected, keys, "sustained_mph", index, "n_detected", "robust", split=split)
     return has_detected.join(best, list(keys), "left").select(
         *keys, F.coalesce("robust", "max_any").alias("top_speed_mph")
     )
@@ -230,11 +235,12 @@ def temporal(fps: float, total_frames: Column | None = None) -> list[Column]:
     return cols
 
 
-def physical(points: DataFrame, fps: float, total_frames: DataFrame | None = None) -> DataFrame:
+def physical(points: DataFrame, fps: float, total_frames: DataFrame | None = None, split: bool | None = None) -> DataFrame:
     """One row of physical metrics per track. ``total_frames`` holds (video_id, total_frames)."""
     keys = list(KEYS)
-    kin = reuse(kinematics(points.select(*keys, "frame", "x", "y", "t", "is_detected"), fps))
-    sus = reuse(sustained(kin, fps))
+    split = needs_split(points, keys) if split is None else split
+    kin = reuse(kinematics(points.select(*keys, "frame", "x", "y", "t", "is_detected"), fps, split=split))
+    sus = reuse(sustained(kin, fps, split=split))
     base = kin.groupBy(*keys).agg(
         *temporal(fps),
         F.coalesce(total_distance_km(fps), F.lit(0.0)).alias("distance_km"),
@@ -248,12 +254,12 @@ def physical(points: DataFrame, fps: float, total_frames: DataFrame | None = Non
     fast = sus.groupBy(*keys).agg(
         above(C.HSR_MPH).alias("high_speed_distance_km"), above(C.SPRINT_MPH).alias("sprint_distance_km")
     )
-    counts = bursts(sus, {"hsr": C.HSR_MPH, "sprint": C.SPRINT_MPH}, fps).groupBy(*keys).agg(
+    counts = bursts(sus, {"hsr": C.HSR_MPH, "sprint": C.SPRINT_MPH}, fps, split=split).groupBy(*keys).agg(
         F.count(F.when(F.col("kind") == "hsr", 1)).alias("hsr_count"),
         F.count(F.when(F.col("kind") == "sprint", 1)).alias("sprint_count"),
     )
     out = base.where("n_points >= 2")
-    for part in (fast, top_speed(sus), counts, acceleration_events(kin, fps)):
+    for part in (fast, top_speed(sus, split=split), counts, acceleration_events(kin, fps, split=split)):
         out = out.join(part, keys, "left")
     zero = ["high_speed_distance_km", "sprint_distance_km", "top_speed_mph"]
     counted = ["hsr_count", "sprint_count", "accel_count_high", "decel_count_high"]

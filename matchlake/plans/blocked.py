@@ -9,6 +9,10 @@ stalls the job. The helpers here cut each key into blocks along its order:
 * ``running`` is the prefix aggregate built the same way.
 
 Only the block table (one row per key and block) is ever windowed by the key alone.
+
+Cutting costs extra shuffles, so it is done only where it is needed: ``needs_split`` counts the rows of the largest key
+(one column-pruned aggregate), and keys below the limit keep the plain window with its single shuffle. Both ways give
+the same rows. ``split`` arguments take that decision once for a chain of operators; None decides on the spot.
 """
 
 from __future__ import annotations
@@ -18,6 +22,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 BLOCK_ROWS = 4096
+MAX_KEY_ROWS = 2_000_000
+LIMIT_CONF = "spark.matchlake.maxKeyRows"
+
+
+def needs_split(df: DataFrame, keys: Sequence[str]) -> bool:
+    """True when some key has more rows than one task should sort."""
+    limit = int(df.sparkSession.conf.get(LIMIT_CONF, str(MAX_KEY_ROWS)))
+    if limit <= 0:
+        return True
+    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"]
+    return largest is not None and largest > limit
 
 
 def _join_blocks(rows: DataFrame, blocks: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -31,14 +46,18 @@ def with_position(
     block: Column,
     out: str = "pos",
     total: str | None = None,
+    split: bool | None = None,
 ) -> DataFrame:
     """Add the 0-based position of each row in its key, and the number of rows of the key as ``total``.
 
     ``block`` must be non-null and must never decrease along ``order``. Keys must be non-null.
     """
     keys = list(keys)
-    src = df.withColumn("__blk", block)
     by_key = W.partitionBy(*keys)
+    if not (needs_split(df, keys) if split is None else split):
+        rows = df.withColumn(out, F.row_number().over(by_key.orderBy(*order)).cast("bigint") - 1)
+        return rows.withColumn(total, F.count(F.lit(1)).over(by_key)) if total else rows
+    src = df.withColumn("__blk", block)
     before = by_key.orderBy("__blk").rowsBetween(W.unboundedPreceding, -1)
     blocks = src.groupBy(*keys, "__blk").agg(F.count(F.lit(1)).alias("__n"))
     cols = [*keys, "__blk", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start")]
@@ -64,12 +83,17 @@ def running(
     block: Column,
     values: dict[str, tuple[str, Column]],
     inclusive: bool = True,
+    split: bool | None = None,
 ) -> DataFrame:
     """Prefix aggregates per key along ``order``; ``inclusive=False`` leaves the row itself out.
 
     ``values`` maps an output name to ``("sum" | "max" | "min", expression)``.
     """
     keys = list(keys)
+    if not (needs_split(df, keys) if split is None else split):
+        w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
+        plain = {c: _RUNNING[how](v).over(w) for c, (how, v) in values.items()}
+        return df.withColumns({c: F.coalesce(e, F.lit(0)) if values[c][0] == "sum" else e for c, e in plain.items()})
     src = df.withColumns({"__blk": block, **{f"__v_{c}": v for c, (_, v) in values.items()}})
     before = W.partitionBy(*keys).orderBy("__blk").rowsBetween(W.unboundedPreceding, -1)
     blocks = src.groupBy(*keys, "__blk").agg(*[_RUNNING[how](f"__v_{c}").alias(f"__t_{c}") for c, (how, _) in values.items()])
@@ -89,7 +113,8 @@ def running(
 
 
 def asof_before(
-    queries: DataFrame, facts: DataFrame, keys: Sequence[str], at: str, fact_at: str, out: str, block_size: int = BLOCK_ROWS
+    queries: DataFrame, facts: DataFrame, keys: Sequence[str], at: str, fact_at: str, out: str, block_size: int = BLOCK_ROWS,
+    split: bool | None = None,
 ) -> DataFrame:
     """Add to each query row the greatest ``fact_at`` strictly below ``at`` within its key (null if none).
 
@@ -103,7 +128,7 @@ def asof_before(
     merged = packed.unionByName(known)
     merged = running(
         merged, keys, [F.asc("__at"), F.asc("__fact")], F.floor(F.col("__at") / F.lit(block_size)),
-        {out: ("max", F.when(F.col("__fact") == 1, F.col("__at")))},
+        {out: ("max", F.when(F.col("__fact") == 1, F.col("__at")))}, split=split,
     )
     return merged.where("__fact = 0").select(*keys, "__row.*", out)
 
@@ -116,12 +141,15 @@ def with_halo(
     block_rows: int = BLOCK_ROWS,
     block: str = "blk",
     owner: str = "is_owner",
+    split: bool = True,
 ) -> DataFrame:
     """Copy border rows so that block ``b`` holds positions ``b*B - before .. (b+1)*B - 1 + after``.
 
     Windows over ``(keys, block)`` with frames inside ``-before .. after`` are exact for the rows where ``owner`` is
     true; drop the other rows afterwards. Row growth is ``(before + after) / block_rows``.
     """
+    if not split:
+        return df.withColumns({block: F.lit(0).cast("bigint"), owner: F.lit(True)})
     if max(before, after) >= block_rows:
         raise ValueError("the halo must be smaller than a block")
     p = F.col(pos)

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .blocked import BLOCK_ROWS
+from .blocked import BLOCK_ROWS, needs_split
 
 _MERGE = {"sum": F.sum, "min": F.min, "max": F.max}
 
@@ -24,6 +24,7 @@ def runs(
     measures: dict[str, tuple[str, Column]] | None = None,
     block: str | None = None,
     block_rows: int = BLOCK_ROWS,
+    split: bool | None = None,
 ) -> DataFrame:
     """One row per run: keys, ``state``, ``start``, ``end``, ``n`` and the merged ``measures``.
 
@@ -33,12 +34,13 @@ def runs(
     """
     keys = list(keys)
     measures = measures or {}
+    split = needs_split(rows, keys) if split is None else split
     st = F.col(state) if state else F.lit(True)
     src = rows.select(
         *keys,
         F.col(pos).alias("__pos"),
         st.alias("state"),
-        (F.col(block) if block else F.floor(F.col(pos) / F.lit(block_rows))).alias("__blk"),
+        (F.lit(0) if not split else F.col(block) if block else F.floor(F.col(pos) / F.lit(block_rows))).alias("__blk"),
         *[e.alias(f"__m_{m}") for m, (_, e) in measures.items()],
     )
     w = W.partitionBy(*keys, "__blk").orderBy("__pos")
@@ -46,7 +48,7 @@ def runs(
     fresh = prev.isNull() | (F.col("__pos") - prev - 1 > max_gap) | ~F.lag("state").over(w).eqNullSafe(F.col("state"))
     src = src.withColumn("__new", fresh.cast("int"))
     src = src.withColumn("__run", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    src = src.withColumn("__last", F.max("__run").over(W.partitionBy(*keys, "__blk")))
+    src = src.withColumn("__last", F.max("__run").over(W.partitionBy(*keys, "__blk")) if split else F.col("__run"))
     cut = src.groupBy(*keys, "__blk", "__run").agg(
         F.first("state").alias("state"),
         F.min("__pos").alias("start"),
@@ -56,6 +58,8 @@ def runs(
         *[_MERGE[how](f"__m_{m}").alias(m) for m, (how, _) in measures.items()],
     )
     out = [*keys, "state", "start", "end", "n", *measures]
+    if not split:
+        return cut.select(*out)
     at_edge = (F.col("__run") == 1) | (F.col("__run") == F.col("__last"))
     ow = W.partitionBy(*keys).orderBy("start")
     gap = F.col("start") - F.lag("end").over(ow) - 1
