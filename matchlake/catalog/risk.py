@@ -90,7 +90,7 @@ LR = LG + "," + ratio_sql("lg", "player_id", "score_date, order_id", "gps_distan
 @query("rolling_workload", "W15", "WITH " + LR + "SELECT log_id, acwr FROM lr")
 def _(d):
     l = K.gate_log_rows(logs(d)).where("score_status = 'scored'").withColumn("score_date", F.col("log_date"))  # noqa: E741
-    return K.rolling_ratio(l, ["player_id"], ["score_date", "order_id"], "gps_distance_km").select("log_id", "acwr")
+    return K.rolling_ratio(l, ["player_id"], ["score_date", "order_id"], "gps_distance_km", split=d.split_players).select("log_id", "acwr")
 
 
 def per_min(v, m, scale):
@@ -119,7 +119,7 @@ FEATS = ", ".join(C.FEATURES)
 @query("log_features", "M2 X13", "WITH " + LF + f"SELECT log_id, {FEATS} FROM lf")
 def _(d):
     l = K.gate_log_rows(logs(d)).where("score_status = 'scored'").withColumn("score_date", F.col("log_date"))  # noqa: E741
-    return K.log_features(l).select("log_id", *[F.col(f"f_{f}").alias(f) for f in C.FEATURES])
+    return K.log_features(l, d.split_players).select("log_id", *[F.col(f"f_{f}").alias(f) for f in C.FEATURES])
 
 
 def gated_matches(d):
@@ -131,7 +131,7 @@ def gated_matches(d):
 @query("match_features", "M1 J11 J15 X15", "WITH " + MF + f"SELECT stat_id, {FEATS} FROM mf")
 def _(d):
     g = gated_matches(d).where("score_status = 'scored'")
-    return K.match_features(g).select("stat_id", *[F.col(f"f_{f}").alias(f) for f in C.FEATURES])
+    return K.match_features(g, d.split_players).select("stat_id", *[F.col(f"f_{f}").alias(f) for f in C.FEATURES])
 
 
 @query("heart_rate_of_day", "J11", "WITH " + HR + """
@@ -160,7 +160,7 @@ sl AS (SELECT *, CASE WHEN risk_percent >= 70 THEN 'red' WHEN risk_percent >= 40
 
 
 def scored(d):
-    return K.score_rows(stat_rows(d), logs(d), d.fx_players)
+    return K.score_rows(stat_rows(d), logs(d), d.fx_players, split=d.split_players)
 
 
 @query("risk_scores", "M9 M6 X28 U2", "WITH " + SC + f"""
@@ -289,7 +289,7 @@ tr AS (SELECT lf.*, l.label FROM lf JOIN fx_logs l ON l.log_id = lf.log_id)"""
 
 def labelled(d):
     l = K.gate_log_rows(logs(d)).where("score_status = 'scored'").withColumn("score_date", F.col("log_date"))  # noqa: E741
-    return K.log_features(l).select("player_id", "log_id", "label", *[F.col(f"f_{f}").alias(f) for f in C.FEATURES])
+    return K.log_features(l, d.split_players).select("player_id", "log_id", "label", *[F.col(f"f_{f}").alias(f) for f in C.FEATURES])
 
 
 @query("group_hold_out", "M5", "WITH " + TRAIN + "SELECT log_id, (player_id * 7919 + 13) % 4 = 0 AS is_test FROM tr")
@@ -342,5 +342,5 @@ def _(d):
     new = reuse(new)
     stored = K.touched(new, d.fx_logs, "player_id")
     stats = K.touched(new, stat_rows(d), "player_id")
-    rows = K.score_rows(stats, K.all_logs(stored, new), d.fx_players)
+    rows = K.score_rows(stats, K.all_logs(stored, new), d.fx_players, split=d.split_players)
     return rows.select("player_id", "source", "log_id", "stat_id", "score_date", "score_status", "risk_percent", "level")

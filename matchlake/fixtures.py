@@ -228,6 +228,7 @@ class Data:
         self.sf_dir = sf_dir
         self._frames: dict[str, DataFrame] = {}
         self._split: bool | None = None
+        self._split_players: bool | None = None
 
     @property
     def split_tracks(self) -> bool:
@@ -236,6 +237,13 @@ class Data:
             self._split = needs_split(self.events, ["user_id"])
         return self._split
 
+    @property
+    def split_players(self) -> bool:
+        """Whether any player has too many sessions for one task, from a count of the orders per customer."""
+        if self._split_players is None:
+            self._split_players = needs_split(self.orders, ["o_custkey"])
+        return self._split_players
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)

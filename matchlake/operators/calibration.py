@@ -11,35 +11,50 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.geometry import H, project
 from ..plans.scan import ordered_scan
 
-_FIT_SCHEMA = "camera_id bigint, " + ", ".join(f"{h} double" for h in H)
+# upper triangle of the symmetric 9 x 9 normal matrix
+_PAIRS = [(i, j) for i in range(9) for j in range(i, 9)]
 
 
-def _fit(part: pd.DataFrame) -> pd.DataFrame:
-    """Plane homography of one camera from its marked points, by singular value decomposition."""
-    src = part[["image_x", "image_y"]].to_numpy(float)
-    dst = part[["pitch_x", "pitch_y"]].to_numpy(float)
-
-    def unit(p):
-        c = p.mean(axis=0)
-        s = np.sqrt(2) / max(np.linalg.norm(p - c, axis=1).mean(), 1e-12)
-        return np.array([[s, 0, -s * c[0]], [0, s, -s * c[1]], [0, 0, 1]])
-
-    ts, td = unit(src), unit(dst)
-    a = np.c_[src, np.ones(len(src))] @ ts.T
-    b = np.c_[dst, np.ones(len(dst))] @ td.T
-    zero = np.zeros_like(a)
-    rows = np.vstack([np.hstack([a, zero, -b[:, :1] * a]), np.hstack([zero, a, -b[:, 1:2] * a])])
-    h = np.linalg.svd(rows)[2][-1].reshape(3, 3)
-    h = np.linalg.inv(td) @ h @ ts
-    h = h / h[2, 2]
-    return pd.DataFrame([[int(part["camera_id"].iloc[0]), *h.ravel()]], columns=["camera_id", *H])
+@F.pandas_udf("array<double>")
+def _null_vector(sums: pd.Series) -> pd.Series:
+    """Eigenvector of the smallest eigenvalue of each normal matrix, for a whole batch of cameras at once."""
+    flat = np.stack(sums.to_numpy())
+    m = np.empty((len(flat), 9, 9))
+    for k, (i, j) in enumerate(_PAIRS):
+        m[:, i, j] = m[:, j, i] = flat[:, k]
+    return pd.Series(list(np.linalg.eigh(m)[1][:, :, 0]))
 
 
 def fit(points: DataFrame) -> DataFrame:
-    """One row of nine coefficients per camera with at least four marked points (a handful per camera)."""
-    enough = points.groupBy("camera_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 4").select("camera_id")
-    cols = ["camera_id", "image_x", "image_y", "pitch_x", "pitch_y"]
-    return points.select(*cols).join(enough, "camera_id", "left_semi").groupBy("camera_id").applyInPandas(_fit, _FIT_SCHEMA)
+    """Nine coefficients of the plane homography of every camera with at least four marked points.
+
+    The least-squares system is summed up by Spark (45 sums per camera); only the small eigenproblem is solved in
+    Python, in batches.
+    """
+    norm = points.groupBy("camera_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.avg(c).alias(f"m_{c}") for c in ("image_x", "image_y", "pitch_x", "pitch_y")],
+        F.sqrt(F.var_pop("image_x") + F.var_pop("image_y")).alias("s_image"),
+        F.sqrt(F.var_pop("pitch_x") + F.var_pop("pitch_y")).alias("s_pitch"),
+    ).where("n >= 4 and s_image > 0 and s_pitch > 0")
+    p = points.join(norm, "camera_id").select(
+        "camera_id",
+        *[((F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c.split('_')[0]}")).alias(a)
+          for a, c in (("u", "image_x"), ("v", "image_y"), ("x", "pitch_x"), ("y", "pitch_y"))],
+    )
+    u, v, x, y, one, zero = F.col("u"), F.col("v"), F.col("x"), F.col("y"), F.lit(1.0), F.lit(0.0)
+    r1 = [u, v, one, zero, zero, zero, -x * u, -x * v, -x]
+    r2 = [zero, zero, zero, u, v, one, -y * u, -y * v, -y]
+    sums = p.groupBy("camera_id").agg(F.array(*[F.sum(r1[i] * r1[j] + r2[i] * r2[j]) for i, j in _PAIRS]).alias("m"))
+    g = sums.select("camera_id", _null_vector("m").alias("g")).join(norm, "camera_id")
+    # undo the normalisation: pitch scale and shift on the left, image scale and shift on the right
+    e = [F.col("g")[i] for i in range(9)]
+    su, mu, mv = F.col("s_image"), F.col("m_image_x"), F.col("m_image_y")
+    right = [[e[r] / su, e[r + 1] / su, e[r + 2] - (e[r] * mu + e[r + 1] * mv) / su] for r in (0, 3, 6)]
+    sp = F.col("s_pitch")
+    top = [[right[k][c] * sp + F.col(m) * right[2][c] for c in range(3)] for k, m in ((0, "m_pitch_x"), (1, "m_pitch_y"))]
+    h = [*top[0], *top[1], *right[2]]
+    return g.select("camera_id", *[(c / h[8]).alias(n) for c, n in zip(h, H)])
 
 
 def quality(points: DataFrame, cameras: DataFrame, inlier: float = 5.0, limit: float = 10.0) -> DataFrame:

@@ -78,7 +78,9 @@ def gate_log_rows(logs: DataFrame) -> DataFrame:
 
 
 # ---- rolling workload -------------------------------------------------------------------------------------------
-def rolling_ratio(rows: DataFrame, keys: Sequence[str], order: Sequence[str], load: str, out: str = "acwr") -> DataFrame:
+def rolling_ratio(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], load: str, out: str = "acwr", split: bool | None = None
+) -> DataFrame:
     """Load relative to the mean of the last four usable loads before it, capped; null without history.
 
     Each row looks up the mean by the number of usable loads before it, so the history of a key can be spread over
@@ -88,7 +90,7 @@ def rolling_ratio(rows: DataFrame, keys: Sequence[str], order: Sequence[str], lo
     usable = F.col(load).isNotNull() & (F.col(load) > 0)
     block = F.coalesce(F.unix_date(F.col(order[0])), F.lit(-1000000))
     sort = [F.asc_nulls_first(c) for c in order]
-    split = needs_split(rows, keys)
+    split = needs_split(rows, keys) if split is None else split
     counted = running(rows, keys, sort, block, {"__seen": ("sum", usable.cast("int"))}, inclusive=False, split=split)
     history = counted.where(usable).select(*keys, "__seen", F.col(load).alias("__load"))
     history = with_halo(history, "__seen", before=C.ACWR_SESSIONS, after=0, split=split)
@@ -119,10 +121,10 @@ def match_load() -> Column:
     return per_minute(F.col("distance_km"), F.col("exposure"), 1000.0)
 
 
-def match_features(rows: DataFrame) -> DataFrame:
+def match_features(rows: DataFrame, split: bool | None = None) -> DataFrame:
     """Model features of gated match rows (only scored rows build history)."""
     rows = rows.withColumn("load", match_load())
-    rows = rolling_ratio(rows, ["player_id", "data_quality"], ["score_date", "stat_id"], "load")
+    rows = rolling_ratio(rows, ["player_id", "data_quality"], ["score_date", "stat_id"], "load", split=split)
     e = F.col("exposure")
     hr = F.col("heart_rate")
     return rows.withColumns(
@@ -139,8 +141,8 @@ def match_features(rows: DataFrame) -> DataFrame:
     ).drop("acwr", "load")
 
 
-def log_features(logs: DataFrame) -> DataFrame:
-    logs = rolling_ratio(logs, ["player_id"], ["score_date", "order_id"], "gps_distance_km")
+def log_features(logs: DataFrame, split: bool | None = None) -> DataFrame:
+    logs = rolling_ratio(logs, ["player_id"], ["score_date", "order_id"], "gps_distance_km", split=split)
     m, hr = F.col("minutes_played"), F.col("heart_rate")
     return logs.withColumns(
         {
@@ -193,20 +195,23 @@ ROW = [
 
 
 def score_rows(
-    stats: DataFrame, logs: DataFrame, players: DataFrame, model: M.RiskModel = M.DEFAULT_MODEL
+    stats: DataFrame, logs: DataFrame, players: DataFrame, model: M.RiskModel = M.DEFAULT_MODEL, split: bool | None = None
 ) -> DataFrame:
     """Scored sessions of both sources.
 
     ``stats``: one row per stat with its values, video meta and ``score_date``; ``logs`` as from ``all_logs``;
-    ``players``: id and names. Rows of unknown players are left out.
+    ``players``: id and names. Rows of unknown players are left out. ``split`` says whether some player has more
+    sessions than one task should sort; None counts them.
     """
+    if split is None:
+        split = needs_split(logs, ["player_id"]) or needs_split(stats, ["player_id"])
     p = players.select(
         "player_id", is_placeholder(F.col("first_name"), F.col("last_name"), F.col("position")).alias("placeholder")
     )
     m = stat_values(stats.join(p, "player_id"))
     m = reuse(gate_match_rows(m).join(heart_rate_by_day(logs), ["player_id", "score_date"], "left"))
     scored = F.col("score_status") == "scored"
-    mf = match_features(m.where(scored)).unionByName(m.where(~scored), allowMissingColumns=True)
+    mf = match_features(m.where(scored), split).unionByName(m.where(~scored), allowMissingColumns=True)
     mf = mf.select(
         "player_id", F.lit("match").alias("source"), "stat_id", F.lit(None).cast("bigint").alias("log_id"), "match_id", "video_id",
         "score_date", "score_status", "score_note", "data_quality", display_from_stat(mf).alias("display"),
@@ -214,7 +219,7 @@ def score_rows(
     )
     lg = logs.join(p.select("player_id"), "player_id", "left_semi").withColumn("score_date", F.col("log_date"))
     lg = reuse(gate_log_rows(lg))
-    lf = log_features(lg.where(scored)).unionByName(lg.where(~scored), allowMissingColumns=True)
+    lf = log_features(lg.where(scored), split).unionByName(lg.where(~scored), allowMissingColumns=True)
     none = F.lit(None).cast("bigint")
     lf = lf.select(
         "player_id", F.lit("csv").alias("source"), none.alias("stat_id"), "log_id", none.alias("match_id"), none.alias("video_id"),
