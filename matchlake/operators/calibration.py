@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.geometry import H, project
 from ..plans.scan import ordered_scan
@@ -15,7 +15,7 @@ from ..plans.scan import ordered_scan
 _PAIRS = [(i, j) for i in range(9) for j in range(i, 9)]
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _null_vector(sums: pd.Series) -> pd.Series:
     """Eigenvector of the smallest eigenvalue of each normal matrix, for a whole batch of cameras at once."""
     flat = np.stack(sums.to_numpy())
