@@ -159,28 +159,35 @@ def roster_entries(text: Column) -> Column:
     return F.flatten(each)
 
 
+def csv_cells(text: Column) -> Column:
+    """Cells of one CSV line; quoted cells may hold commas and doubled quotes."""
+    raw = F.regexp_extract_all(F.concat(F.lit(","), text), F.lit(r',(?:"(?:[^"]|"")*"|[^,]*)'), F.lit(0))
+
+    def clean(cell: Column) -> Column:
+        body = F.substring(cell, 2, 1_000_000)
+        quoted = F.regexp_replace(F.regexp_replace(body, r'^"|"$', ""), '""', '"')
+        return F.when(body.startswith('"'), quoted).otherwise(body)
+
+    return F.transform(raw, clean)
+
+
 def read_log_csv(spark: SparkSession, path: str) -> DataFrame:
     """Athlete-log files as text cells with canonical column names and a line number per file.
 
-    Only the header line of each distinct layout reaches the driver. Line numbers come from the file order of the
-    text reader; a file is small (a service accepts 5 MB), so one task reads it whole.
+    Every file may have its own header; each row is read by the header of its file, so nothing passes the driver. Of
+    repeated columns the first wins, absent ones are null. A file is small (a service accepts 5 MB) and read by one task.
     """
-    from ..operators.athlete import header_positions
+    from ..operators.athlete import HEADER_ALIASES, canonical_header
 
     body = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     lines = F.split(F.regexp_replace(F.col("value"), "^\\uFEFF", ""), "\r\n|\n|\r")
-    rows = body.select("file", F.posexplode(lines).alias("i", "text"))
-    rows = rows.where(F.regexp_replace("text", "[,\\s]", "") != "")
-    headers = rows.where("i = 0").select(F.col("text").alias("header")).distinct().limit(1000).collect()
-    withheader = rows.where("i > 0").join(rows.where("i = 0").select("file", F.col("text").alias("header")), "file")
-    out = None
-    for h in headers:
-        names = h["header"].split(",")
-        schema = ", ".join(f"c{i} string" for i in range(len(names)))
-        part = withheader.where(F.col("header") == h["header"]).select(
-            "file", (F.col("i") + 1).alias("line"), F.from_csv("text", F.lit(schema)).alias("r")
-        )
-        where = header_positions(names)
-        part = part.select("file", "line", *[F.col(f"r.c{i}").alias(n) for n, i in where.items()])
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
+    lines = body.select("file", lines.alias("lines"))
+    names = F.transform(csv_cells(F.col("lines")[0]), lambda c: F.coalesce(canonical_header(c), F.lit("")))
+    rows = lines.select("file", names.alias("names"), F.posexplode("lines").alias("i", "text")).where("i > 0")
+    rows = rows.where(F.regexp_replace("text", "[,\\s]", "") != "").withColumn("cells", csv_cells(F.col("text")))
+
+    def value(name: str) -> Column:
+        at = F.array_position("names", name).cast("int")
+        return F.when(at > 0, F.nullif(F.try_element_at("cells", F.when(at > 0, at).otherwise(1)), F.lit(""))).alias(name)
+
+    return rows.select("file", (F.col("i") + 1).alias("line"), *[value(n) for n in HEADER_ALIASES])
