@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, packing
+from . import ann, bpe, hamming, langid, packing, quality
 from .registry import llm_query, table
 
 
@@ -27,3 +27,46 @@ def op2_packing(spark, sf_dir):
     """Pack all documents into sequences of power-of-two length up to 1024."""
     pieces = packing.pack(table(spark, sf_dir, "documents"), *_ranks(), max_tokens=1024, end_id=0)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+USABLE_SQL = """(SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))
+    AND list_bool_or(list_transform(embedding, lambda x: x <> 0)))"""
+
+
+@llm_query("op7_nearest", f"""
+WITH v AS {USABLE_SQL},
+pairs AS (SELECT q.vec_id AS query_id, v.vec_id, sqrt(list_sum(list_transform(list_zip(q.e, v.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS score
+  FROM v q JOIN v ON len(q.e) = len(v.e) AND q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""")
+def op7_nearest(spark, sf_dir):
+    """The 10 nearest of every vector whose id is divisible by 100, among all others."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10)
+
+
+@llm_query("op10_hamming", f"""
+WITH v AS {USABLE_SQL},
+pairs AS (SELECT q.vec_id AS query_id, v.vec_id,
+    CAST(list_sum(list_transform(list_zip(q.e, v.e), lambda z: CAST((z[1] > 0) <> (z[2] > 0) AS INTEGER))) AS INTEGER) AS distance
+  FROM v q JOIN v ON len(q.e) = len(v.e) AND q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank FROM pairs)
+SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10""")
+def op10_hamming(spark, sf_dir):
+    """The 10 nearest sign codes of every vector whose id is divisible by 50, among all others."""
+    codes = hamming.sign_codes(table(spark, sf_dir, "embeddings"))
+    return hamming.nearest_codes(codes, codes.where(F.col("id") % 50 == 0), 10)
+
+
+@llm_query("op3_quality")
+def op3_quality(spark, sf_dir):
+    """Quality of every whole text, learned from the labels outside the held-out fifth."""
+    scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+@llm_query("op9_language")
+def op9_language(spark, sf_dir):
+    """Language of every whole text, learned outside the held-out quarter."""
+    return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
