@@ -27,14 +27,15 @@ def id_bucket(col: str, parts: int) -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary")) % parts
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that the binary or string ``column`` holds at most ``max_bytes`` per part (a single longer row stands alone)."""
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int, max_rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that the binary or string ``column`` holds at most ``max_bytes`` in at most ``max_rows`` per part (a single longer row stands alone)."""
     values = batch.column(column)
     offsets = np.frombuffer(values.buffers()[1], dtype=np.int64 if pa.types.is_large_binary(values.type) or pa.types.is_large_string(values.type) else np.int32)
     offsets = offsets[values.offset : values.offset + len(values) + 1].astype(np.int64)
     start, n = 0, len(values)
     while start < n:
         stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + max_bytes, side="right")) - 1)
+        stop = min(stop, start + max_rows)
         yield batch.slice(start, stop - start)
         start = stop
 

@@ -1,7 +1,7 @@
 """Operator 3: quality classifier by attention-based multiple-instance learning.
 
 A document is a bag of passages of ``PASSAGE`` bytes that cover its whole text. A passage is described by the frequencies
-of its pairs of byte classes and encoded by one tanh layer. Gated attention, a_i ~ exp(w.(tanh(V h_i) * sigmoid(U h_i))),
+of its pairs of byte classes and by how much it repeats itself, and encoded by one tanh layer. Gated attention, a_i ~ exp(w.(tanh(V h_i) * sigmoid(U h_i))),
 weighs the passages; the score is a logistic function of the weighted sum. Only documents carry labels; encoder, attention
 and score are learned together from them in numpy, on a bounded sample (``sample_docs`` documents with at most
 ``SAMPLE_PASSAGES`` passages each, evenly spaced). Scoring reads every passage.
@@ -28,6 +28,9 @@ PASSAGE = 512
 SAMPLE_PASSAGES = 64
 CLASSES = 20
 PAIRS = CLASSES * CLASSES
+#: Hashed cells of four-byte strings, for how much a passage repeats itself.
+GRAMS = 1024
+FEATURES = PAIRS + 3
 
 
 def _classes() -> np.ndarray:
@@ -46,19 +49,28 @@ BYTE_CLASS = _classes()
 
 
 def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pair frequencies of every passage, and the document each belongs to."""
+    """Features of every passage, and the document each belongs to."""
     sizes = np.diff(offsets)
     n = np.maximum(1, -(-sizes // PASSAGE))
     first = np.cumsum(n) - n
     owner = np.repeat(np.arange(len(n)), n)
-    counts = np.zeros((int(n.sum()), PAIRS), dtype=np.float32)
-    if len(data) > 1:
+    out = np.zeros((int(n.sum()), FEATURES), dtype=np.float32)
+    if len(data) > 4:
         inside = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         place = first.astype(np.int32)[inside] + ((np.arange(len(data)) - offsets[inside]) // PASSAGE).astype(np.int32)
         kind = BYTE_CLASS[data].astype(np.int64)
         cell = place[:-1].astype(np.int64) * PAIRS + kind[:-1] * CLASSES + kind[1:]
-        counts = np.bincount(cell[inside[:-1] == inside[1:]], minlength=counts.size).astype(np.float32).reshape(counts.shape)
-    return np.sqrt(counts / np.maximum(1, counts.sum(axis=1, keepdims=True))), owner
+        counts = np.bincount(cell[inside[:-1] == inside[1:]], minlength=len(out) * PAIRS).astype(np.float32).reshape(-1, PAIRS)
+        out[:, :PAIRS] = np.sqrt(counts / np.maximum(1, counts.sum(axis=1, keepdims=True)))
+        wide = data.astype(np.uint32)
+        gram = (wide[:-3] * 2654435761 + wide[1:-2] * 2246822519 + wide[2:-1] * 3266489917 + wide[3:] * 668265263) >> 22
+        cell = place[:-3].astype(np.int64) * GRAMS + gram
+        grams = np.bincount(cell[inside[:-3] == inside[3:]], minlength=len(out) * GRAMS).astype(np.float32).reshape(-1, GRAMS)
+        total = np.maximum(1, grams.sum(axis=1))
+        out[:, PAIRS] = (grams > 0).sum(axis=1) / total
+        out[:, PAIRS + 1] = np.sqrt((grams * grams).sum(axis=1)) / total
+        out[:, PAIRS + 2] = grams.max(axis=1) / total
+    return out, owner
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -71,7 +83,7 @@ class GatedAttention:
     def __init__(self, hidden: int = 32, gate: int = 16, seed: int = 7):
         rng = np.random.default_rng(seed)
         draw = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
-        self.p = {"W": draw(PAIRS, hidden) * 4, "b": np.zeros(hidden, np.float32), "V": draw(hidden, gate), "U": draw(hidden, gate), "w": draw(gate, 1), "o": draw(hidden, 1), "c": np.zeros(1, np.float32)}
+        self.p = {"W": draw(FEATURES, hidden) * 4, "b": np.zeros(hidden, np.float32), "V": draw(hidden, gate), "U": draw(hidden, gate), "w": draw(gate, 1), "o": draw(hidden, 1), "c": np.zeros(1, np.float32)}
         self.constant: float | None = None
 
     def encode(self, x: np.ndarray) -> np.ndarray:
@@ -139,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(bags, pa.binary())], names=["label", "bag"])
 
     found = sorted((r["label"], bytes(r["bag"])) for r in rows.select("label", "text").mapInArrow(describe, "label int, bag binary").toLocalIterator())
-    bags = [np.frombuffer(b, "<f2").astype(np.float32).reshape(-1, PAIRS) for _, b in found]
+    bags = [np.frombuffer(b, "<f2").astype(np.float32).reshape(-1, FEATURES) for _, b in found]
     return GatedAttention().fit(bags, np.array([y for y, _ in found]))
 
 
@@ -150,7 +162,7 @@ def score(docs: DataFrame, model: GatedAttention, *, text_col: str = "text", kee
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_scored", 2 << 20):
+            for part in slices(batch, "_scored", 1 << 20):
                 if model.constant is not None:
                     value = np.full(len(part), model.constant)
                 else:
@@ -162,7 +174,7 @@ def score(docs: DataFrame, model: GatedAttention, *, text_col: str = "text", kee
                         hidden.append(model.encode(x[has]))
                         owners.append(owner[has])
                     lacking = np.flatnonzero(np.diff(offsets) == 0)
-                    hidden.append(np.repeat(model.encode(np.zeros((1, PAIRS), np.float32)), len(lacking), axis=0))
+                    hidden.append(np.repeat(model.encode(np.zeros((1, FEATURES), np.float32)), len(lacking), axis=0))
                     owners.append(lacking)
                     owner = np.concatenate(owners)
                     order = np.argsort(owner, kind="stable")
@@ -172,7 +184,7 @@ def score(docs: DataFrame, model: GatedAttention, *, text_col: str = "text", kee
     return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double")
 
 
-def _blocks(offsets: np.ndarray, size: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def _blocks(offsets: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of the buffer of about ``size`` bytes; a text longer than that is cut where a passage ends."""
     at, end = 0, int(offsets[-1])
     while at < end:
