@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, bpe, hamming, langid, packing, quality
+from . import ann, bpe, hamming, langid, packing, quality, simhash
 from .registry import llm_query, table
 
 
@@ -70,3 +70,10 @@ def op3_quality(spark, sf_dir):
 def op9_language(spark, sf_dir):
     """Language of every whole text, learned outside the held-out quarter."""
     return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@llm_query("op8_simhash")
+def op8_simhash(spark, sf_dir):
+    """Components of documents whose fingerprints of 3-word shingles link at 3 or fewer bits."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
