@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, bpe, hamming, langid, packing, quality, simhash
+from . import ann, bpe, hamming, langid, packing, quality, repeats, simhash
 from .registry import llm_query, table
 
 
@@ -77,3 +77,10 @@ def op8_simhash(spark, sf_dir):
     """Components of documents whose fingerprints of 3-word shingles link at 3 or fewer bits."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@llm_query("op4_repeats")
+def op4_repeats(spark, sf_dir):
+    """Bytes of every whole text without those in 50-byte strings of earlier documents."""
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
