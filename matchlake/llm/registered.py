@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, bpe, hamming, langid, packing, quality, repeats, simhash
+from . import ann, bpe, hamming, langid, licences, lines, packing, quality, repeats, simhash
 from .registry import llm_query, table
 
 
@@ -84,3 +84,32 @@ def op4_repeats(spark, sf_dir):
     """Bytes of every whole text without those in 50-byte strings of earlier documents."""
     found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@llm_query("op5_lines", r"""
+WITH u AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS unit, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place FROM documents),
+n AS (SELECT *, trim(regexp_replace(lower(unit), '[ \t\r\f\v]+', ' ', 'g'), ' ') AS plain FROM u),
+m AS (SELECT *, plain <> '' AND len(string_split(plain, ' ')) >= 5
+    AND row_number() OVER (PARTITION BY plain ORDER BY doc_id, place) > 1 AS gone FROM n)
+SELECT doc_id, count(*) AS n_units, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_removed,
+  CAST(coalesce(sum(length(unit)) FILTER (WHERE gone), 0) AS BIGINT) AS removed_chars,
+  coalesce(string_agg(unit, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '') AS text
+FROM m GROUP BY doc_id""")
+def op5_lines(spark, sf_dir):
+    """Whole texts without lines of five words or more that an earlier place has."""
+    found = lines.remove_repeated_units(table(spark, sf_dir, "documents"), unit="line", min_words=5)
+    return found.select("doc_id", "n_units", "n_removed", "removed_chars", "text")
+
+
+@llm_query("op6_licences")
+def op6_licences(spark, sf_dir):
+    """Licence of every document. The table has no paths: a document lies in a folder of its source, language and hundred,
+    and one of under 400 characters is a licence file of one of the levels above."""
+    docs = table(spark, sf_dir, "documents")
+    levels = [F.col("source"), F.col("lang"), F.floor(F.col("doc_id") / 100).cast("string")]
+    deep = F.concat_ws("/", *levels)
+    above = F.when(F.col("doc_id") % 3 == 0, F.concat_ws("/", *levels[:1])).when(F.col("doc_id") % 3 == 1, F.concat_ws("/", *levels[:2])).otherwise(deep)
+    short = F.coalesce(F.length("text"), F.lit(0)) < 400
+    path = F.when(short, F.concat(above, F.lit("/LICENSE-"), "doc_id")).otherwise(F.concat(deep, F.lit("/"), "doc_id", F.lit(".txt")))
+    found = licences.inherit(licences.own_licences(docs.withColumn("path", path)))
+    return found.select(F.col("key").alias("doc_id"), "path", "licence", "score", "origin", "origin_path")
