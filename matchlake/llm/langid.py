@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import byte_buffer, id_bucket, slices
 from .sample import Adam, hashed_sample
@@ -182,7 +183,7 @@ def predict(docs: DataFrame, model: ByteNetwork, *, text_col: str = "text", keep
                 value = np.where(mass > 0, total.max(axis=1) / np.where(mass > 0, mass, 1), 0.0)
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in fields), pa.array(names[best], pa.string()), pa.array(np.clip(value, 0, 1))], names=[*(f.name for f in fields), "lang_pred", "score"])
 
-    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double")
+    return rows.mapInArrow(run, T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def _spans(offsets: np.ndarray, step: int, size: int = 256 << 10) -> Iterator[tuple[int, int]]:

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import byte_buffer, id_bucket, slices
 from .sample import Adam, hashed_sample
@@ -181,7 +182,7 @@ def score(docs: DataFrame, model: GatedAttention, *, text_col: str = "text", kee
                     value = model.scores(np.concatenate(hidden)[order], owner[order])
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in fields), pa.array(np.clip(value, 0, 1).astype(np.float64))], names=[*(f.name for f in fields), "score"])
 
-    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double")
+    return rows.mapInArrow(run, T.StructType([*fields, T.StructField("score", T.DoubleType())]))
 
 
 def _blocks(offsets: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, int]]:

@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import byte_buffer, materialised, slices
 
@@ -314,8 +315,11 @@ def _removed(text: bytes, spans: np.ndarray) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Per document: the columns ``keep`` (by default ``doc_id``), ``kept`` (binary), ``n_bytes``, ``n_removed``, ``n_spans`` and ``spans`` (start and stop of the removed bytes in the input)."""
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
+    """Per document: the columns ``keep`` (by default ``doc_id``), ``kept`` (binary), ``n_bytes``, ``n_removed``, ``n_spans`` and ``spans`` (start and stop of the removed bytes in the input).
+
+    With ``as_text`` a column ``text`` takes the place of ``kept``; characters that lost some of their bytes are left out of it.
+    """
     fields = [f for f in docs.schema.fields if f.name in keep] if keep else [docs.schema[id_col]]
     mine = [f"keep{i}" for i in range(len(fields))]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(f.name).alias(m) for f, m in zip(fields, mine))).withColumn("row", F.monotonically_increasing_id())
@@ -326,8 +330,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     around = known.join(marked, "doc_id").select("doc_id", "row", "text", "marks").mapInArrow(_around, "key long, doc_id long, row long, at long, left int, right int, around binary")
     spans = around.repartition("key").sortWithinPartitions("key").mapInArrow(_resolve, "doc_id long, row long, spans binary")
     by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("row", "spans")).alias("found"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "kept binary, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,stop:long>>"])
-    names = [*(f.name for f in fields), "kept", "n_bytes", "n_removed", "n_spans", "spans"]
+    left = T.StructField("text", T.StringType()) if as_text else T.StructField("kept", T.BinaryType())
+    span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
+    schema = T.StructType([*(T.StructField(m, f.dataType) for m, f in zip(mine, fields)), left, *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("spans", span)])
+    names = schema.fieldNames()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -339,12 +345,14 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                     own = [np.frombuffer(f["spans"], "<i8").reshape(-1, 2) for f in found or () if f["row"] == row]
                     both = np.concatenate(own) if own else np.zeros((0, 2), np.int64)
                     both = merged(both[:, 0], both[:, 1])
-                    kept.append(_removed(text, both))
+                    rest = _removed(text, both)
+                    kept.append(rest.decode("utf-8", "ignore") if as_text else rest)
                     size.append(len(text))
                     gone.append(int((both[:, 1] - both[:, 0]).sum()))
                     number.append(len(both))
                     lists.append([{"start": a, "stop": b} for a, b in both.tolist()])
-                yield pa.RecordBatch.from_arrays([*(part.column(m) for m in mine), pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(number, pa.int64()),
+                yield pa.RecordBatch.from_arrays([*(part.column(m) for m in mine), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(number, pa.int64()),
                                                   pa.array(lists, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))], names=names)
 
-    return rows.join(by_doc, "doc_id", "left").select("row", "text", "found", *mine).mapInArrow(apply, schema)
+    done = rows.join(by_doc, "doc_id", "left").select("row", "text", "found", *mine).mapInArrow(apply, schema)
+    return done.select(*(F.col(m).alias(f.name) for m, f in zip(mine, fields)), *names[len(mine) :])
