@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -216,7 +217,7 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document a row with its covered spans, and per open anchor a row with the bytes around it."""
     for batch in batches:
-        for part in slices(batch, "text", 1 << 20):
+        for part in slices(batch.filter(pa.compute.is_valid(batch.column("marks"))), "text", 1 << 20):
             a = Anchors(*byte_buffer(part.column("text")))
             ids, rows = np.asarray(part.column("doc_id")), np.asarray(part.column("row"))
             marks = part.column("marks")
@@ -323,11 +324,12 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     fields = [f for f in docs.schema.fields if f.name in keep] if keep else [docs.schema[id_col]]
     mine = [f"keep{i}" for i in range(len(fields))]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(f.name).alias(m) for f, m in zip(fields, mine))).withColumn("row", F.monotonically_increasing_id())
-    known = rows.select("doc_id", "row", "text").where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= WIDTH))
+    known = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= WIDTH))
     anchors = known.select("doc_id", "text").mapInArrow(_anchor_rows, "key long, context long, doc_id long")
     marks = anchors.repartition("key").sortWithinPartitions("key", "context", "doc_id").mapInArrow(_marks, "doc_id long, mark long")
     marked = materialised(marks.groupBy("doc_id").agg(F.collect_list("mark").alias("marks")))
-    around = known.join(marked, "doc_id").select("doc_id", "row", "text", "marks").mapInArrow(_around, "key long, doc_id long, row long, at long, left int, right int, around binary")
+    # both joins read the same columns of the documents on the same side, so their texts are shuffled once
+    around = rows.join(marked, "doc_id", "left").mapInArrow(_around, "key long, doc_id long, row long, at long, left int, right int, around binary")
     spans = around.repartition("key").sortWithinPartitions("key").mapInArrow(_resolve, "doc_id long, row long, spans binary")
     by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("row", "spans")).alias("found"))
     left = T.StructField("text", T.StringType()) if as_text else T.StructField("kept", T.BinaryType())
@@ -354,5 +356,5 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([*(part.column(m) for m in mine), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(number, pa.int64()),
                                                   pa.array(lists, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))], names=names)
 
-    done = rows.join(by_doc, "doc_id", "left").select("row", "text", "found", *mine).mapInArrow(apply, schema)
+    done = rows.join(by_doc, "doc_id", "left").mapInArrow(apply, schema)
     return done.select(*(F.col(m).alias(f.name) for m, f in zip(mine, fields)), *names[len(mine) :])
