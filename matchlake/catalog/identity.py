@@ -32,11 +32,15 @@ def _(d):
 
 
 @query("weighted_jersey_in_roster", "A13", """
-WITH n AS (SELECT video_id, track_id, jersey, count(*) AS n, CAST(sum(CAST(confidence AS DECIMAL(20, 6))) AS DOUBLE) AS w, min(frame) AS f, max(team) AS team FROM fx_detections WHERE jersey IS NOT NULL GROUP BY ALL),
-r AS (SELECT video_id, track_id, sum(n) AS readings FROM n GROUP BY ALL HAVING sum(n) >= 3),
-ro AS (SELECT DISTINCT team, true_jersey AS jersey FROM fx_detections WHERE true_jersey % 4 <> 0)
+WITH tn AS (SELECT video_id, track_id, team, count(*) AS n, min(frame) AS f FROM fx_detections WHERE team IS NOT NULL GROUP BY ALL),
+tt AS (SELECT video_id, track_id, team FROM (SELECT *, row_number() OVER (PARTITION BY video_id, track_id ORDER BY n DESC, f) AS rn FROM tn) WHERE rn = 1),
+ro AS (SELECT DISTINCT team, true_jersey AS jersey FROM fx_detections WHERE true_jersey % 4 <> 0),
+rd AS (SELECT d.video_id, d.track_id, d.jersey, d.confidence, d.frame FROM fx_detections d JOIN tt ON tt.video_id = d.video_id AND tt.track_id = d.track_id
+  JOIN ro ON ro.team = tt.team AND ro.jersey = d.jersey),
+n AS (SELECT video_id, track_id, jersey, count(*) AS n, CAST(sum(CAST(confidence AS DECIMAL(20, 6))) AS DOUBLE) AS w, min(frame) AS f FROM rd GROUP BY ALL),
+r AS (SELECT video_id, track_id, sum(n) AS readings FROM n GROUP BY ALL HAVING sum(n) >= 3)
 SELECT video_id, track_id, jersey, w AS weight, CAST(readings AS BIGINT) AS readings FROM (SELECT n.*, readings, row_number() OVER (PARTITION BY n.video_id, n.track_id ORDER BY w DESC, f) AS rn
-  FROM n JOIN r ON r.video_id = n.video_id AND r.track_id = n.track_id JOIN ro ON ro.team = n.team AND ro.jersey = n.jersey) WHERE rn = 1""")
+  FROM n JOIN r ON r.video_id = n.video_id AND r.track_id = n.track_id) WHERE rn = 1""")
 def _(d):
     return D.weighted_vote(d.fx_detections, roster=roster(d))
 

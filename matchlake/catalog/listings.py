@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import listings as L
+from ..operators import listings as L, stats as S
 from .insights import TAGS, UM, tags, um
 from .registry import query
 
@@ -86,9 +86,9 @@ def _(d):
 
 
 @query("newest_videos", "K6", """
-SELECT video_id, created_at FROM fx_videos ORDER BY created_at DESC, video_id DESC LIMIT 50""")
+SELECT video_id, created_at FROM fx_videos ORDER BY created_at DESC, video_id DESC""")
 def _(d):
-    return d.fx_videos.orderBy(F.desc("created_at"), F.desc("video_id")).limit(50).select("video_id", "created_at")
+    return d.fx_videos.orderBy(F.desc("created_at"), F.desc("video_id")).select("video_id", "created_at")
 
 
 @query("stored_people", "J23", """
@@ -101,11 +101,15 @@ def _(d):
 
 
 @query("player_series", "W29", """
-SELECT s.player_id, m.match_date, s.stat_id, round(coalesce(top_speed_mph * 1.609344e0, 0), 6) AS kmh FROM fx_stats s JOIN fx_matches m ON m.match_id = s.match_id""")
+WITH m AS (SELECT stat_id, max(value) FILTER (WHERE metric_key = 'minutes_played') AS mp, max(value) FILTER (WHERE metric_key = 'sprint_count') AS sc FROM fx_metrics GROUP BY stat_id),
+s AS (SELECT *, CASE WHEN stat_id % 4 = 0 THEN 30.0e0 + stat_id % 5 END AS own FROM fx_stats)
+SELECT s.player_id, h.match_date, s.stat_id, round(coalesce(own, round(top_speed_mph * 1.609344e0, 2)), 2) AS kmh, round(distance_km * 1000, 0) AS metres, mp AS minutes_played,
+  CAST(sc AS BIGINT) AS sprint_count, CASE injury_risk WHEN 'High' THEN 100e0 WHEN 'Medium' THEN 50e0 ELSE 0e0 END AS fatigue
+FROM s JOIN fx_matches h ON h.match_id = s.match_id LEFT JOIN m ON m.stat_id = s.stat_id""")
 def _(d):
-    from .. import constants as C
-
-    s = d.fx_stats.join(d.fx_matches.select("match_id", "match_date"), "match_id")
+    own = F.when(F.col("stat_id") % 4 == 0, F.lit(30.0) + F.col("stat_id") % 5)
+    s = S.player_series(d.fx_stats.withColumn("top_speed_kmh", own), d.fx_metrics, d.fx_matches)
     return s.select(
-        "player_id", "match_date", "stat_id", F.round(F.coalesce(F.col("top_speed_mph") * C.KMH_PER_MPH, F.lit(0.0)), 6).alias("kmh")
-    ).orderBy("player_id", "match_date", "stat_id")
+        "player_id", "match_date", "stat_id", F.round("top_speed_kmh", 2).alias("kmh"), F.round("distance_covered_meters", 0).alias("metres"), "minutes_played",
+        "sprint_count", F.col("fatigue_risk_score").alias("fatigue"),
+    )

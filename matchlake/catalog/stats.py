@@ -401,14 +401,21 @@ def _(d):
 
 
 @query("metric_group_status", "E2", """
-SELECT CASE WHEN metric_key LIKE '%minutes%' OR metric_key = 'coverage_pct' THEN 'coverage' WHEN metric_key = 'distance_per_min' THEN 'physical'
-  ELSE 'intensity' END AS category, count(DISTINCT metric_key) AS metrics, count(value) AS n_values,
-  CASE WHEN bool_and(value IS NOT NULL OR stat_id % 2 >= 0) THEN 'launch' ELSE 'next' END AS status
-FROM fx_metrics GROUP BY ALL""")
-def _(d):
+WITH av AS (SELECT metric_key, CASE WHEN count(value) < 0.9 * count(*) THEN 'soon' ELSE 'ready' END AS availability FROM fx_metrics GROUP BY metric_key),
+g AS (SELECT metric_key, CASE WHEN metric_key LIKE '%minutes%' OR metric_key = 'coverage_pct' THEN 'coverage' WHEN metric_key = 'distance_per_min' THEN 'physical'
+  ELSE 'intensity' END AS category, 'launch' AS status FROM av
+  UNION ALL SELECT metric_key, 'by hand', 'manual' FROM av UNION ALL SELECT concat('other_', metric_key), 'unknown', 'next' FROM av
+  UNION ALL SELECT metric_key, concat('only ', metric_key), 'launch' FROM av)
+SELECT category, CASE WHEN max(g.status) = 'manual' OR count(availability) = 0 THEN max(g.status) WHEN bool_and(availability = 'ready') THEN 'launch' ELSE 'next' END AS status
+FROM g LEFT JOIN av ON av.metric_key = g.metric_key GROUP BY category""")
+def _(d):
+    # a key is available where nine of ten of its stored values are there; groups are the registry's, one kept by hand, one unknown, one per key
+    few = F.count("value") < 0.9 * F.count(F.lit(1))
+    available = d.fx_metrics.groupBy("metric_key").agg(F.when(few, "soon").otherwise("ready").alias("availability"))
+    keys = available.select("metric_key")
     reg = F.broadcast(R.registry_frame(d.spark).select("metric_key", "category"))  # 21 fixed rows
-    out = d.fx_metrics.join(reg, "metric_key").groupBy("category").agg(
-        F.countDistinct("metric_key").alias("metrics"), F.count("value").alias("n_values"),
-        F.when(F.every(F.col("metric_key").isNotNull()), "launch").otherwise("next").alias("status"),
-    )
-    return out
+    own = lambda key, name, status: keys.select(key.alias("metric_key"), name.alias("category"), F.lit(status).alias("status"))
+    k = F.col("metric_key")
+    groups = keys.join(reg, "metric_key").select("metric_key", "category", F.lit("launch").alias("status"))
+    groups = groups.unionByName(own(k, F.lit("by hand"), "manual")).unionByName(own(F.concat(F.lit("other_"), k), F.lit("unknown"), "next"))
+    return R.group_status(groups.unionByName(own(k, F.concat(F.lit("only "), k), "launch")), available, ["category"])

@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import risk as K
-from ..sources.sinks import scratch_path
+from ..sources.sinks import scratch_path, upsert_by_player
 from ..streaming import twins as S
 from .registry import query
 
@@ -57,7 +57,7 @@ def _(d):
     for _run in range(2):
         twice = events(d).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
         once = S.deduplicated(twice, ["event_id"]).select(F.floor(F.col("user_id") / 20).alias("video_id"), "event_id", "event_type")
-        S.deliver_by_video(once, path, scratch_path(d.spark, "delivered-log")).awaitTermination()
+        S.deliver_by_video(once, path, scratch_path(d.spark, "delivered-log"), ["event_id"]).awaitTermination()
     return d.spark.read.schema("video_id bigint, event_id bigint, event_type string").parquet(path)
 
 
@@ -115,8 +115,8 @@ def _(d):
             split=d.split_players,
         )
         rows = rows.select("player_id", "source", "log_id", "stat_id", "risk_percent", "level")
-        rows.write.mode("append").parquet(out)
+        upsert_by_player(rows, out, players)
 
     new = S.stream_of(d.spark, d.sf_dir, "orders").where("o_orderkey % 97 = 5").select(F.col("o_custkey").alias("player_id"))
     S.rescore_on_arrival(new, rescore, scratch_path(d.spark, "rescore-log")).awaitTermination()
-    return d.spark.read.parquet(out)
+    return d.spark.read.parquet(out).drop("player_bucket")

@@ -75,7 +75,7 @@ def _(d):
     other = F.unhex(F.sha2(F.lit("another key"), 256))
     # the nonce is random: fix the ciphertext before it is used more than once
     enc = d.fx_logs.select("log_id", E.encrypt_number(F.col("heart_rate"), key).alias("c"))
-    flipped = F.concat(F.translate(F.substring("c", 1, 30), "ABCDEFabcdef0123", "BCDEFAbcdefa1230"), F.substring("c", 31, 1000))
+    flipped = F.concat(F.translate(F.substring("c", 1, 30), "ABCDEFabcdef0123", "BCDEFAbcdefa1230"), F.substring("c", F.lit(31), F.length("c")))
     return enc.select(
         "log_id", E.decrypt_number(F.col("c"), key).alias("heart_rate"),
         F.when(F.col("c").isNotNull(), E.decrypt(flipped, key).isNull() | (flipped == F.col("c"))).alias("tamper_detected"),

@@ -26,15 +26,19 @@ def majority_vote(rows: DataFrame, value: str, keys: Sequence[str] = KEYS, frame
 def weighted_vote(
     rows: DataFrame, roster: DataFrame | None = None, keys: Sequence[str] = KEYS, min_readings: int = 3
 ) -> DataFrame:
-    """Number with the highest summed confidence. ``roster`` (team, jersey) keeps only numbers of the track's team."""
+    """Number with the highest summed confidence.
+
+    ``roster`` (team, jersey) keeps only readings of numbers that the track's team has, before anything is counted; the
+    team is the one that most of the track's rows name.
+    """
     read = rows.where("jersey is not null")
+    if roster is not None:
+        team = majority_vote(rows, "team", keys).select(*keys, "team")
+        read = read.drop("team").join(team, list(keys)).join(roster.select("team", "jersey").distinct(), ["team", "jersey"], "left_semi")
     counts = read.groupBy(*keys, "jersey").agg(
         F.count(F.lit(1)).alias("__n"), F.sum(F.col("confidence").cast("decimal(20,6)")).alias("__w"), F.min("frame").alias("__first"),
-        F.max("team").alias("team"),
     )
     total = counts.groupBy(*keys).agg(F.sum("__n").alias("readings")).where(F.col("readings") >= min_readings)
-    if roster is not None:
-        counts = counts.join(roster.select("team", "jersey"), ["team", "jersey"], "left_semi")
     best = counts.groupBy(*keys).agg(
         F.max_by(F.struct("jersey", "__w"), F.struct(F.col("__w"), (-F.col("__first")).alias("f"))).alias("b")
     )

@@ -26,6 +26,8 @@ class Metric(NamedTuple):
     numerator: str | None = None
     denominators: tuple[str, ...] = ()
     scale: float = 1.0
+    is_estimate: bool = True
+    availability: str = "ready"  # ready or soon
 
 
 # Metric keys, labels, units, aggregation rules and decimals.
@@ -99,17 +101,29 @@ KNOWN_OTHER = [
 def registry_frame(spark: SparkSession) -> DataFrame:
     rows = [
         (m.metric_key, m.label, m.unit, m.category, m.value_type, m.aggregation, m.decimals, m.higher_is_better,
-         m.requires_calibration, m.storage, m.sort_order, m.numerator, "|".join(m.denominators) or None, m.scale)
+         m.requires_calibration, m.storage, m.sort_order, m.numerator, "|".join(m.denominators) or None, m.scale, m.is_estimate, m.availability)
         for m in METRICS
     ]
     return spark.createDataFrame(
         rows,
         "metric_key string, label string, unit string, category string, value_type string, aggregation string, "
         "decimals int, higher_is_better boolean, requires_calibration boolean, storage string, sort_order int, "
-        "numerator string, denominators string, scale double",
+        "numerator string, denominators string, scale double, is_estimate boolean, availability string",
     )
 
 
+def group_status(groups: DataFrame, registry: DataFrame, keys: Sequence[str] = ("group",)) -> DataFrame:
+    """``status`` of each group of metric keys: launch if all keys that the registry knows are ready, next if one is not.
+
+    ``groups``: the group's columns, metric_key and its own status. Groups with the status manual, and those without a
+    known key, keep their own. ``registry``: metric_key, availability (one row per key; a table of a few rows).
+    """
+    known = groups.join(registry.select("metric_key", "availability"), "metric_key", "left")
+    own = F.first("status", ignorenulls=True)
+    derived = F.when(F.every(F.col("availability") == "ready"), "launch").otherwise("next")
+    return known.groupBy(*keys).agg(F.when((own == "manual") | (F.count("availability") == 0), own).otherwise(derived).alias("status"))
+
+
 def _ratio(m: Metric) -> Column:
     num = F.col(m.numerator)
     den = F.coalesce(*[F.when(F.col(c) > 0, F.col(c)) for c in m.denominators])

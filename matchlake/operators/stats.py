@@ -200,3 +200,23 @@ def thresholds() -> list[Column]:
         fill("edge_hsr", d["hsr"]).alias("edge_hsr"),
         F.when(n == len(got), "pipeline").when(n == 0, "default").otherwise("mixed").alias("source"),
     ]
+
+
+def player_series(stats: DataFrame, metrics: DataFrame, matches: DataFrame) -> DataFrame:
+    """History of every player: one row per stat row, with its match date.
+
+    A value is the stat row's own column, else its stored metric, else derived from another unit. What was never measured
+    stays null. Columns that ``stats`` lacks count as null.
+    """
+    keys = ["top_speed_kmh", "minutes_played", "sprint_count"]
+    stored = R.widen(stats.select("stat_id"), metrics, keys).select("stat_id", *[F.col(k).alias(f"m_{k}") for k in keys])
+    own = lambda c: F.col(c) if c in stats.columns else F.lit(None)
+    s = stats.join(stored, "stat_id", "left").join(matches.select("match_id", "match_date"), "match_id")
+    return s.select(
+        "player_id", "match_date", "match_id", "video_id", "stat_id",
+        F.coalesce(own("top_speed_kmh"), "m_top_speed_kmh", kmh_from_mph(F.col("top_speed_mph"))).alias("top_speed_kmh"),
+        F.coalesce(own("distance_covered_meters"), metres_from_km(F.col("distance_km"))).alias("distance_covered_meters"),
+        F.coalesce(own("minutes_played"), "m_minutes_played").alias("minutes_played"),
+        F.coalesce(own("sprint_count"), "m_sprint_count").cast("bigint").alias("sprint_count"),
+        "injury_risk", F.coalesce(own("fatigue_risk_score"), fatigue_score(F.col("injury_risk"))).alias("fatigue_risk_score"),
+    )

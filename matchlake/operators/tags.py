@@ -27,7 +27,7 @@ def clean_value(text: Column | str) -> Column:
 def display_case(text: Column | str) -> Column:
     """Cleaned text with the first letter of each word (after blank, '/' or '-') in upper case."""
     words = F.split(clean(text), r"(?<=[\s/-])|(?=[\s/-])")
-    return F.concat_ws("", F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000))))
+    return F.concat_ws("", F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))))
 
 
 def parse_filter(raw: Column | str) -> Column:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 DETECTIONS = T.StructType(
@@ -164,30 +167,56 @@ def csv_cells(text: Column) -> Column:
     raw = F.regexp_extract_all(F.concat(F.lit(","), text), F.lit(r',(?:"(?:[^"]|"")*"|[^,]*)'), F.lit(0))
 
     def clean(cell: Column) -> Column:
-        body = F.substring(cell, 2, 1_000_000)
+        body = F.substring(cell, F.lit(2), F.length(cell))
         quoted = F.regexp_replace(F.regexp_replace(body, r'^"|"$', ""), '""', '"')
         return F.when(body.startswith('"'), quoted).otherwise(body)
 
     return F.transform(raw, clean)
 
 
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of whole CSV files; a quoted cell may hold line breaks. ``line`` is where a record starts."""
+    for batch in batches:
+        for name, text in zip(batch.column("file").to_pylist(), batch.column("value").to_pylist()):
+            reader, before = csv.reader(io.StringIO((text or "").removeprefix("\ufeff"), newline="")), 0
+            head: list[str] | None = None
+            rows: list[tuple[int, list[str]]] = []
+            for cells in reader:
+                line, before = before + 1, reader.line_num
+                if head is None:
+                    head = cells
+                elif any(c.strip() for c in cells):
+                    rows.append((line, cells))
+                if len(rows) == 5_000:
+                    yield _record_batch(name, head, rows)
+                    rows = []
+            if rows:
+                yield _record_batch(name, head, rows)
+
+
+def _record_batch(name: str, head: list[str], rows: list[tuple[int, list[str]]]) -> pa.RecordBatch:
+    n, cells = len(rows), pa.list_(pa.string())
+    return pa.RecordBatch.from_arrays(
+        [pa.array([name] * n, pa.string()), pa.array([head] * n, cells), pa.array([i for i, _ in rows], pa.int32()), pa.array([c for _, c in rows], cells)],
+        names=["file", "head", "line", "cells"],
+    )
+
+
 def read_log_csv(spark: SparkSession, path: str) -> DataFrame:
     """Athlete-log files as text cells with canonical column names and a line number per file.
 
     Every file may have its own header; each row is read by the header of its file, so nothing passes the driver. Of
-    repeated columns the first wins, absent ones are null. A file is small (a service accepts 5 MB) and read by one task.
+    repeated columns the first wins, absent ones are null, rows without content are skipped. A file is small (a service
+    accepts 5 MB) and read by one task.
     """
     from ..operators.athlete import HEADER_ALIASES, canonical_header
 
     body = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    lines = F.split(F.regexp_replace(F.col("value"), "^\\uFEFF", ""), "\r\n|\n|\r")
-    lines = body.select("file", lines.alias("lines"))
-    names = F.transform(csv_cells(F.col("lines")[0]), lambda c: F.coalesce(canonical_header(c), F.lit("")))
-    rows = lines.select("file", names.alias("names"), F.posexplode("lines").alias("i", "text")).where("i > 0")
-    rows = rows.where(F.regexp_replace("text", "[,\\s]", "") != "").withColumn("cells", csv_cells(F.col("text")))
+    rows = body.mapInArrow(_records, "file string, head array<string>, line int, cells array<string>")
+    rows = rows.withColumn("names", F.transform("head", lambda c: F.coalesce(canonical_header(c), F.lit(""))))
 
     def value(name: str) -> Column:
         at = F.array_position("names", name).cast("int")
         return F.when(at > 0, F.nullif(F.try_element_at("cells", F.when(at > 0, at).otherwise(1)), F.lit(""))).alias(name)
 
-    return rows.select("file", (F.col("i") + 1).alias("line"), *[value(n) for n in HEADER_ALIASES])
+    return rows.select("file", "line", *[value(n) for n in HEADER_ALIASES])

@@ -26,23 +26,69 @@ def write_partitions(df: DataFrame, path: str, keys: Sequence[str], fmt: str = "
     writer.options(**options).save(path)
 
 
-def replace_by_video(df: DataFrame, path: str) -> None:
-    """Delete and insert the rows of each video in ``df``."""
-    write_partitions(df, path, ["video_id"])
+def _folder(spark: SparkSession, path: str):
+    """(file system, Hadoop path) of a table folder, wherever it is stored."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
-def replace_by_player(new: DataFrame, current: DataFrame, path: str, buckets: int = 256) -> None:
-    """Replace the rows of each player in ``new``. Only the buckets of those players are rewritten.
+def table_exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _folder(spark, path)
+    return fs.exists(where)
 
-    Reads ``current`` (the same table) before it is overwritten, so the merged rows are cut from their source first.
+
+def _drop_partitions(spark: SparkSession, path: str, column: str, values: DataFrame) -> None:
+    """Remove the folders of key values that have no rows left; only those few values pass the driver, one at a time."""
+    fs, _ = _folder(spark, path)
+    for row in values.toLocalIterator():
+        name = "__HIVE_DEFAULT_PARTITION__" if row[0] is None else row[0]
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{column}={name}"), True)
+
+
+def replace_by_video(df: DataFrame, path: str, videos: DataFrame | None = None, salt: int = 1) -> None:
+    """Delete and insert the rows of each video in ``df``. A video of ``videos`` without rows in ``df`` loses its old ones."""
+    write_partitions(df, path, ["video_id"], salt=salt)
+    if videos is not None:
+        empty = videos.select("video_id").distinct().join(df.select("video_id").distinct(), "video_id", "left_anti")
+        _drop_partitions(df.sparkSession, path, "video_id", empty)
+
+
+def replace_by_player(new: DataFrame, current: DataFrame, path: str, buckets: int = 256, players: DataFrame | None = None) -> None:
+    """Replace the rows of each player in ``players`` (by default those in ``new``). Only their buckets are rewritten.
+
+    A player of ``players`` without new rows loses the old ones. ``buckets`` grows with the table: a bucket is rewritten
+    whole. Reads ``current`` (the same table) before it is overwritten, so the merged rows are cut from their source first.
     """
     bucket = F.pmod(F.hash("player_id"), F.lit(buckets)).alias("player_bucket")
-    touched = new.select(bucket).distinct()
+    who = (new if players is None else players.select("player_id").unionByName(new.select("player_id"))).select("player_id").distinct()
+    touched = who.select(bucket).distinct()
     kept = current.withColumn("player_bucket", bucket).join(touched, "player_bucket", "left_semi")
-    kept = kept.join(new.select("player_id").distinct(), "player_id", "left_anti")
+    kept = kept.join(who, "player_id", "left_anti")
     merged = kept.unionByName(new.withColumn("player_bucket", bucket))
-    checkpoint_dir(new.sparkSession)
-    write_partitions(merged.checkpoint(), path, ["player_bucket"])
+    spark = new.sparkSession
+    checkpoint_dir(spark)
+    merged = merged.checkpoint()
+    write_partitions(merged, path, ["player_bucket"])
+    _drop_partitions(spark, path, "player_bucket", touched.join(merged.select("player_bucket").distinct(), "player_bucket", "left_anti"))
+
+
+def upsert_by_player(new: DataFrame, path: str, players: DataFrame, buckets: int = 256) -> None:
+    """``replace_by_player`` on the table at ``path``, which need not exist yet. Running it again gives the same table."""
+    spark = new.sparkSession
+    current = spark.read.schema(new.schema).parquet(path) if table_exists(spark, path) else new.limit(0)
+    replace_by_player(new, current, path, buckets, players)
+
+
+def merge_by_video(batch: DataFrame, path: str, keys: Sequence[str]) -> None:
+    """Add a batch to the rows its videos already have; a row with the same ``keys`` is replaced, so a repeated batch changes nothing."""
+    spark = batch.sparkSession
+    rows = batch.dropDuplicates(list(keys))
+    if table_exists(spark, path):
+        old = spark.read.schema(batch.schema).parquet(path).join(rows.select("video_id").distinct(), "video_id", "left_semi")
+        rows = old.join(rows.select(*keys), list(keys), "left_anti").unionByName(rows)
+    checkpoint_dir(spark)
+    replace_by_video(rows.checkpoint(), path)
 
 
 def write_files(df: DataFrame, path: str, fmt: str, keys: Sequence[str] = ("video_id",)) -> None:

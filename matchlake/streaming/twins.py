@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.gaps import BALL_SCHEMA, BallFilter, ball_rows
 from ..operators.target import FOLLOW_SCHEMA, Follower, follow_rows
-from ..sources.sinks import replace_by_video, scratch_path
+from ..sources.sinks import merge_by_video, scratch_path
 
 
 # ---- running a stream to its end --------------------------------------------------------------------------------
@@ -73,11 +73,11 @@ def deduplicated(events: DataFrame, keys: Sequence[str], late: str = "10 minutes
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys))
 
 
-def deliver_by_video(stream: DataFrame, path: str, log: str):
-    """Idempotent delivery: every batch replaces the rows of the videos it carries."""
+def deliver_by_video(stream: DataFrame, path: str, log: str, keys: Sequence[str]):
+    """Idempotent delivery: every batch is merged by ``keys`` into the rows its videos already have."""
 
     def save(batch: DataFrame, _number: int) -> None:
-        replace_by_video(batch, path)
+        merge_by_video(batch, path, keys)
 
     return stream.writeStream.option("checkpointLocation", log).trigger(availableNow=True).foreachBatch(save).start()
 
