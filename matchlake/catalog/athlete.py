@@ -59,7 +59,7 @@ def _(d):
 @query("roster_match_cascade", "J7 X22", """
 WITH r AS (SELECT line, CASE WHEN line % 3 = 0 THEN try_cast(player_id AS BIGINT) END AS pid, CASE WHEN line % 3 = 1 THEN line % 45 END AS jn,
   concat('last', CAST(line % 700 AS STRING), ' , FIRST', CAST(line % 90 AS STRING)) AS nm FROM fx_csv),
-pl AS (SELECT *, CASE WHEN player_id < 1000 THEN jersey + 30 ELSE jersey END AS jn FROM fx_players WHERE player_id < 1020 OR player_id % 40 = 0),
+pl AS (SELECT *, CASE WHEN player_id < 1000 THEN jersey + 30 WHEN player_id < 1020 THEN jersey ELSE 100 + player_id END AS jn FROM fx_players),
 j AS (SELECT jn, min(player_id) AS id FROM pl GROUP BY jn HAVING count(*) = 1),
 n AS (SELECT lower(concat(first_name, ' ', last_name)) AS k, min(player_id) AS id FROM pl GROUP BY 1 HAVING count(*) = 1)
 SELECT line, CASE WHEN pid IS NOT NULL THEN pl.player_id ELSE coalesce(j.id, n.id) END AS matched_id
@@ -73,9 +73,8 @@ def _(d):
         F.when(line % 3 == 1, line % 45).alias("jersey_number"),
         F.concat(F.lit("last"), (line % 700).cast("string"), F.lit(" , FIRST"), (line % 90).cast("string")).alias("player"),
     )
-    pl = d.fx_players.where("player_id < 1020 or player_id % 40 = 0").withColumn(
-        "jersey", F.when(F.col("player_id") < 1000, F.col("jersey") + 30).otherwise(F.col("jersey"))
-    )
+    p = F.col("player_id")
+    pl = d.fx_players.withColumn("jersey", F.when(p < 1000, F.col("jersey") + 30).when(p < 1020, F.col("jersey")).otherwise(100 + p))
     return A.match_roster(rows, pl, by_jersey=True, by_name=True).select("line", "matched_id")
 
 

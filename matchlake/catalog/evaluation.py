@@ -7,15 +7,15 @@ from .identity import shifted
 from .registry import query, rnd
 
 EV = """
-ev AS (SELECT video_id * 100000 + track_id * 10 + k AS event_id, video_id, track_id % 23 + 1 AS jersey, k * 1.5e0 + 0.25e0 AS start_s, k * 1.5e0 + 1.75e0 AS end_s,
-  6e0 + track_id % 5 AS expected_m, 30e0 AS tolerance_pct FROM (SELECT DISTINCT video_id, track_id FROM fx_detections WHERE track_id % 3 = 0), (SELECT unnest(generate_series(0, 9)) AS k))"""
+ev AS (SELECT video_id * 100000000 + track_id * 1000 + k AS event_id, video_id, track_id % 23 + 1 AS jersey, k * 1.5e0 + 0.25e0 AS start_s, k * 1.5e0 + 1.75e0 AS end_s,
+  6e0 + track_id % 5 AS expected_m, 30e0 AS tolerance_pct FROM (SELECT video_id, track_id, unnest(generate_series(0, CAST(floor(max(t) / 1.5e0) AS BIGINT))) AS k FROM fx_detections GROUP BY video_id, track_id))"""
 
 
 def events(d):
-    t = d.fx_detections.where("track_id % 3 = 0").select("video_id", "track_id").distinct()
-    t = t.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    t = d.fx_detections.groupBy("video_id", "track_id").agg(F.max("t").alias("t"))
+    t = t.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("t") / 1.5))))
     return t.selectExpr(
-        "video_id * 100000 + track_id * 10 + k as event_id", "video_id", "track_id % 23 + 1 as jersey", "k * 1.5D + 0.25D as start_s", "k * 1.5D + 1.75D as end_s",
+        "video_id * 100000000 + track_id * 1000 + k as event_id", "video_id", "track_id % 23 + 1 as jersey", "k * 1.5D + 0.25D as start_s", "k * 1.5D + 1.75D as end_s",
         "6D + track_id % 5 as expected_m", "30D as tolerance_pct",
     )
 

@@ -178,11 +178,11 @@ def _(d):
 
 @query("clean_lost_segments", "X33", """
 SELECT video_id, track_id, f, CASE WHEN f % 4 = 0 OR f + 3 >= 60 THEN NULL ELSE 2 END AS kept, CASE WHEN f % 4 = 0 OR f + 3 >= 60 THEN NULL ELSE 0 END AS first_start
-FROM fx_frames WHERE f >= 3""")
+FROM fx_frames""")
 def _(d):
     f = F.col("f")
     segs = F.array(F.array(f, F.when(f % 4 == 0, f - 1).otherwise(f + 3)), F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint")))
-    c = d.fx_frames.where("f >= 3").select("video_id", "track_id", "f", G.clean_segments(segs, F.lit(60)).alias("c"))
+    c = d.fx_frames.select("video_id", "track_id", "f", G.clean_segments(segs, F.lit(60)).alias("c"))
     return c.select(
         "video_id", "track_id", "f", F.when(F.col("c").isNotNull(), F.size("c")).cast("bigint").alias("kept"),
         F.col("c")[0][0].alias("first_start"),

@@ -174,26 +174,27 @@ col AS (SELECT video_id, track_id, quantile_cont(c1, 0.5) AS c1, quantile_cont(c
 
 def lloyd_sql(steps: int) -> str:
     out = """,
-z0 AS (SELECT video_id, 0 AS cluster, min_by(c1, (c1, track_id)) AS c1, min_by(c2, (c1, track_id)) AS c2, min_by(c3, (c1, track_id)) AS c3 FROM col GROUP BY video_id
+z0 AS MATERIALIZED (SELECT video_id, 0 AS cluster, min_by(c1, (c1, track_id)) AS c1, min_by(c2, (c1, track_id)) AS c2, min_by(c3, (c1, track_id)) AS c3 FROM col GROUP BY video_id
   UNION ALL SELECT video_id, 1, max_by(c1, (c1, track_id)), max_by(c2, (c1, track_id)), max_by(c3, (c1, track_id)) FROM col GROUP BY video_id)"""
     dist = "sqrt((col.c1 - {0}.c1) * (col.c1 - {0}.c1) + (col.c2 - {0}.c2) * (col.c2 - {0}.c2) + (col.c3 - {0}.c3) * (col.c3 - {0}.c3))"
     for i in range(steps):
         out += f""",
 n{i} AS (SELECT col.*, {dist.format('a')} AS d0, {dist.format('b')} AS d1 FROM col JOIN z{i} a ON a.video_id = col.video_id AND a.cluster = 0 JOIN z{i} b ON b.video_id = col.video_id AND b.cluster = 1),
 m{i} AS (SELECT video_id, CASE WHEN d1 < d0 THEN 1 ELSE 0 END AS cluster, avg(c1) AS c1, avg(c2) AS c2, avg(c3) AS c3 FROM n{i} GROUP BY ALL),
-z{i + 1} AS (SELECT z.video_id, z.cluster, coalesce(m.c1, z.c1) AS c1, coalesce(m.c2, z.c2) AS c2, coalesce(m.c3, z.c3) AS c3 FROM z{i} z LEFT JOIN m{i} m ON m.video_id = z.video_id AND m.cluster = z.cluster)"""
+z{i + 1} AS MATERIALIZED (SELECT z.video_id, z.cluster, coalesce(m.c1, z.c1) AS c1, coalesce(m.c2, z.c2) AS c2, coalesce(m.c3, z.c3) AS c3 FROM z{i} z LEFT JOIN m{i} m ON m.video_id = z.video_id AND m.cluster = z.cluster)"""
     out += f""",
 fin AS (SELECT col.*, {dist.format('a')} AS d0, {dist.format('b')} AS d1 FROM col JOIN z{steps} a ON a.video_id = col.video_id AND a.cluster = 0 JOIN z{steps} b ON b.video_id = col.video_id AND b.cluster = 1)"""
     return out
 
 
-LLOYD = "WITH " + SAMPLES + lloyd_sql(3)
+STEPS = 24  # the supplied tables settle in fewer
+LLOYD = "WITH " + SAMPLES + lloyd_sql(STEPS)
 
 
 @query("team_clusters", "G2", LLOYD + """
-SELECT video_id, CAST(cluster AS BIGINT) AS cluster, round(c1, 6) AS c1, round(c2, 6) AS c2, round(c3, 6) AS c3 FROM z3""")
+SELECT video_id, CAST(cluster AS BIGINT) AS cluster, round(c1, 6) AS c1, round(c2, 6) AS c2, round(c3, 6) AS c3 FROM z24""")
 def _(d):
-    z = D.team_clusters(colours(d), iterations=3)
+    z = D.team_clusters(colours(d))
     return z.select("video_id", F.col("cluster").cast("bigint"), *[F.round(c, 6).alias(c) for c in D.CHANNELS])
 
 
@@ -202,7 +203,7 @@ SELECT video_id, track_id, CAST(CASE WHEN least(d0, d1) > (d0 + d1) / 2 + 1.5e0
   CASE WHEN least(d0, d1) > (d0 + d1) / 2 + 1.5e0 * abs(d0 - d1) / 2 THEN 'referee' ELSE 'player' END AS role FROM fin""")
 def _(d):
     c = colours(d)
-    return D.assign_teams(c, D.team_clusters(c, iterations=3)).select("video_id", "track_id", F.col("team").cast("bigint"), "role")
+    return D.assign_teams(c, D.team_clusters(c)).select("video_id", "track_id", F.col("team").cast("bigint"), "role")
 
 
 @query("team_assignment_cohort", "G4", LLOYD + """,
@@ -210,17 +211,17 @@ s AS (SELECT *, least(d0, d1) AS nearest FROM fin), t AS (SELECT *, nearest > av
 SELECT video_id, track_id, CAST(CASE WHEN far THEN NULL WHEN d1 < d0 THEN 1 ELSE 0 END AS BIGINT) AS team, CASE WHEN far THEN 'referee' ELSE 'player' END AS role FROM t""")
 def _(d):
     c = colours(d)
-    return D.assign_teams(c, D.team_clusters(c, iterations=3), cohort=True).select("video_id", "track_id", F.col("team").cast("bigint"), "role")
+    return D.assign_teams(c, D.team_clusters(c), cohort=True).select("video_id", "track_id", F.col("team").cast("bigint"), "role")
 
 
 @query("team_vote", "G5", LLOYD + """,
 v AS (SELECT s.video_id, s.track_id, CASE WHEN (s.c1 - b.c1) * (s.c1 - b.c1) + (s.c2 - b.c2) * (s.c2 - b.c2) + (s.c3 - b.c3) * (s.c3 - b.c3)
    < (s.c1 - a.c1) * (s.c1 - a.c1) + (s.c2 - a.c2) * (s.c2 - a.c2) + (s.c3 - a.c3) * (s.c3 - a.c3) THEN 1 ELSE 0 END AS cluster
-  FROM smp s JOIN z3 a ON a.video_id = s.video_id AND a.cluster = 0 JOIN z3 b ON b.video_id = s.video_id AND b.cluster = 1),
+  FROM smp s JOIN z24 a ON a.video_id = s.video_id AND a.cluster = 0 JOIN z24 b ON b.video_id = s.video_id AND b.cluster = 1),
 w AS (SELECT video_id, track_id, cluster, count(*) AS n FROM v GROUP BY ALL)
 SELECT video_id, track_id, CAST(arg_max(cluster, n) AS BIGINT) AS team, CAST(sum(n) AS BIGINT) AS total FROM w GROUP BY ALL HAVING sum(n) >= 10 AND max(n) / sum(n) > 0.7""")
 def _(d):
-    out = D.team_vote(samples(d), D.team_clusters(colours(d), iterations=3))
+    out = D.team_vote(samples(d), D.team_clusters(colours(d)))
     return out.withColumn("team", F.col("team").cast("bigint"))
 
 
@@ -230,7 +231,7 @@ SELECT f.video_id, f.track_id, CAST(CASE WHEN d1 < d0 THEN 1 ELSE 0 END AS BIGIN
 FROM fin f JOIN pos ON pos.track_id = f.track_id WHERE (mx < 20 OR mx > 85) AND sx < 15 AND CASE WHEN d1 < d0 THEN d1 ELSE d0 END > 20""")
 def _(d):
     c = colours(d)
-    z = reuse(D.team_clusters(c, iterations=3))
+    z = reuse(D.team_clusters(c))
     # the colour and the position views number videos differently, so positions take the video of the colour view
     pos = d.fx_detections.select("track_id", "x").join(d.fx_colours.select("video_id", "track_id"), "track_id")
     g = D.goalkeepers(pos, D.assign_teams(c, z), c, z)
@@ -337,14 +338,15 @@ def _(d):
 
 
 @query("frame_candidates", "W32", """
-WITH q AS (SELECT DISTINCT video_id, 20 AS qf FROM fx_detections), nr AS (SELECT d.*, qf FROM fx_detections d JOIN q ON q.video_id = d.video_id WHERE abs(frame - qf) <= 15),
+WITH q AS (SELECT DISTINCT video_id, frame AS qf FROM fx_detections), nr AS (SELECT d.*, qf FROM fx_detections d JOIN q ON q.video_id = d.video_id AND abs(d.frame - qf) <= 15),
 j AS (SELECT video_id, qf, track_id, jersey, sum(CAST(confidence AS DECIMAL(20, 6))) AS w, min(frame) AS f FROM nr WHERE jersey IS NOT NULL GROUP BY ALL),
 vj AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id, qf, track_id ORDER BY w DESC, f) AS rn FROM j) WHERE rn = 1),
 t AS (SELECT video_id, qf, track_id, team, count(*) AS w, min(frame) AS f FROM nr GROUP BY ALL),
 vt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id, qf, track_id ORDER BY w DESC, f) AS rn FROM t) WHERE rn = 1)
-SELECT nr.video_id, nr.track_id, vj.jersey AS voted_jersey, CAST(vt.team AS BIGINT) AS voted_team, nr.role AS voted_role FROM nr JOIN vt ON vt.video_id = nr.video_id AND vt.track_id = nr.track_id
-LEFT JOIN vj ON vj.video_id = nr.video_id AND vj.track_id = nr.track_id WHERE nr.frame = nr.qf""")
+SELECT nr.video_id, nr.frame AS at_frame, nr.track_id, vj.jersey AS voted_jersey, CAST(vt.team AS BIGINT) AS voted_team, nr.role AS voted_role
+FROM nr JOIN vt ON vt.video_id = nr.video_id AND vt.track_id = nr.track_id AND vt.qf = nr.qf
+LEFT JOIN vj ON vj.video_id = nr.video_id AND vj.track_id = nr.track_id AND vj.qf = nr.qf WHERE nr.frame = nr.qf""")
 def _(d):
-    req = d.fx_detections.select("video_id").distinct().withColumn("at", F.lit(20))
+    req = d.fx_detections.select("video_id", F.col("frame").alias("at")).distinct()
     out = TG.frame_candidates(d.fx_detections.select("video_id", "track_id", "frame", "jersey", "team", "role", "confidence"), req)
-    return out.select("video_id", "track_id", "voted_jersey", F.col("voted_team").cast("bigint").alias("voted_team"), "voted_role")
+    return out.select("video_id", F.col("at").alias("at_frame"), "track_id", "voted_jersey", F.col("voted_team").cast("bigint").alias("voted_team"), "voted_role")

@@ -256,15 +256,15 @@ def _(d):
 
 
 @query("preview_union", "U1", """
-SELECT log_id, player_id, log_id AS order_id FROM fx_logs UNION ALL SELECT NULL, CAST(player_id AS BIGINT), 1000000000000 + line FROM fx_csv WHERE line % 23 <> 0""")
+SELECT log_id, player_id, FALSE AS unsaved, log_id AS number FROM fx_logs UNION ALL SELECT NULL, CAST(player_id AS BIGINT), TRUE, line FROM fx_csv WHERE line % 23 <> 0""")
 def _(d):
     u = d.fx_csv.where("line % 23 <> 0").select("line", F.col("player_id").cast("bigint").alias("player_id"))
-    return K.all_logs(d.fx_logs, u).select("log_id", "player_id", "order_id")
+    return K.all_logs(d.fx_logs, u).select("log_id", "player_id", "order_id.unsaved", "order_id.number")
 
 
-@query("players_to_score", "U5", "SELECT player_id FROM fx_stats UNION SELECT player_id FROM fx_logs WHERE log_id % 2 = 0")
+@query("players_to_score", "U5", "SELECT player_id FROM fx_stats UNION SELECT player_id FROM fx_logs")
 def _(d):
-    return d.fx_stats.select("player_id").union(d.fx_logs.where("log_id % 2 = 0").select("player_id")).distinct()
+    return d.fx_stats.select("player_id").union(d.fx_logs.select("player_id")).distinct()
 
 
 @query("replace_player_rows", "S13", """
@@ -313,7 +313,7 @@ def _(d):
 
 
 @query("model_auc", "M8", "WITH " + EVAL + """,
-b AS (SELECT with_hr, round(p, 6) AS q, sum(label) AS pos, sum(1 - label) AS neg FROM ev GROUP BY ALL),
+b AS (SELECT with_hr, p AS q, sum(label) AS pos, sum(1 - label) AS neg FROM ev GROUP BY ALL),
 c AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY with_hr ORDER BY q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM b)
 SELECT with_hr, round(sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)), 4) AS auc FROM c GROUP BY with_hr""")
 def _(d):

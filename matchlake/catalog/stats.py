@@ -235,11 +235,13 @@ def _(d):
 
 
 @query("dense_grid_round_trip", "A16", """
-SELECT player_id, cell_row, cell_col, sum(value) AS value FROM fx_cells WHERE grid_cols = 12 GROUP BY ALL HAVING sum(value) > 0""")
+SELECT player_id, grid_cols, cell_row, cell_col, sum(value) AS value FROM fx_cells GROUP BY ALL HAVING sum(value) > 0""")
 def _(d):
-    cells = H.sum_grids(d.fx_cells.where("grid_cols = 12"), ["player_id"])
-    back = H.sparse_grid(H.dense_grid(cells, ["player_id"], 12, 8), ["player_id"])
-    return back.where("value > 0").select("player_id", F.col("cell_row").cast("bigint"), F.col("cell_col").cast("bigint"), "value")
+    # two shapes of grid; the larger one holds both
+    keys = ["player_id", "grid_cols"]
+    cells = H.sum_grids(d.fx_cells, keys)
+    back = H.sparse_grid(H.dense_grid(cells, keys, 21, 21), keys)
+    return back.where("value > 0").select("player_id", "grid_cols", F.col("cell_row").cast("bigint"), F.col("cell_col").cast("bigint"), "value")
 
 
 @query("squad_summary", "A27 A29", f"""

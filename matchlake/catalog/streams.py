@@ -117,6 +117,6 @@ def _(d):
         rows = rows.select("player_id", "source", "log_id", "stat_id", "risk_percent", "level")
         upsert_by_player(rows, out, players)
 
-    new = S.stream_of(d.spark, d.sf_dir, "orders").where("o_orderkey % 97 = 5").select(F.col("o_custkey").alias("player_id"))
+    new = S.stream_of(d.spark, d.sf_dir, "orders").select(F.col("o_custkey").alias("player_id"))
     S.rescore_on_arrival(new, rescore, scratch_path(d.spark, "rescore-log")).awaitTermination()
     return d.spark.read.parquet(out).drop("player_bucket")

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as C
+from ..plans.materialize import materialised
 
 KEYS = ("video_id", "track_id")
 
@@ -313,16 +314,24 @@ def seed_centres(colours: DataFrame) -> DataFrame:
     )).alias("s")).select("video_id", "s.*")
 
 
-def team_clusters(colours: DataFrame, seeds: DataFrame | None = None, iterations: int = 5) -> DataFrame:
-    """Centres (video, cluster, c1..c3) by Lloyd steps for all videos at once; each step is one aggregate."""
-    centres = seeds if seeds is not None else seed_centres(colours)
-    for _ in range(iterations):
+def team_clusters(colours: DataFrame, seeds: DataFrame | None = None, max_steps: int = 300, tolerance: float = 1e-6) -> DataFrame:
+    """Centres (video, cluster, c1..c3) by Lloyd steps for all videos at once, until no centre moves by more than ``tolerance``.
+
+    Each step is one aggregate over the colours, written to the shared checkpoint folder, so that the plan stays one step
+    long. ``max_steps`` only ends a run that never settles.
+    """
+    centres = materialised(seeds if seeds is not None else seed_centres(colours))
+    for _ in range(max_steps):
         moved = nearest_centre(colours, centres).groupBy("video_id", "cluster").agg(*[F.avg(c).alias(c) for c in CHANNELS])
         # an empty cluster keeps its centre
         old = centres.select("video_id", "cluster", *[F.col(c).alias(f"__{c}") for c in CHANNELS])
-        centres = old.join(moved, ["video_id", "cluster"], "left").select(
-            "video_id", "cluster", *[F.coalesce(c, f"__{c}").alias(c) for c in CHANNELS]
-        )
+        step = materialised(old.join(moved, ["video_id", "cluster"], "left").select(
+            "video_id", "cluster", *[F.coalesce(c, f"__{c}").alias(c) for c in CHANNELS],
+            F.greatest(*[F.coalesce(F.abs(F.col(c) - F.col(f"__{c}")), F.lit(0.0)) for c in CHANNELS]).alias("__by"),
+        ))
+        centres = step.drop("__by")
+        if step.where(F.col("__by") > tolerance).isEmpty():
+            break
     return centres
 
 

@@ -181,10 +181,12 @@ def heart_rate_by_day(logs: DataFrame) -> DataFrame:
 
 def all_logs(stored: DataFrame, unsaved: DataFrame | None) -> DataFrame:
     """Stored logs plus unsaved preview rows, which come after all stored ones."""
-    s = stored.withColumn("order_id", F.col("log_id"))
+    place = lambda new, file, number: F.struct(F.lit(new).alias("unsaved"), file.cast("string").alias("file"), number.cast("bigint").alias("number"))
+    s = stored.withColumn("order_id", place(False, F.lit(""), F.col("log_id")))
     if unsaved is None:
         return s
-    u = unsaved.withColumn("order_id", F.lit(10**12) + F.col("line"))
+    file = F.col("file") if "file" in unsaved.columns else F.lit("")
+    u = unsaved.withColumn("order_id", place(True, file, F.col("line")))
     return s.unionByName(u, allowMissingColumns=True)
 
 

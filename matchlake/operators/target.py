@@ -221,9 +221,14 @@ def public_status(state: str = "state"):
 def frame_candidates(boxes: DataFrame, requests: DataFrame, radius: int = 15) -> DataFrame:
     """People on a requested frame with number, team and role voted from the frames around it.
 
-    ``requests``: video_id, at. Only rows within ``radius`` frames of a request take part in the votes.
+    ``requests``: video_id, at. Only rows within ``radius`` frames of a request take part in the votes: rows are joined on
+    slots of as many frames, of which a request touches two, and then tested.
     """
-    near = boxes.join(requests, "video_id").where(F.abs(F.col("frame") - F.col("at")) <= radius)
+    width = 2 * radius + 1
+    slot = lambda f: F.floor(f / width)
+    asked = requests.distinct().withColumn("__slot", F.explode(F.array_distinct(F.array(slot(F.col("at") - radius), slot(F.col("at") + radius)))))
+    near = boxes.withColumn("__slot", slot(F.col("frame"))).join(asked, ["video_id", "__slot"]).drop("__slot")
+    near = near.where(F.abs(F.col("frame") - F.col("at")) <= radius)
     keys = ["video_id", "at", "track_id"]
 
     def vote(column: str, weight=None) -> DataFrame:
