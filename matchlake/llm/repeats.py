@@ -134,6 +134,8 @@ def earlier_reach(around: np.ndarray, left: np.ndarray, right: np.ndarray, key:
         if j:
             roll = (roll - around[:, REACH + WIDTH - j]) * inverse + around[:, REACH - j] * top
         fits = np.flatnonzero((left >= j) & (right >= WIDTH - j))
+        if not len(fits):
+            continue
         mixed = _join(key[fits].view(np.uint64), roll[fits])
         # a suffix without an equal hash beside it can't reach WIDTH; only the others are sorted by their bytes
         order = np.argsort(mixed)

@@ -211,6 +211,14 @@ def test_suffix_order_gives_previous_smaller_neighbours():
     assert words == sorted(words)
 
 
+def test_anchors_without_a_suffix_of_full_width():
+    around = np.zeros((2, repeats.REACH + repeats.WIDTH), np.uint8)
+    low, high = repeats.earlier_reach(around, np.array([30, 30]), np.array([20, 21]), np.array([1, 1]), np.array([1, 2]))
+    assert low.tolist() == [-1, 30] or low.tolist() == [-1, -1]
+    low, high = repeats.earlier_reach(around, np.array([0, 0]), np.array([50, 50]), np.array([1, 1]), np.array([1, 2]))
+    assert low.tolist() == [-1, 0] and high.tolist() == [-1, 0]
+
+
 def test_merged_spans():
     assert repeats.merged(np.array([5, 0, 9, 2]), np.array([7, 3, 12, 5])).tolist() == [[0, 7], [9, 12]]
     assert repeats.merged(np.array([], int), np.array([], int)).shape == (0, 2)
