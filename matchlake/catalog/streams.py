@@ -112,7 +112,6 @@ def _(d):
     def rescore(players):
         rows = K.score_rows(
             stat_rows(d).join(players, "player_id", "left_semi"), logs(d).join(players, "player_id", "left_semi"), d.fx_players,
-            split=d.split_players,
         )
         rows = rows.select("player_id", "source", "log_id", "stat_id", "risk_percent", "level")
         upsert_by_player(rows, out, players)

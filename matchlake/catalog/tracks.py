@@ -72,11 +72,11 @@ KEYS = "video_id, track_id"
 
 def kin(d, source="fx_detections"):
     points = getattr(d, source).select("video_id", "track_id", "frame", "x", "y", "t", "is_detected")
-    return T.kinematics(points, FPS, split=d.split_tracks)
+    return T.kinematics(points, FPS)
 
 
 def sus(d, source="fx_detections"):
-    return reuse(T.sustained(kin(d, source), FPS, split=d.split_tracks))
+    return reuse(T.sustained(kin(d, source), FPS))
 
 
 @query("instantaneous_speed", "W1", KIN + """
@@ -156,12 +156,12 @@ def _(d):
 SELECT 'hsr' AS kind, video_id, track_id, start, "end", length FROM hsr
 UNION ALL SELECT 'sprint' AS kind, video_id, track_id, start, "end", length FROM sprint""")
 def _(d):
-    return T.bursts(sus(d), {"hsr": C.HSR_MPH, "sprint": C.SPRINT_MPH}, FPS, split=d.split_tracks)
+    return T.bursts(sus(d), {"hsr": C.HSR_MPH, "sprint": C.SPRINT_MPH}, FPS)
 
 
 @query("acceleration_events", "W8", KIN + "," + ACCEL_SQL + "SELECT * FROM events_")
 def _(d):
-    return T.acceleration_events(kin(d), FPS, split=d.split_tracks)
+    return T.acceleration_events(kin(d), FPS)
 
 
 TOP_SQL = """
@@ -175,7 +175,7 @@ top AS (SELECT video_id, track_id, coalesce(any_value(d.v), max(sustained_mph))
 @query("robust_top_speed", "W9", KIN + "," + TOP_SQL + """
 SELECT video_id, track_id, round(top_speed_mph, 6) AS top_speed_mph FROM top""")
 def _(d):
-    return T.top_speed(sus(d), split=d.split_tracks).select(*T.KEYS, F.round("top_speed_mph", 6).alias("top_speed_mph"))
+    return T.top_speed(sus(d)).select(*T.KEYS, F.round("top_speed_mph", 6).alias("top_speed_mph"))
 
 
 @query("temporal_summary", "W10", """
@@ -250,4 +250,4 @@ JOIN top USING (video_id, track_id) LEFT JOIN hc USING (video_id, track_id) LEFT
 LEFT JOIN events_ USING (video_id, track_id) JOIN vf ON vf.v = b.video_id""")
 def _(d):
     frames = d.fx_detections.groupBy("video_id").agg((F.max("frame") + 1).alias("total_frames"))
-    return T.physical(d.fx_detections, FPS, frames, split=d.split_tracks)
+    return T.physical(d.fx_detections, FPS, frames)

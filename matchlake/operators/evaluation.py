@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.numbers import stable_round
-from ..plans.blocked import BLOCK_ROWS, needs_split, with_halo, with_position
+from ..plans.blocked import BLOCK_ROWS, with_halo, with_position
 from .identity import iou
 
 
@@ -25,10 +25,9 @@ def in_event_windows(detections: DataFrame, events: DataFrame, slot_s: float = 1
 def path_length(rows: DataFrame, keys: Sequence[str], frame: str = "frame", tie: str = "track_id") -> DataFrame:
     """Length of the path through the rows of a key in frame order, and the number of rows."""
     keys = list(keys)
-    split = needs_split(rows, keys)
     src = rows.select(*keys, frame, tie, "x", "y")
-    pos = with_position(src, keys, [F.asc(frame), F.asc(tie)], F.floor(F.col(frame) / BLOCK_ROWS), out="p", split=split)
-    h = with_halo(pos, "p", before=1, after=0, split=split)
+    pos = with_position(src, keys, [F.asc(frame), F.asc(tie)], F.floor(F.col(frame) / BLOCK_ROWS), out="p")
+    h = with_halo(pos, "p", before=1, after=0)
     w = W.partitionBy(*keys, "blk").orderBy("p")
     dx, dy = F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)
     h = h.withColumn("step", F.sqrt(dx * dx + dy * dy)).where("is_owner")
@@ -108,10 +107,9 @@ def id_switches(matched: DataFrame, fps: float, keys: Sequence[str] = ("video_id
     ``matched``: keys, frame, track_id.
     """
     keys = list(keys)
-    split = needs_split(matched, keys)
     src = matched.select(*keys, "frame", "track_id")
-    pos = with_position(src, keys, [F.asc("frame")], F.floor(F.col("frame") / BLOCK_ROWS), out="p", split=split)
-    h = with_halo(pos, "p", before=1, after=0, split=split)
+    pos = with_position(src, keys, [F.asc("frame")], F.floor(F.col("frame") / BLOCK_ROWS), out="p")
+    h = with_halo(pos, "p", before=1, after=0)
     w = W.partitionBy(*keys, "blk").orderBy("p")
     h = h.withColumn("switch", (F.col("track_id") != F.lag("track_id").over(w)).cast("int")).where("is_owner")
     s = h.groupBy(*keys).agg(F.count(F.lit(1)).alias("frames"), F.coalesce(F.sum("switch"), F.lit(0)).alias("switches"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from .. import constants as C
 from ..functions.numbers import finite, per_minute, stable_round
 from ..functions.text import file_name
-from ..plans.blocked import needs_split, running, with_halo
+from ..plans.blocked import running, with_halo
 from ..plans.materialize import reuse
 from . import model as M
 
@@ -79,7 +79,7 @@ def gate_log_rows(logs: DataFrame) -> DataFrame:
 
 # ---- rolling workload -------------------------------------------------------------------------------------------
 def rolling_ratio(
-    rows: DataFrame, keys: Sequence[str], order: Sequence[str], load: str, out: str = "acwr", split: bool | None = None
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], load: str, out: str = "acwr", split: bool = True
 ) -> DataFrame:
     """Load relative to the mean of the last four usable loads before it, capped; null without history.
 
@@ -90,7 +90,6 @@ def rolling_ratio(
     usable = F.col(load).isNotNull() & (F.col(load) > 0)
     block = F.coalesce(F.unix_date(F.col(order[0])), F.lit(-1000000))
     sort = [F.asc_nulls_first(c) for c in order]
-    split = needs_split(rows, keys) if split is None else split
     counted = running(rows, keys, sort, block, {"__seen": ("sum", usable.cast("int"))}, inclusive=False, split=split)
     history = counted.where(usable).select(*keys, "__seen", F.col(load).alias("__load"))
     history = with_halo(history, "__seen", before=C.ACWR_SESSIONS, after=0, split=split)
@@ -121,7 +120,7 @@ def match_load() -> Column:
     return per_minute(F.col("distance_km"), F.col("exposure"), 1000.0)
 
 
-def match_features(rows: DataFrame, split: bool | None = None) -> DataFrame:
+def match_features(rows: DataFrame, split: bool = True) -> DataFrame:
     """Model features of gated match rows (only scored rows build history)."""
     rows = rows.withColumn("load", match_load())
     rows = rolling_ratio(rows, ["player_id", "data_quality"], ["score_date", "stat_id"], "load", split=split)
@@ -141,7 +140,7 @@ def match_features(rows: DataFrame, split: bool | None = None) -> DataFrame:
     ).drop("acwr", "load")
 
 
-def log_features(logs: DataFrame, split: bool | None = None) -> DataFrame:
+def log_features(logs: DataFrame, split: bool = True) -> DataFrame:
     logs = rolling_ratio(logs, ["player_id"], ["score_date", "order_id"], "gps_distance_km", split=split)
     m, hr = F.col("minutes_played"), F.col("heart_rate")
     return logs.withColumns(
@@ -197,16 +196,13 @@ ROW = [
 
 
 def score_rows(
-    stats: DataFrame, logs: DataFrame, players: DataFrame, model: M.RiskModel = M.DEFAULT_MODEL, split: bool | None = None
+    stats: DataFrame, logs: DataFrame, players: DataFrame, model: M.RiskModel = M.DEFAULT_MODEL, split: bool = True
 ) -> DataFrame:
     """Scored sessions of both sources.
 
     ``stats``: one row per stat with its values, video meta and ``score_date``; ``logs`` as from ``all_logs``;
-    ``players``: id and names. Rows of unknown players are left out. ``split`` says whether some player has more
-    sessions than one task should sort; None counts them.
+    ``players``: id and names. Rows of unknown players are left out.
     """
-    if split is None:
-        split = needs_split(logs, ["player_id"]) or needs_split(stats, ["player_id"])
     p = players.select(
         "player_id", is_placeholder(F.col("first_name"), F.col("last_name"), F.col("position")).alias("placeholder")
     )

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import constants as C
 from ..functions.numbers import stable_round
-from ..plans.blocked import BLOCK_ROWS, needs_split, pos_block, with_halo, with_position
+from ..plans.blocked import BLOCK_ROWS, pos_block, with_halo, with_position
 from ..plans.materialize import reuse
 from ..plans.runs import runs
 from ..plans.topk import kth_largest
@@ -42,19 +42,18 @@ def _edge_mean(col: str, w, index: Column, size: Column) -> Column:
     return total / C.SMOOTHING_ROWS
 
 
-def numbered(points: DataFrame, keys: Sequence[str] = KEYS, frame: str = "frame", split: bool | None = None) -> DataFrame:
+def numbered(points: DataFrame, keys: Sequence[str] = KEYS, frame: str = "frame", split: bool = True) -> DataFrame:
     """Position of each row in its track and the track length ``n_points``."""
     return with_position(
         points, keys, [F.asc(frame)], F.floor(F.col(frame) / BLOCK_ROWS), out="pos", total="n_points", split=split
     )
 
 
-def kinematics(points: DataFrame, fps: float, keys: Sequence[str] = KEYS, split: bool | None = None) -> DataFrame:
+def kinematics(points: DataFrame, fps: float, keys: Sequence[str] = KEYS, split: bool = True) -> DataFrame:
     """Per-row step length, raw and smoothed speed, and smoothed acceleration.
 
     Rows with ``pos = 0`` have no predecessor, so their step and speed are null. Speeds are mph, accelerations m/s².
     """
-    split = needs_split(points, keys) if split is None else split
     rows = numbered(points, keys, split=split)
     rows = with_halo(rows, "pos", before=8, after=8, split=split)
     w = W.partitionBy(*keys, "blk").orderBy("pos")
@@ -92,7 +91,7 @@ def kinematics(points: DataFrame, fps: float, keys: Sequence[str] = KEYS, split:
     return rows.where("is_owner").drop("is_owner")
 
 
-def sustained(kin: DataFrame, fps: float, keys: Sequence[str] = KEYS, split: bool | None = None) -> DataFrame:
+def sustained(kin: DataFrame, fps: float, keys: Sequence[str] = KEYS, split: bool = True) -> DataFrame:
     """Rolling median of the plausible smoothed speeds over about one second.
 
     Implausible speeds are dropped first and the rest renumbered (``vpos`` of ``n_valid``); every value stays on the
@@ -100,7 +99,6 @@ def sustained(kin: DataFrame, fps: float, keys: Sequence[str] = KEYS, split: boo
     """
     size = sustained_window(fps)
     valid = kin.where(F.col("smooth_mph") <= C.MAX_PLAUSIBLE_MPH).drop("blk")
-    split = needs_split(valid, keys) if split is None else split
     valid = with_position(valid, keys, [F.asc("pos")], pos_block("pos"), out="vpos", total="n_valid", split=split)
     valid = with_halo(valid, "vpos", before=size, after=size, split=split)
     w = W.partitionBy(*keys, "blk").orderBy("vpos")
@@ -149,7 +147,7 @@ def zone_distances() -> list[Column]:
 
 
 def bursts(
-    sus: DataFrame, thresholds_mph: dict[str, float], fps: float, keys: Sequence[str] = KEYS, split: bool | None = None
+    sus: DataFrame, thresholds_mph: dict[str, float], fps: float, keys: Sequence[str] = KEYS, split: bool = True
 ) -> DataFrame:
     """One row per burst and kind: it starts at the threshold, holds at 90 % of it, and bridges gaps of up to 0.2 s."""
     bridge = int(C.BURST_BRIDGE_S * fps)
@@ -183,7 +181,7 @@ def bursts(
     )
 
 
-def acceleration_events(kin: DataFrame, fps: float, keys: Sequence[str] = KEYS, split: bool | None = None) -> DataFrame:
+def acceleration_events(kin: DataFrame, fps: float, keys: Sequence[str] = KEYS, split: bool = True) -> DataFrame:
     """High accelerations and decelerations per track; a run of k dwell times counts k events."""
     dwell = int(C.ACCEL_DWELL_S * fps)
     kind = F.when(F.col("accel_ms2") >= C.ACCEL_MS2, "accel").when(F.col("accel_ms2") <= -C.ACCEL_MS2, "decel")
@@ -195,7 +193,7 @@ def acceleration_events(kin: DataFrame, fps: float, keys: Sequence[str] = KEYS,
     )
 
 
-def top_speed(sus: DataFrame, keys: Sequence[str] = KEYS, split: bool | None = None) -> DataFrame:
+def top_speed(sus: DataFrame, keys: Sequence[str] = KEYS, split: bool = True) -> DataFrame:
     """Sustained top speed without the highest 1 %, from detected rows when a track has any."""
     has_detected = sus.groupBy(*keys).agg(
         F.max(F.when(F.col("both_detected"), 1).otherwise(0)).alias("any_detected"),
@@ -235,10 +233,9 @@ def temporal(fps: float, total_frames: Column | None = None) -> list[Column]:
     return cols
 
 
-def physical(points: DataFrame, fps: float, total_frames: DataFrame | None = None, split: bool | None = None) -> DataFrame:
+def physical(points: DataFrame, fps: float, total_frames: DataFrame | None = None, split: bool = True) -> DataFrame:
     """One row of physical metrics per track. ``total_frames`` holds (video_id, total_frames)."""
     keys = list(KEYS)
-    split = needs_split(points, keys) if split is None else split
     kin = reuse(kinematics(points.select(*keys, "frame", "x", "y", "t", "is_detected"), fps, split=split))
     sus = reuse(sustained(kin, fps, split=split))
     base = kin.groupBy(*keys).agg(

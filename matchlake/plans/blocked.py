@@ -10,9 +10,8 @@ stalls the job. The helpers here cut each key into blocks along its order:
 
 Only the block table (one row per key and block) is ever windowed by the key alone.
 
-Cutting costs extra shuffles, so it is done only where it is needed: ``needs_split`` counts the rows of the largest key
-(one column-pruned aggregate), and keys below the limit keep the plain window with its single shuffle. Both ways give
-the same rows. ``split`` arguments take that decision once for a chain of operators; None decides on the spot.
+There is one plan for keys of any size. ``split=False`` is the plain window over whole keys, which gives the same rows;
+the tests compare the two, and it suits inputs whose keys are bounded by construction.
 """
 
 from __future__ import annotations
@@ -22,21 +21,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 BLOCK_ROWS = 4096
-MAX_KEY_ROWS = 2_000_000
-LIMIT_CONF = "spark.matchlake.maxKeyRows"
 
 
-def needs_split(df: DataFrame, keys: Sequence[str]) -> bool:
-    """True when some key has more rows than one task should sort."""
-    limit = int(df.sparkSession.conf.get(LIMIT_CONF, str(MAX_KEY_ROWS)))
-    if limit <= 0:
-        return True
-    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"]
-    return largest is not None and largest > limit
-
-
-def _join_blocks(rows: DataFrame, blocks: DataFrame, on: Sequence[str]) -> DataFrame:
-    return rows.join(blocks, list(on), "inner")
+def _key(keys: Sequence[str]) -> Column:
+    """The keys as one value: structs with null fields are equal, so null keys are keys like any other, and window and join share a shuffle."""
+    return F.struct(*keys)
 
 
 def with_position(
@@ -46,31 +35,26 @@ def with_position(
     block: Column,
     out: str = "pos",
     total: str | None = None,
-    split: bool | None = None,
+    split: bool = True,
 ) -> DataFrame:
     """Add the 0-based position of each row in its key, and the number of rows of the key as ``total``.
 
-    ``block`` must be non-null and must never decrease along ``order``. Keys must be non-null.
+    ``block`` must be non-null and must never decrease along ``order``.
     """
     keys = list(keys)
     by_key = W.partitionBy(*keys)
-    if not (needs_split(df, keys) if split is None else split):
+    if not split:
         rows = df.withColumn(out, F.row_number().over(by_key.orderBy(*order)).cast("bigint") - 1)
         return rows.withColumn(total, F.count(F.lit(1)).over(by_key)) if total else rows
-    src = df.withColumn("__blk", block)
-    before = by_key.orderBy("__blk").rowsBetween(W.unboundedPreceding, -1)
-    blocks = src.groupBy(*keys, "__blk").agg(F.count(F.lit(1)).alias("__n"))
-    cols = [*keys, "__blk", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start")]
+    src = df.withColumns({"__key": _key(keys), "__blk": block})
+    before = W.partitionBy("__key").orderBy("__blk").rowsBetween(W.unboundedPreceding, -1)
+    blocks = src.groupBy("__key", "__blk").agg(F.count(F.lit(1)).alias("__n"))
+    cols = ["__key", "__blk", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start")]
     if total:
-        cols.append(F.sum("__n").over(by_key).alias(total))
-    blocks = blocks.select(*cols)
-    local = F.row_number().over(W.partitionBy(*keys, "__blk").orderBy(*order)) - 1
-    numbered = src.withColumn("__local", local)
-    return (
-        _join_blocks(numbered, blocks, [*keys, "__blk"])
-        .withColumn(out, F.col("__start") + F.col("__local"))
-        .drop("__blk", "__local", "__start")
-    )
+        cols.append(F.sum("__n").over(W.partitionBy("__key")).alias(total))
+    local = F.row_number().over(W.partitionBy("__key", "__blk").orderBy(*order)) - 1
+    numbered = src.withColumn("__local", local).join(blocks.select(*cols), ["__key", "__blk"])
+    return numbered.withColumn(out, F.col("__start") + F.col("__local")).drop("__key", "__blk", "__local", "__start")
 
 
 _RUNNING = {"sum": F.sum, "max": F.max, "min": F.min}
@@ -83,24 +67,24 @@ def running(
     block: Column,
     values: dict[str, tuple[str, Column]],
     inclusive: bool = True,
-    split: bool | None = None,
+    split: bool = True,
 ) -> DataFrame:
     """Prefix aggregates per key along ``order``; ``inclusive=False`` leaves the row itself out.
 
     ``values`` maps an output name to ``("sum" | "max" | "min", expression)``.
     """
     keys = list(keys)
-    if not (needs_split(df, keys) if split is None else split):
+    if not split:
         w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
         plain = {c: _RUNNING[how](v).over(w) for c, (how, v) in values.items()}
         return df.withColumns({c: F.coalesce(e, F.lit(0)) if values[c][0] == "sum" else e for c, e in plain.items()})
-    src = df.withColumns({"__blk": block, **{f"__v_{c}": v for c, (_, v) in values.items()}})
-    before = W.partitionBy(*keys).orderBy("__blk").rowsBetween(W.unboundedPreceding, -1)
-    blocks = src.groupBy(*keys, "__blk").agg(*[_RUNNING[how](f"__v_{c}").alias(f"__t_{c}") for c, (how, _) in values.items()])
-    blocks = blocks.select(*keys, "__blk", *[_RUNNING[how](f"__t_{c}").over(before).alias(f"__b_{c}") for c, (how, _) in values.items()])
-    inside = W.partitionBy(*keys, "__blk").orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
+    src = df.withColumns({"__key": _key(keys), "__blk": block, **{f"__v_{c}": v for c, (_, v) in values.items()}})
+    before = W.partitionBy("__key").orderBy("__blk").rowsBetween(W.unboundedPreceding, -1)
+    blocks = src.groupBy("__key", "__blk").agg(*[_RUNNING[how](f"__v_{c}").alias(f"__t_{c}") for c, (how, _) in values.items()])
+    blocks = blocks.select("__key", "__blk", *[_RUNNING[how](f"__t_{c}").over(before).alias(f"__b_{c}") for c, (how, _) in values.items()])
+    inside = W.partitionBy("__key", "__blk").orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
     local = src.withColumns({f"__l_{c}": _RUNNING[how](f"__v_{c}").over(inside) for c, (how, _) in values.items()})
-    out = _join_blocks(local, blocks, [*keys, "__blk"])
+    out = local.join(blocks, ["__key", "__blk"])
 
     def merged(c, how):
         b, l = F.col(f"__b_{c}"), F.col(f"__l_{c}")  # noqa: E741
@@ -109,12 +93,12 @@ def running(
         return F.greatest(b, l) if how == "max" else F.least(b, l)
 
     out = out.withColumns({c: merged(c, how) for c, (how, _) in values.items()})
-    return out.drop("__blk", *[f"__{p}_{c}" for c in values for p in "vlb"])
+    return out.drop("__key", "__blk", *[f"__{p}_{c}" for c in values for p in "vlb"])
 
 
 def asof_before(
     queries: DataFrame, facts: DataFrame, keys: Sequence[str], at: str, fact_at: str, out: str, block_size: int = BLOCK_ROWS,
-    split: bool | None = None,
+    split: bool = True,
 ) -> DataFrame:
     """Add to each query row the greatest ``fact_at`` strictly below ``at`` within its key (null if none).
 

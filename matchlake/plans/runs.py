@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .blocked import BLOCK_ROWS, needs_split
+from .blocked import BLOCK_ROWS
 
 _MERGE = {"sum": F.sum, "min": F.min, "max": F.max}
 
@@ -24,7 +24,7 @@ def runs(
     measures: dict[str, tuple[str, Column]] | None = None,
     block: str | None = None,
     block_rows: int = BLOCK_ROWS,
-    split: bool | None = None,
+    split: bool = True,
 ) -> DataFrame:
     """One row per run: keys, ``state``, ``start``, ``end``, ``n`` and the merged ``measures``.
 
@@ -34,7 +34,6 @@ def runs(
     """
     keys = list(keys)
     measures = measures or {}
-    split = needs_split(rows, keys) if split is None else split
     st = F.col(state) if state else F.lit(True)
     src = rows.select(
         *keys,

@@ -6,12 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .blocked import needs_split, with_position
+from .blocked import with_position
 
 
 def kth_largest(
     df: DataFrame, keys: Sequence[str], value: str, index: Column, count: str, out: str, bin_width: float = 0.01,
-    split: bool | None = None,
+    split: bool = True,
 ) -> DataFrame:
     """Value at 0-based descending position ``index`` (an expression over the row count column ``count``).
 
@@ -19,7 +19,7 @@ def kth_largest(
     that bin is resolved exactly. Null values are ignored.
     """
     keys = list(keys)
-    if not (needs_split(df, keys) if split is None else split):
+    if not split:
         w = W.partitionBy(*keys)
         rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
         rows = rows.withColumns({count: F.count(F.lit(1)).over(w), "__r": F.row_number().over(w.orderBy(F.desc("__v"))) - 1})

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from matchlake.operators import trajectory as T
-from matchlake.plans.blocked import LIMIT_CONF, asof_before, needs_split, running, with_halo, with_position
+from matchlake.plans.blocked import asof_before, running, with_halo, with_position
 from matchlake.plans.runs import runs
 from matchlake.plans.topk import kth_largest, ordinal_rank
 
@@ -76,14 +76,13 @@ def test_asof(spark):
         assert [tuple(r) for r in sorted(got.collect())] == [(k, a, b) for k, a, b in want]
 
 
-def test_size_check(spark):
-    df = series(spark)
-    assert not needs_split(df, ["k"])
-    spark.conf.set(LIMIT_CONF, "100")
-    try:
-        assert needs_split(df, ["k"])
-    finally:
-        spark.conf.unset(LIMIT_CONF)
+def test_null_keys_are_kept(spark):
+    df = spark.createDataFrame([(None, 1, 2.0), (None, 40, 3.0), (1, 1, 5.0)], "k int, f bigint, v double")
+    block = F.floor(F.col("f") / 16)
+    p = with_position(df, ["k"], [F.asc("f")], block, out="p", total="n").select(F.coalesce("k", F.lit(-1)), "f", "p", "n")
+    assert rows(p, "*") == [(-1, 1, 0, 2), (-1, 40, 1, 2), (1, 1, 0, 1)]
+    r = running(df, ["k"], [F.asc("f")], block, {"a": ("sum", F.col("v"))}).select(F.coalesce("k", F.lit(-1)), "f", "a")
+    assert rows(r, "*") == [(-1, 1, 2.0), (-1, 40, 5.0), (1, 1, 5.0)]
 
 
 def test_trajectory_chain_is_the_same_when_cut(spark):
