@@ -6,28 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
-
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def materialised(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there.
-
-    The lineage ends at files that every executor sees, so a lost executor costs no recomputation and every later
-    reader gets the same rows. The shuffle files behind them are removed as soon as they are written.
-    """
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        return df.select("*").checkpoint(eager=True)  # a new query, which reads the setting when it is made
-    finally:
-        spark.conf.set(CLEANUP, before)
+from ..plans.materialize import materialised  # noqa: F401
 
 
 def id_bucket(col: str, parts: int) -> Column:
