@@ -176,6 +176,7 @@ def csv_cells(text: Column) -> Column:
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Records of whole CSV files; a quoted cell may hold line breaks. ``line`` is where a record starts."""
+    csv.field_size_limit(1 << 31)
     for batch in batches:
         for name, text in zip(batch.column("file").to_pylist(), batch.column("value").to_pylist()):
             reader, before = csv.reader(io.StringIO((text or "").removeprefix("\ufeff"), newline="")), 0
