@@ -21,7 +21,9 @@ def key_column(spark: SparkSession) -> Column:
 
 def encrypt(value: Column, key: Column) -> Column:
     """Encrypted text of a string column; null stays null."""
-    nonce = F.unhex(F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 24))
+    # the first 12 digits of a UUID are random throughout; its version and variant bits come later
+    part = lambda: F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 12)
+    nonce = F.unhex(F.concat(part(), part()))
     return F.base64(F.aes_encrypt(F.encode(value, "UTF-8"), key, F.lit("GCM"), F.lit("DEFAULT"), nonce, F.lit(AAD)))
 
 

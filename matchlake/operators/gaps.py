@@ -265,7 +265,8 @@ BALL_SCHEMA = "video_id bigint, track_id bigint, frame bigint, cx double, cy dou
 def ball_rows(fps: float, ball: BallFilter | None = None, seen: list[int] | None = None):
     """Step function for ``ordered_scan``: detections in, one row per frame out (predicted where missing or gated).
 
-    ``seen`` holds the last frame handled; both arguments let a stream resume from stored state.
+    ``seen`` holds the last frame handled; both arguments let a stream resume from stored state. Frames up to it come late
+    or again and are left out, so no frame is written twice.
     """
     ball = ball or BallFilter(fps)
     seen = [] if seen is None else seen
@@ -273,6 +274,8 @@ def ball_rows(fps: float, ball: BallFilter | None = None, seen: list[int] | None
     def step(part: pd.DataFrame) -> pd.DataFrame:
         out = []
         for v, t, frame, x, y in part[["video_id", "track_id", "frame", "cx", "cy"]].itertuples(index=False):
+            if seen and frame <= seen[0]:
+                continue
             if seen:
                 for missing in range(seen[0] + 1, frame):
                     px, py = ball.predict()

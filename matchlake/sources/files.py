@@ -31,6 +31,26 @@ DETECTIONS = T.StructType(
         T.StructField("role", T.StringType()),
     ]
 )
+# Fields of the tracker's statistics per player.
+STATS = T.StructType(
+    [
+        T.StructField("track_id", T.LongType()),
+        T.StructField("jersey_number", T.LongType()),
+        T.StructField("team", T.StringType()),
+        T.StructField("role", T.StringType()),
+        *[
+            T.StructField(n, T.DoubleType())
+            for n in (
+                "top_speed_mph", "top_speed_kmh", "distance_km", "distance_m", "minutes_played", "minutes_played_s", "visible_minutes",
+                "visible_minutes_s", "coverage_pct", "distance_per_min_m", "avg_pitch_x", "avg_pitch_y", "high_speed_distance_km",
+                "sprint_distance_km", "sprint_count", "hsr_count", "hi_efforts_count", "accel_count_high", "decel_count_high",
+                "zone_walk_km", "zone_jog_km", "zone_run_km", "zone_hsr_km", "zone_sprint_km",
+            )
+        ],
+        T.StructField("injury_risk", T.StringType()),
+        T.StructField("contributing_track_ids", T.ArrayType(T.LongType())),
+    ]
+)
 CALIBRATION = (
     "camera_id long, pitch_dimensions struct<width_m: double, length_m: double>, "
     "correspondences array<struct<image: array<double>, pitch: array<double>>>"
@@ -68,6 +88,25 @@ def read_json_list(
     return good.unionByName(repaired)
 
 
+def read_stat_lists(spark: SparkSession, path: str, id_from_path: str, multi_line: bool = True) -> DataFrame:
+    """Statistic rows of JSON list files, one file per video, by the same rules as detections."""
+    return read_json_list(spark, path, STATS, id_from_path, multi_line)
+
+
+def output_problems(spark: SparkSession, path: str, id_from_path: str, videos: DataFrame) -> DataFrame:
+    """``problem`` of the list file of each video: missing, not valid JSON, not a list; null if it can be read.
+
+    A video with a problem must not be stored: its rows are incomplete. Files are read whole, one per task at a time.
+    """
+    found = read_text_files(spark, path, id_from_path).select("video_id", F.lit(True).alias("__found"), F.try_parse_json("body").alias("__v"))
+    kind = F.schema_of_variant("__v")
+    problem = (
+        F.when(F.col("__found").isNull(), "output is missing").when(F.col("__v").isNull(), "output is not valid JSON")
+        .when(~kind.startswith("ARRAY"), "output must be a list")
+    )
+    return videos.select("video_id").distinct().join(found, "video_id", "left").select("video_id", problem.alias("problem"))
+
+
 def read_text_files(spark: SparkSession, path: str, id_from_path: str) -> DataFrame:
     """(video_id, body) of whole small files."""
     df = spark.read.text(path, wholetext=True).withColumnRenamed("value", "body")
