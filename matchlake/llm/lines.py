@@ -4,8 +4,8 @@ Texts are cut into units at line breaks (or blank lines). A unit is normalised (
 hashed; of all units with one digest the earliest ranked stays, by (id, place), and the others are removed. Offsets into
 the original text are kept. Units of fewer than ``min_words`` words are never removed, nor do they make others go.
 
-The earliest place of a digest is a partial aggregate, and the join that brings it back can be split, so a line that a
-third of all documents share is no hot group. Texts are joined once, with the units that they lose.
+The earliest place of a digest is a partial aggregate, and the join that brings it back is salted, so a line that a third
+of all documents share is no hot group. Texts are joined once, with the units that they lose.
 
 Null texts count as empty (one empty unit). Rows with a null id rank last; rows with equal ids rank by their place in the
 input. Repeated rows come back once each; all units of the later ones go. Other columns are dropped.
@@ -41,7 +41,7 @@ def normalised(unit: str) -> str:
     return _SPACE.sub(" ", unit.lower().replace("\n", " ")).strip(" ")
 
 
-def repeated_units(docs: DataFrame, *, unit: str = "line", min_words: int = 5) -> DataFrame:
+def repeated_units(docs: DataFrame, *, unit: str = "line", min_words: int = 5, salts: int = 16) -> DataFrame:
     """``row``, ``places``: the places (numbers of units) that each row of ``docs`` (``doc_id``, ``row``, ``text``) loses."""
     cut = CUTS[unit]
     kind = docs.schema["doc_id"].dataType
@@ -63,7 +63,10 @@ def repeated_units(docs: DataFrame, *, unit: str = "line", min_words: int = 5) -
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("row", T.LongType()), T.StructField("place", T.LongType()), T.StructField("digest", T.BinaryType())])
     found = docs.select("doc_id", "row", "text").mapInArrow(digests, schema).withColumn("at", F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row", "place"))
     first = found.groupBy("digest").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return found.join(first, "digest").where("at <> first").groupBy("row").agg(F.collect_list("place").alias("places"))
+    # the rows of one digest are dealt over ``salts`` tasks, each of which gets its earliest place
+    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    found = found.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
+    return found.join(first, ["digest", "salt"]).where("at <> first").groupBy("row").agg(F.collect_list("place").alias("places"))
 
 
 def remove_repeated_units(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", min_words: int = 5) -> DataFrame:
