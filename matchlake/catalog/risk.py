@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..operators import model as M, registry as R, risk as K
 from ..plans.materialize import reuse
+from ..sources.sinks import scratch_path
 from .registry import query, rnd
 
 LOAD = ["minutes_played", "visible_minutes", "sprint_count", "hsr_distance_km"]
@@ -222,6 +223,29 @@ def _(d):
     return K.roster_report(d.fx_players, with_id(scored(d)).drop("contributions", "display"))
 
 
+def stored(d):
+    """All scores stored by player, and one player's stored again: (rows read back, schema)."""
+    path, key = scratch_path(d.spark, "scores"), F.unhex(F.sha2(F.lit("matchlake sample key"), 256))
+    rows = reuse(scored(d))
+    K.store_scores(rows, d.fx_players, path, key, buckets=16)
+    some = d.fx_players.where(F.col("player_id") <= 20)
+    K.store_scores(rows.join(some.select("player_id"), "player_id", "left_semi"), some, path, key, buckets=16)
+    return K.stored_scores(d.spark, path, key, K.details_type(rows))
+
+
+@query("stored_scores", "S13 X27", "WITH " + ALLROWS + "SELECT player_id, source, stat_id, log_id, score_date, score_status, data_quality, risk_percent, level FROM ar")
+def _(d):
+    return stored(d).select("player_id", "source", "stat_id", "log_id", "score_date", "score_status", "data_quality", "risk_percent", "level")
+
+
+@query("stored_roster", "M10", "WITH " + ALLROWS + """
+SELECT p.player_id, risk_percent, coalesce(level, 'unknown') AS level, coalesce(score_status, 'no_data') AS score_status FROM fx_players p LEFT JOIN la ON la.player_id = p.player_id""")
+def _(d):
+    # a report reads the stored rows; nothing is scored for it
+    rows = with_id(stored(d)).drop("display", "model_features", "contributions")
+    return K.roster_report(d.fx_players, rows).select("player_id", "risk_percent", "level", "score_status")
+
+
 @query("risk_history", "M11", "WITH " + ALLROWS + "SELECT player_id, risk_id, score_date, risk_percent, level FROM ar")
 def _(d):
     return K.history(with_id(scored(d))).select("player_id", "risk_id", "score_date", "risk_percent", "level")

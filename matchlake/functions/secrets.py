@@ -6,7 +6,7 @@ keep plans of such jobs out of shared logs (``spark.sql.redaction.string.regex``
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession, functions as F
+from pyspark.sql import Column, SparkSession, functions as F, types as T
 
 AAD = "soccer-health-v1"  # fixed value: part of the stored format
 KEY_CONF = "spark.matchlake.health.key"
@@ -39,3 +39,13 @@ def encrypt_number(value: Column, key: Column) -> Column:
 
 def decrypt_number(text: Column, key: Column) -> Column:
     return decrypt(text, key).try_cast("double")
+
+
+def encrypt_json(value: Column, key: Column) -> Column:
+    """Encrypted JSON text of a struct, array or map; null stays null."""
+    return encrypt(F.to_json(value), key)
+
+
+def decrypt_json(text: Column, key: Column, schema: T.DataType) -> Column:
+    """Value of an encrypted JSON text, null when the text was changed or the key is wrong."""
+    return F.from_json(decrypt(text, key), schema)

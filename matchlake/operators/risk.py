@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from .. import constants as C
 from ..functions.numbers import finite, per_minute, stable_round
+from ..functions.secrets import decrypt_json, decrypt_number, encrypt_json, encrypt_number
 from ..functions.text import file_name
 from ..plans.blocked import running, with_halo
 from ..plans.materialize import reuse
+from ..sources.sinks import upsert_by_player
 from . import model as M
 
 DISPLAY = [
@@ -240,6 +242,39 @@ def score_rows(
     )
 
 
+# ---- stored scores ----------------------------------------------------------------------------------------------
+STORED = ["player_id", "source", "stat_id", "log_id", "match_id", "video_id", "score_date", "level", "score_status", "score_note", "data_quality"]
+
+
+def _details(rows: DataFrame) -> Column:
+    return F.struct("display", F.struct(*C.FEATURES).alias("model_features"), "contributions")
+
+
+def seal(rows: DataFrame, key: Column) -> DataFrame:
+    """Scored rows as they are stored: percent and details encrypted, the rest in the clear."""
+    return rows.select(*STORED, encrypt_number(F.col("risk_percent"), key).alias("risk_percent_enc"), encrypt_json(_details(rows), key).alias("details_enc"))
+
+
+def unseal(stored: DataFrame, key: Column, details: T.DataType) -> DataFrame:
+    """Stored rows with ``risk_percent`` and the fields of ``details``; what can't be decrypted is null."""
+    opened = stored.withColumn("__d", decrypt_json(F.col("details_enc"), key, details))
+    return opened.select(*STORED, decrypt_number(F.col("risk_percent_enc"), key).alias("risk_percent"), "__d.*")
+
+
+def store_scores(rows: DataFrame, players: DataFrame, path: str, key: Column, buckets: int = 256) -> None:
+    """Replace the stored scores of ``players`` by ``rows``; a player without rows is cleared. Reports read the table instead of scoring."""
+    upsert_by_player(seal(rows, key), path, players, buckets)
+
+
+def stored_scores(spark: SparkSession, path: str, key: Column, details: T.DataType) -> DataFrame:
+    return unseal(spark.read.parquet(path), key, details)
+
+
+def details_type(rows: DataFrame) -> T.DataType:
+    """Schema of the stored details of scored rows."""
+    return rows.select(_details(rows).alias("d")).schema["d"].dataType
+
+
 # ---- reports ----------------------------------------------------------------------------------------------------
 def latest_scores(rows: DataFrame, row_id: str = "risk_id") -> DataFrame:
     """Newest scored session per player; unscored rows only when nothing is scored; match before csv on one day."""
