@@ -120,6 +120,40 @@ def _(d):
     return out.withColumns({c: F.round(c, 6) for c in ("tracked_pct", "avg_conf")})
 
 
+UNION = f"""
+tot AS (SELECT video_id, track_id, max(f) + 1 AS total FROM fx_frames GROUP BY ALL),
+i AS (SELECT video_id, track_id, start, "end" FROM segs WHERE state = 'lost'
+  UNION ALL SELECT video_id, track_id, greatest(0, start), least("end", total - 1) FROM sup JOIN tot USING (video_id, track_id) WHERE start < total),
+r AS (SELECT *, max("end") OVER ({P} ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i),
+g AS (SELECT *, sum(CASE WHEN start <= reach + 1 THEN 0 ELSE 1 END) OVER ({P} ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM r),
+un AS (SELECT video_id, track_id, min(start) AS start, max("end") AS "end" FROM g GROUP BY video_id, track_id, island)"""
+
+
+def supplied(d):
+    return d.fx_frames.where("f % 17 = 1").select("video_id", "track_id", (F.col("f") - 2).alias("start"), (F.col("f") + 3).alias("end"))
+
+
+@query("replay_summary_supplied", "W23", "WITH " + SEG + "," + SUPPLIED + "," + UNION + """,
+k AS (SELECT video_id, track_id, count(*) AS known FROM sup GROUP BY ALL),
+o AS (SELECT video_id, track_id, count(*) FILTER (WHERE state = 'lost') AS own FROM segs GROUP BY ALL),
+l AS (SELECT video_id, track_id, max("end" - start + 1) AS longest FROM un GROUP BY ALL)
+SELECT video_id, track_id, coalesce(known, own) AS lost_segments, coalesce(longest, 0) AS longest_lost, coalesce(longest, 0) / 10e0 AS longest_lost_s
+FROM o LEFT JOIN k USING (video_id, track_id) LEFT JOIN l USING (video_id, track_id)""")
+def _(d):
+    out = G.replay_summary(d.fx_frames, FPS, supplied=supplied(d))
+    return out.select("video_id", "track_id", "lost_segments", "longest_lost", "longest_lost_s")
+
+
+@query("track_issues_supplied", "W24", "WITH " + SEG + "," + SUPPLIED + "," + UNION + f""",
+i1 AS (SELECT *, CASE WHEN state = 'lost' OR EXISTS (SELECT 1 FROM un WHERE un.video_id = fr.video_id AND un.track_id = fr.track_id AND fr.f BETWEEN un.start AND un."end") THEN 'lost'
+  WHEN state = 'occluded' THEN 'occluded' WHEN conf < 0.5 THEN 'low' END AS kind FROM fx_frames fr),
+i2 AS (SELECT *, CASE WHEN lag(kind) OVER w = kind AND lag(f) OVER w = f - 1 THEN 0 ELSE 1 END AS fresh FROM i1 WHERE kind IS NOT NULL WINDOW w AS ({P} ORDER BY f)),
+i3 AS (SELECT *, sum(fresh) OVER ({P} ORDER BY f) AS seg FROM i2)
+SELECT video_id, track_id, any_value(kind) AS kind, min(f) AS start, max(f) AS "end" FROM i3 GROUP BY video_id, track_id, seg""")
+def _(d):
+    return G.issues(d.fx_frames, FPS, supplied=supplied(d)).select("video_id", "track_id", "kind", "start", "end")
+
+
 ISSUES = f"""
 i1 AS (SELECT *, CASE WHEN state = 'lost' THEN 'lost' WHEN state = 'occluded' THEN 'occluded' WHEN conf < 0.5 THEN 'low' END AS kind FROM fx_frames),
 i2 AS (SELECT *, CASE WHEN lag(kind) OVER w = kind AND lag(f) OVER w = f - 1 THEN 0 ELSE 1 END AS fresh FROM i1 WHERE kind IS NOT NULL WINDOW w AS ({P} ORDER BY f)),

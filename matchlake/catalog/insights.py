@@ -245,6 +245,15 @@ def _(d):
     return TG.key_suggestions(TG.index_from_rows(d.fx_tags), ["Weather", "Pitch", "Opponent", "Time of day"])
 
 
+@query("tag_value_suggestions", "K10", "WITH " + TAGS + """,
+p AS (SELECT * FROM (VALUES ('weather', 'rain', 0), ('weather', 'hail', 1), ('mood', 'good', 0)) AS t(key_fold, value_fold, place))
+SELECT lower(key) AS key_fold, lower(value) AS value_fold, count(*) AS uses, 0 AS source, 0 AS place FROM tg0 GROUP BY lower(key), lower(value)
+UNION ALL SELECT key_fold, value_fold, 0, 1, place FROM p WHERE NOT EXISTS (SELECT 1 FROM tg0 WHERE lower(key) = p.key_fold AND lower(value) = p.value_fold)""")
+def _(d):
+    found = TG.value_suggestions(TG.index_from_rows(d.fx_tags), {"Weather": ["Rain", "Hail"], "Mood": ["Good"]})
+    return found.select("key_fold", "value_fold", "uses", "source", "place")
+
+
 @query("tag_replacement", "U6", "WITH " + TAGS + """
 SELECT user_id, match_id, key_fold, value_fold FROM tg WHERE match_id % 4 <> 0
 UNION ALL SELECT user_id, match_id, 'weather' AS key_fold, 'snow' AS value_fold FROM fx_matches WHERE match_id % 4 = 0""")

@@ -152,10 +152,15 @@ def track_summary(frames: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 
 def replay_summary(
-    frames: DataFrame, fps: float, server: DataFrame | None = None, keys: Sequence[str] = KEYS, client_rule: bool = False
+    frames: DataFrame, fps: float, server: DataFrame | None = None, keys: Sequence[str] = KEYS, client_rule: bool = False,
+    supplied: DataFrame | None = None,
 ) -> DataFrame:
     """Replay numbers per track; values the server supplies win. ``client_rule`` counts every lost run that has a
-    following segment as a re-acquisition, the default only those that end in a tracked frame."""
+    following segment as a re-acquisition, the default only those that end in a tracked frame.
+
+    ``supplied`` (keys, start, end) are lost segments known from elsewhere: the longest one is taken over their union with
+    the frames' own, and a track that has any counts these instead of its own.
+    """
     keys = list(keys)
     base = frames.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("frames"),
@@ -170,9 +175,18 @@ def replay_summary(
         F.max(F.when(F.col("state") == "lost", F.col("end"))).alias("__last_lost"),
     )
     out = base.join(seg, keys, "left")
+    if supplied is not None:
+        totals = frames.groupBy(*keys).agg((F.max("f") + 1).alias("total"))
+        union = lost_runs(frames, supplied, totals, keys).groupBy(*keys).agg(F.max(F.col("end") - F.col("start") + 1).alias("__longest"))
+        known = supplied.groupBy(*keys).agg(F.count(F.lit(1)).alias("__known"))
+        out = out.join(union, keys, "left").join(known, keys, "left").withColumns(
+            {"longest_lost": F.coalesce("__longest", "longest_lost"), "__own": F.col("lost_segments"), "lost_segments": F.coalesce("__known", "lost_segments")}
+        )
+    else:
+        out = out.withColumn("__own", F.col("lost_segments"))
     if client_rule:
         trailing = (F.col("__last_lost") == F.col("__last")).cast("int")
-        out = out.withColumn("reacquisitions", F.col("lost_segments") - F.coalesce(trailing, F.lit(0)))
+        out = out.withColumn("reacquisitions", F.col("__own") - F.coalesce(trailing, F.lit(0)))
     else:
         out = out.join(reacquisitions(frames, keys), keys, "left")
     if server is not None:
@@ -190,10 +204,18 @@ def replay_summary(
     )
 
 
-def issues(frames: DataFrame, fps: float, min_frames: int = 1, low_conf: float = 0.5, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Lost, occluded and low-confidence runs of at least ``min_frames`` frames."""
+def issues(
+    frames: DataFrame, fps: float, min_frames: int = 1, low_conf: float = 0.5, keys: Sequence[str] = KEYS, supplied: DataFrame | None = None
+) -> DataFrame:
+    """Lost, occluded and low-confidence runs of at least ``min_frames`` frames; frames of ``supplied`` segments are lost."""
+    gone = F.col("state") == "lost"
+    if supplied is not None:
+        totals = frames.groupBy(*keys).agg((F.max("f") + 1).alias("total"))
+        inside = lost_runs(frames, supplied, totals, keys).select(*keys, F.explode(F.sequence("start", "end")).alias("f"), F.lit(True).alias("__gone"))
+        frames = frames.join(inside, [*keys, "f"], "left")
+        gone = gone | F.col("__gone")
     kind = (
-        F.when(F.col("state") == "lost", "lost").when(F.col("state") == "occluded", "occluded").when(F.col("conf") < low_conf, "low")
+        F.when(gone, "lost").when(F.col("state") == "occluded", "occluded").when(F.col("conf") < low_conf, "low")
     )
     rows = frames.withColumn("kind", kind).where("kind is not null")
     r = runs(rows, keys, pos="f", state="kind").where(F.col("n") >= min_frames)

@@ -121,3 +121,14 @@ def key_suggestions(index: DataFrame, presets: Sequence[str]) -> DataFrame:
     extra = spark.createDataFrame([(p.lower(), i) for i, p in enumerate(presets)], "key_fold string, place int")
     extra = extra.join(used, "key_fold", "left_anti").select("key_fold", F.lit(0).cast("bigint").alias("uses"), F.lit(1).alias("source"), "place")
     return used.withColumn("place", F.lit(0)).unionByName(extra).orderBy("source", F.desc("uses"), "place", "key_fold")
+
+
+def value_suggestions(index: DataFrame, presets: dict[str, Sequence[str]]) -> DataFrame:
+    """Per key its past values by use, then the presets of that key that are not used yet (a few fixed rows)."""
+    rows = [(k.lower(), v.lower(), v, i) for k, values in presets.items() for i, v in enumerate(values)]
+    extra = index.sparkSession.createDataFrame(rows, "key_fold string, value_fold string, value string, place int")
+    used = index.select("key_fold", "value_fold", "value", F.col("count").alias("uses"), F.lit(0).alias("source"), F.lit(0).alias("place"))
+    fresh = extra.join(index, ["key_fold", "value_fold"], "left_anti").select(
+        "key_fold", "value_fold", "value", F.lit(0).cast("bigint").alias("uses"), F.lit(1).alias("source"), "place"
+    )
+    return used.unionByName(fresh).orderBy("key_fold", "source", F.desc("uses"), "place", "value_fold")
