@@ -232,6 +232,8 @@ def ingested(d):
         none.cast("double").alias("distance_per_min_m"), F.when(F.col("track_id") % 2 == 0, F.round("mx", 6)).alias("avg_pitch_x"),
         F.when(F.col("track_id") % 2 == 0, 34.0).alias("avg_pitch_y"), F.col("n").alias("hsr_count"), F.col("n").alias("sprint_count"),
         none.cast("bigint").alias("hi_efforts_count"), F.lit("Low").alias("injury_risk"), none.cast("double").alias("clip_minutes"),
+        (F.col("n") / 40).alias("high_speed_distance_km"), (F.col("n") / 80).alias("sprint_distance_km"), F.col("n").alias("accel_count_high"),
+        F.col("n").alias("decel_count_high"), *[(F.col("n") / (100 * (i + 1))).alias(f"zone_{z}_km") for i, z in enumerate(("walk", "jog", "run", "hsr", "sprint"))],
     )
     v = d.fx_detections.select("video_id").distinct().select(
         "video_id", (F.col("video_id") % 25).alias("home_team_id"), ((F.col("video_id") + 7) % 25).alias("away_team_id")
@@ -244,6 +246,15 @@ def _(d):
     return ingested(d)["stats"]
 
 
+@query("ingested_totals", "G15", """
+WITH t AS (SELECT video_id, track_id, count(*) AS n FROM fx_detections GROUP BY ALL)
+SELECT metric_key, CAST(count(*) > 0 AS BOOLEAN) AS stored FROM (SELECT unnest(['minutes_played', 'visible_minutes', 'coverage_pct', 'distance_per_min', 'top_speed_kmh', 'avg_pitch_x',
+  'avg_pitch_y', 'hsr_count', 'sprint_count', 'high_intensity_efforts', 'hsr_distance_km', 'sprint_distance_km', 'accels', 'decels', 'zone1_distance_km', 'zone2_distance_km',
+  'zone3_distance_km', 'zone4_distance_km', 'zone5_distance_km']) AS metric_key), t GROUP BY metric_key""")
+def _(d):
+    return ingested(d)["metrics"].groupBy("metric_key").agg((F.count(F.lit(1)) > 0).alias("stored"))
+
+
 @query("ingested_metrics", "G15")
 def _(d):
     return ingested(d)["metrics"]

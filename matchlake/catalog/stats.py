@@ -116,7 +116,7 @@ SELECT player_id, video_id, tracks, {rnd('mph', 2)} AS top_speed_mph, {rnd('km',
   coalesce({rnd('kmh', 2)}, {rnd('mph * 1.60934e0', 2)}) AS top_speed_kmh, {rnd('ax', 2)} AS avg_pitch_x, {rnd('ay', 2)} AS avg_pitch_y,
   hsr_count, sprint_count, high_intensity_efforts FROM h""")
 def _(d):
-    return S.merged_fragments(d.fx_fragments)
+    return S.merged_fragments(d.fx_fragments).drop(*S.SUMMED)
 
 
 @query("registry_merge", "A5", """

@@ -11,11 +11,11 @@ from ..functions.text import object_class, team_side
 from ..plans.materialize import reuse
 from . import heatmap as H
 from .identity import resolve_players, track_identity
-from .stats import merged_fragments
+from .stats import SUMMED, merged_fragments
 
 METRIC_COLUMNS = [
     "minutes_played", "visible_minutes", "coverage_pct", "distance_per_min", "top_speed_kmh", "avg_pitch_x", "avg_pitch_y", "hsr_count",
-    "sprint_count", "high_intensity_efforts",
+    "sprint_count", "high_intensity_efforts", *SUMMED,
 ]
 
 

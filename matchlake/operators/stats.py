@@ -81,6 +81,16 @@ def with_jersey_override(players: DataFrame, overrides: DataFrame) -> DataFrame:
     return joined.withColumn("jersey", F.when(F.col("__has"), F.col("__o")).otherwise(F.col("jersey"))).drop("__o", "__has")
 
 
+#: Stored metrics that are added up over the fragments of a player, whatever name the tracker gives them.
+SUMMED = ["hsr_distance_km", "sprint_distance_km", "accels", "decels", *[f"zone{n}_distance_km" for n in range(1, 6)]]
+
+
+def _tracker_value(fragments: DataFrame, key: str) -> Column:
+    """The first column of ``fragments`` that means metric ``key``; null without one."""
+    name = next((c for c, k in R.ALIASES.items() if k == key and c in fragments.columns), None)
+    return F.col(name).cast("double") if name else F.lit(None).cast("double")
+
+
 def merged_fragments(fragments: DataFrame, keys: Sequence[str] = ("player_id", "video_id")) -> DataFrame:
     """Combine the tracks that belong to one player in one video."""
     played = _minutes("minutes_played")
@@ -116,6 +126,7 @@ def merged_fragments(fragments: DataFrame, keys: Sequence[str] = ("player_id", "
         F.sum("hsr_count").alias("hsr_count"),
         F.sum("sprint_count").alias("sprint_count"),
         F.sum(efforts).alias("high_intensity_efforts"),
+        *[F.sum(_tracker_value(fragments, k)).alias(k) for k in SUMMED],
     )
     # the clip caps the minutes, but only when its length is known
     cap = lambda c: F.when(F.col("clip").isNotNull(), F.least(F.col(c), F.col("clip"))).otherwise(F.col(c))
@@ -152,6 +163,7 @@ def merged_fragments(fragments: DataFrame, keys: Sequence[str] = ("player_id", "
         "hsr_count",
         "sprint_count",
         "high_intensity_efforts",
+        *[stable_round(k, R.BY_KEY[k].decimals + 1).alias(k) for k in SUMMED],
     )
 
 

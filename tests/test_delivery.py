@@ -99,3 +99,15 @@ def test_clusters_settle(spark):
     centres = {r.cluster: r.c1 for r in D.team_clusters(df).collect()}
     assert centres == {0: 19.5, 1: 301.0}
     assert D.team_clusters(df.withColumn("c1", F.lit(1.0))).count() == 2
+
+
+def test_every_summed_metric_of_a_fragment_is_stored(spark):
+    from matchlake.operators import ingest as G
+
+    base = {c: None for c in ("distance_m", "minutes_played_s", "visible_minutes_s", "distance_per_min_m", "hi_efforts_count", "clip_minutes", "top_speed_kmh")}
+    own = {"player_id": 1.0, "video_id": 1.0, "top_speed_mph": 9.0, "distance_km": 1.0, "minutes_played": 5.0, "visible_minutes": 4.0, "coverage_pct": 50.0, "avg_pitch_x": 1.0,
+           "avg_pitch_y": 1.0, "hsr_count": 1.0, "sprint_count": 1.0, "injury_risk": "Low", "high_speed_distance_km": 0.25, "accel_count_high": 3.0, "zone_jog_km": 0.5}
+    df = spark.createDataFrame([{**base, **own}] * 2, ", ".join(f"{c} {'string' if c == 'injury_risk' else 'double'}" for c in [*own, *base]))
+    one = S.merged_fragments(df).first()
+    assert (one.hsr_distance_km, one.accels, one.zone2_distance_km, one.decels) == (0.5, 6.0, 1.0, None)
+    assert len(G.METRIC_COLUMNS) == len(set(G.METRIC_COLUMNS)) == 19 and set(G.METRIC_COLUMNS) == set(R.STORED_KEYS)
