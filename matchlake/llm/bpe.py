@@ -31,7 +31,7 @@ MARGIN = 8
 #: Above this many characters a single call of the library may exhaust its stack on long runs; such texts are matched first.
 LIBRARY_CHARS = 50_000
 #: Entries of the per-worker memo of space-separated words; emptied when full.
-MEMO = 300_000
+MEMO = 200_000
 _SPACED = re.compile(r"\s \s|\s |\s$| \s")
 
 

@@ -163,7 +163,7 @@ def score(docs: DataFrame, model: GatedAttention, *, text_col: str = "text", kee
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_scored", 1 << 20):
+            for part in slices(batch, "_scored", 1 << 19):
                 if model.constant is not None:
                     value = np.full(len(part), model.constant)
                 else:

@@ -164,7 +164,7 @@ def suffix_order(prefix: np.ndarray, key: np.ndarray, doc: np.ndarray) -> tuple[
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text", 1 << 20):
+        for part in slices(batch, "text", 1 << 19):
             a = Anchors(*byte_buffer(part.column("text")))
             ids = np.asarray(part.column("doc_id"))[a.owner]
             order = np.lexsort((a.context, a.key, ids))
@@ -219,7 +219,7 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document a row with its covered spans, and per open anchor a row with the bytes around it."""
     for batch in batches:
-        for part in slices(batch.filter(pa.compute.is_valid(batch.column("marks"))), "text", 1 << 20):
+        for part in slices(batch.filter(pa.compute.is_valid(batch.column("marks"))), "text", 1 << 19):
             a = Anchors(*byte_buffer(part.column("text")))
             ids, rows = np.asarray(part.column("doc_id")), np.asarray(part.column("row"))
             marks = part.column("marks")
