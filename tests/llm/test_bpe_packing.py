@@ -73,6 +73,31 @@ def test_pieces_are_powers_of_two_and_cover_each_document(spark, reference):
     assert packing.pack(empty(spark), *_ranks()).count() == 0
 
 
+def test_packed_ids_are_those_of_the_tokenizers_file(spark):
+    from tokenizers import Tokenizer
+
+    t, mark = Tokenizer.from_file(str(P.path("byte_bpe_50k.json"))), "<|endoftext|>"
+    texts = [f"before {mark} after", mark, mark * 3, f"{mark} x", f"x{mark}", f"<|endoftext{mark}|>", f"a\n {mark}\t b  {mark[:-1]}", f"été{mark}日本", "none", f"<{mark}<|endoftext", f"w {mark} " * 400]
+    rows = packing.pack(spark.createDataFrame([(i, x, None, None, 0) for i, x in enumerate(texts)], DOCS), *_ranks(), max_tokens=64).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["start"])):
+        got.setdefault(r["doc_id"], []).extend(ids(r["ids"]))
+    assert got == {i: t.encode(x, add_special_tokens=False).ids + [0] for i, x in enumerate(texts)}
+    assert {r["doc_tokens"] for r in rows if r["doc_id"] == 0} == {5}
+
+
+def test_added_tokens_with_options():
+    from tokenizers import AddedToken, Tokenizer
+
+    t = Tokenizer.from_file(str(P.path("byte_bpe_50k.json")))
+    options = {"<l>": {"lstrip": True}, "<r>": {"rstrip": True}, "wo": {"single_word": True}, "<lr>": {"lstrip": True, "rstrip": True}}
+    t.add_tokens([AddedToken(c, normalized=False, **o) for c, o in options.items()])
+    tokens = [{"id": t.token_to_id(c), "content": c, **o} for c, o in options.items()]
+    a = packing.AddedTokens(tokens, bpe.codec(*_ranks()))
+    for text in ("a  <l> b", "a <r>  b", "wo wow two wo, wo", "x <lr> <lr>\n y", "<l><r><l>", " <r> <l> z", "x_wo éwo wo-"):
+        assert ids(a.encode(text)) == t.encode(text, add_special_tokens=False).ids, text
+
+
 def test_binary_lengths():
     assert packing.binary_lengths(2500, 1024) == [1024, 1024, 256, 128, 64, 4]
     assert packing.binary_lengths(1, 1) == [1]
