@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tiles import distinct_items, expand, merge_smallest, smallest, tiled
+from .tiles import distinct_items, expand, merge_smallest, smallest, tiled, two_ids
 
 #: Integer sums below 2**24 are exact in float32: 127 * 127 * 1024 < 2**24.
 EXACT_DIMS = 1024
@@ -48,8 +48,11 @@ def integer_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def survivors(base: np.ndarray, asked: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, base) index pairs that the error bounds can't exclude from the k nearest, the query itself left aside."""
+def survivors(base: np.ndarray, asked: np.ndarray, k: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(query, base) index pairs that the error bounds can't exclude from the k nearest, the query itself left aside.
+
+    Pairs marked in ``own`` are no candidates and don't count among the k.
+    """
     bq, bs, bn, be = quantise(base)
     qq, qs, _, qe = quantise(asked)
     base_sq, asked_sq = (base * base).sum(axis=1), (asked * asked).sum(axis=1)
@@ -57,7 +60,10 @@ def survivors(base: np.ndarray, asked: np.ndarray, k: int) -> tuple[np.ndarray,
     bound = 2 * (qe[:, None] * bn[None] + np.sqrt(asked_sq)[:, None] * be[None]) + 1e-9 * (asked_sq[:, None] + base_sq[None])
     if near.shape[1] <= k + 1:
         return np.nonzero(np.ones(near.shape, dtype=bool))
-    limit = np.partition(near + bound, k, axis=1)[:, k]
+    upper = near + bound
+    if own is not None:
+        upper[own] = np.inf
+    limit = np.partition(upper, k, axis=1)[:, k]
     return np.nonzero(near - bound <= limit[:, None])
 
 
@@ -90,12 +96,13 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str = "
         if not len(a) or not len(b):
             return empty
         x, y = matrix(a["item"]), matrix(b["item"])
-        first, offsets, ids = distinct_items(x, np.asarray(a["id"]), k + 1)
+        first, offsets, ids = distinct_items(x, np.asarray(a["id"]), k)
+        least, _, sole = two_ids(offsets, ids)
         asked_ids, rows, x = np.asarray(b["id"]), np.asarray(b["row"]), x[first]
         out = []
         for at in range(0, len(y), 256):
             part = slice(at, at + 256)
-            q, u = survivors(x, y[part], k)
+            q, u = survivors(x, y[part], k, (asked_ids[part][:, None] == least[None]) & sole[None])
             dist = euclidean(x, y[part], q, u)
             owner, flat = expand(offsets, u)
             q, dist, item = q[owner] + at, dist[owner], ids[flat]

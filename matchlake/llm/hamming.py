@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ann import FOUND, usable
-from .tiles import distinct_items, expand, merge_smallest, smallest, tiled
+from .tiles import distinct_items, expand, merge_smallest, smallest, tiled, two_ids
 
 BITS = 16
 
@@ -54,8 +54,11 @@ class SegmentIndex:
         for s in range(codes.shape[1]):
             self.tables.append((np.argsort(codes[:, s], kind="stable"), np.r_[0, np.cumsum(np.bincount(codes[:, s], minlength=1 << BITS))]))
 
-    def search(self, asked: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, code index, distance) of the k nearest codes of each query, by (distance, id)."""
+    def search(self, asked: np.ndarray, ids: np.ndarray, k: int, own: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, code index, distance) of the k nearest codes of each query, by (distance, id).
+
+        ``own``: the ids of the queries, and the next id of each code and whether it has none. A query's own id doesn't count.
+        """
         n, m = self.codes.shape
         everything = n <= k
         best = tuple(np.zeros(0, np.int64) for _ in range(3))
@@ -69,11 +72,15 @@ class SegmentIndex:
                     values = (asked[active, s][:, None] ^ masks(radius)[None]).ravel().astype(np.int64)
                     owner, flat = expand(offsets, values)
                     q, c = active[owner // len(masks(radius))], order[flat]
+                if own is not None:
+                    other = (ids[c] != own[0][q]) | ~own[2][c]
+                    q, c = q[other], c[other]
                 dist = np.bitwise_count(asked[q] ^ self.codes[c]).sum(axis=1).astype(np.int64)
                 q, c, dist = (np.concatenate(v) for v in zip(best, (q, c, dist)))
                 _, once = np.unique(q * n + c, return_index=True)
                 q, c, dist = q[once], c[once], dist[once]
-                keep = smallest(q, dist, ids[c], k)
+                item = ids[c] if own is None else np.where(ids[c] == own[0][q], own[1][c], ids[c])
+                keep = smallest(q, dist, item, k)
                 best = q[keep], c[keep], dist[keep]
                 have, worst = np.bincount(best[0], minlength=len(asked)), np.zeros(len(asked), np.int64)
                 np.maximum.at(worst, best[0], best[2])
@@ -107,13 +114,12 @@ def nearest_codes(base: DataFrame, queries: DataFrame, k: int = 10, *, base_rows
         if not len(a) or not len(b):
             return pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64())]).empty_table()
         codes, asked = segments(a["item"]), segments(b["item"])
-        first, offsets, ids = distinct_items(codes, np.asarray(a["id"]), k + 1)
-        index, least = SegmentIndex(codes[first]), ids[offsets[:-1]]
+        first, offsets, ids = distinct_items(codes, np.asarray(a["id"]), k)
+        index, (least, following, sole) = SegmentIndex(codes[first]), two_ids(offsets, ids)
         asked_ids, rows = np.asarray(b["id"]), np.asarray(b["row"])
         out = []
         for at in range(0, len(asked), 64):
-            # one more than k: the query's own row may be the only one with its code
-            q, c, dist = index.search(asked[at : at + 64], least, k + 1)
+            q, c, dist = index.search(asked[at : at + 64], least, k, (asked_ids[at : at + 64], following, sole))
             owner, flat = expand(offsets, c)
             q, dist, item = q[owner] + at, dist[owner], ids[flat]
             other = item != asked_ids[q]

@@ -75,18 +75,33 @@ def _typed(out: dict) -> pa.RecordBatch:
                                        pa.array(out["score"], pa.float64())], names=["query_id", "rank", "item_id", "score"])
 
 
-def distinct_items(rows: np.ndarray, ids: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct rows of a matrix: (first row index of each, CSR offsets, the ``keep`` smallest ids of each).
+def distinct_items(rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows of a matrix: (first row index of each, CSR offsets, ids of each in order).
 
-    A search for k neighbours never needs more than k + 1 of the ids that share one vector, so equal vectors cost one comparison.
+    Of one vector the ``2 * k`` smallest ids stay, each at most ``k`` times, so ``k`` remain whichever id a query leaves
+    aside, and equal vectors cost one comparison.
     """
     flat = np.ascontiguousarray(rows).view(np.dtype((np.void, rows.dtype.itemsize * rows.shape[1]))).ravel()
     _, first, inverse = np.unique(flat, return_index=True, return_inverse=True)
     order = np.lexsort((ids, inverse))
-    sizes = np.bincount(inverse, minlength=len(first))
-    rank = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    kept = order[rank < keep]
-    return first, np.concatenate([[0], np.cumsum(np.minimum(sizes, keep))]), ids[kept]
+    order = order[_place(inverse[order], ids[order]) < k]
+    order = order[_place(inverse[order]) < 2 * k]
+    return first, np.concatenate([[0], np.cumsum(np.bincount(inverse[order], minlength=len(first)))]), ids[order]
+
+
+def _place(*keys: np.ndarray) -> np.ndarray:
+    """Place of every row within its run of equal keys, from 0."""
+    n = len(keys[0])
+    start = np.flatnonzero(np.r_[True, np.any([v[1:] != v[:-1] for v in keys], axis=0)]) if n else np.zeros(0, int)
+    return np.arange(n) - np.repeat(start, np.diff(np.r_[start, n]))
+
+
+def two_ids(offsets: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per distinct vector: the smallest id, the smallest other id (the same again if there is none), and whether there is none."""
+    least = ids[offsets[:-1]]
+    after = offsets[:-1] + np.add.reduceat((ids == np.repeat(least, np.diff(offsets))).astype(np.int64), offsets[:-1])
+    sole = after == offsets[1:]
+    return least, ids[np.where(sole, offsets[:-1], after)], sole
 
 
 def expand(offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -100,3 +100,25 @@ def test_smallest_and_expand():
     assert tiles.smallest(np.array([1, 0, 1, 1]), np.array([2.0, 1.0, 1.0, 2.0]), np.array([5, 1, 9, 4]), 2).tolist() == [1, 2, 3]
     owner, flat = tiles.expand(np.array([0, 2, 2, 5]), np.array([2, 0, 1]))
     assert owner.tolist() == [0, 0, 0, 1, 1] and flat.tolist() == [2, 3, 4, 0, 1]
+
+
+def test_own_id_takes_no_slots(spark):
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((60, 32)).astype(np.float32)
+    # 20 copies of a query row and one other id with the same vector; an id with many vectors near its own, some of them shared
+    rows = [(100, v[0])] * 20 + [(105, v[0])] + [(200, (v[1] + 0.01 * v[i]).astype(np.float32)) for i in range(2, 40)]
+    rows += [(300 + i, (v[1] + 0.01 * v[i]).astype(np.float32)) for i in range(2, 6)] + [(201, v[1])] + [(400 + i, v[i]) for i in range(60)]
+    df = spark.createDataFrame([(i, x.tolist(), 0) for i, x in rows], VECS)
+    asked, k = df.where("vec_id in (100, 200, 405)").dropDuplicates(["vec_id"]), 5
+    first = {r["vec_id"]: np.array(r["embedding"], dtype=np.float32) for r in asked.collect()}
+
+    def brute_force(distance):
+        return sorted((q, n + 1, i, d) for q, x in first.items() for n, (d, i) in enumerate(sorted((distance(x, y), i) for i, y in rows if i != q)[:k]))
+
+    asked = spark.createDataFrame([(q, x.tolist(), 0) for q, x in first.items()], VECS)
+    for base_rows in (1000, 30):
+        near = ann.nearest(df, asked, k, base_rows=base_rows).select("query_id", "rank", "vec_id", "score").collect()
+        want = brute_force(lambda x, y: float(np.sqrt(((x.astype(float) - y.astype(float)) ** 2).cumsum()[-1])))
+        assert sorted(map(tuple, near)) == want
+        coded = hamming.nearest_codes(hamming.sign_codes(df), hamming.sign_codes(asked), k, base_rows=base_rows).collect()
+        assert sorted((r["query_id"], r["rank"], r["vec_id"], r["distance"]) for r in coded) == brute_force(lambda x, y: int(((x > 0) != (y > 0)).sum()))
