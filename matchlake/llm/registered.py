@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, bpe, hamming, langid, licences, lines, packing, quality, repeats, simhash
+from . import ann, bpe, hamming, langid, licences, lines, orchard, packing, quality, repeats, simhash
 from .registry import llm_query, table
 
 
@@ -113,3 +113,34 @@ def op6_licences(spark, sf_dir):
     path = F.when(short, F.concat(above, F.lit("/LICENSE-"), "doc_id")).otherwise(F.concat(deep, F.lit("/"), "doc_id", F.lit(".txt")))
     found = licences.inherit(licences.own_licences(docs.withColumn("path", path)))
     return found.select(F.col("key").alias("doc_id"), "path", "licence", "score", "origin", "origin_path")
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Every round as one more step: parts against all entries, the nearest by (distance, index), floors of the means."""
+    steps = f"""
+k AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))),
+part AS (SELECT vec_id, label, p, list_slice(v, p * (len(v) // {parts}) + 1, (p + 1) * (len(v) // {parts})) AS x FROM k, range({parts}) r(p)),
+b0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM part
+  QUALIFY row_number() OVER (PARTITION BY p ORDER BY vec_id) <= {entries}),"""
+    for r in range(rounds + 1):
+        steps += f"""
+d{r} AS (SELECT vec_id, label, p, x, e, c, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM part JOIN b{r} USING (p)),
+a{r} AS (SELECT * FROM d{r} QUALIFY row_number() OVER (PARTITION BY vec_id, p ORDER BY d, e) = 1),"""
+        if r < rounds:
+            steps += f"""
+u{r} AS (SELECT p, e, i, sum(x[i]) AS s, count(*) AS n FROM (SELECT p, e, x, unnest(range(1, len(x) + 1)) AS i FROM a{r}) GROUP BY p, e, i),
+m{r} AS (SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM u{r} GROUP BY p, e),
+b{r + 1} AS (SELECT b{r}.p, b{r}.e, coalesce(m{r}.c, b{r}.c) AS c FROM b{r} LEFT JOIN m{r} ON b{r}.p = m{r}.p AND b{r}.e = m{r}.e),"""
+    return f"""
+WITH {steps}
+coded AS (SELECT vec_id, label, string_agg(printf('%02x', CAST(e AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id, label),
+book AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS h FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM coded, book"""
+
+
+@llm_query("op11_codes", _codes_sql())
+def op11_codes(spark, sf_dir):
+    """Product codes of all vectors: 8 parts, 16 entries each, 6 rounds."""
+    coded = orchard.with_label_error(orchard.compress(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6))
+    return coded.select("vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error", "codebooks_sha256")
