@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, bpe, hamming, langid, licences, lines, orchard, packing, quality, repeats, simhash
+from . import ann, bpe, hamming, langid, licences, lines, orchard, packing, quality, repeats, simhash, winnowing
 from .registry import llm_query, table
 
 
@@ -144,3 +144,24 @@ def op11_codes(spark, sf_dir):
     """Product codes of all vectors: 8 parts, 16 entries each, 6 rounds."""
     coded = orchard.with_label_error(orchard.compress(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6))
     return coded.select("vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error", "codebooks_sha256")
+
+
+_WORDS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+
+@llm_query("op12_winnowing", f"""
+WITH d AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+i AS (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark),
+il AS (SELECT item_id, w, least(len(w), 10) AS t FROM i WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, t, list_slice(w, s, s + t - 1) AS g FROM (SELECT item_id, t, w, unnest(range(1, len(w) - t + 2)) AS s FROM il)),
+dl AS (SELECT doc_id, w, t FROM d, (SELECT DISTINCT t FROM il)),
+dw AS (SELECT doc_id, t, s, list_slice(w, s, s + t - 1) AS g FROM (SELECT doc_id, t, w, unnest(range(1, len(w) - t + 2)) AS s FROM dl WHERE len(w) >= t)),
+m AS (SELECT doc_id, t, s, item_id FROM dw JOIN iw USING (t, g)),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + t)) AS p FROM m) GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN l USING (doc_id)""")
+def op12_winnowing(spark, sf_dir):
+    """Words of every whole document inside windows of ten words of a benchmark item."""
+    found = winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), span=10)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
