@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import functions as F
 
-from . import ann, bpe, hamming, langid, licences, lines, orchard, packing, quality, repeats, simhash, winnowing
+from . import ann, bpe, hamming, langid, licences, lines, orchard, packing, periods, quality, repeats, simhash, winnowing
 from .registry import llm_query, table
 
 
@@ -165,3 +167,26 @@ def op12_winnowing(spark, sf_dir):
     """Words of every whole document inside windows of ten words of a benchmark item."""
     found = winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), span=10)
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def _periodic_tail(doc_id, words: list[bytes]) -> list[bytes]:
+    """Every tenth document, by crc32 of its id, goes on periodically from some word; a null id changes nothing."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not words:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * (-(-(n - a) // p)))[: n - a]
+
+
+@llm_query("op13_periods")
+def op13_periods(spark, sf_dir):
+    """Periodic runs of words of every whole text, and the text without the repeats."""
+    found = periods.periodic_runs(table(spark, sf_dir, "documents"), prepare=_periodic_tail)
+    # the longest; of equals the first, then the shortest period
+    top = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    return found.withColumn("top", top).select("doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("top.start")).alias("start"), F.col("top.length").alias("length"), (-F.col("top.period")).alias("period"),
+                                               F.floor(1000 * F.col("top.length") / -F.col("top.period")).cast("long").alias("exponent_milli"),
+                                               F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
