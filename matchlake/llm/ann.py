@@ -53,11 +53,14 @@ def survivors(base: np.ndarray, asked: np.ndarray, k: int, own: np.ndarray | Non
 
     Pairs marked in ``own`` are no candidates and don't count among the k.
     """
+    # a power of two brings the largest component to 1/2 to 1, so that squares stay finite; what vanishes beside it survives
+    shift = -int(np.frexp(max(np.abs(base).max(), np.abs(asked).max()))[1])
+    base, asked = np.ldexp(base, shift), np.ldexp(asked, shift)
     bq, bs, bn, be = quantise(base)
     qq, qs, _, qe = quantise(asked)
     base_sq, asked_sq = (base * base).sum(axis=1), (asked * asked).sum(axis=1)
     near = asked_sq[:, None] + base_sq[None] - 2 * integer_product(qq, bq) * qs[:, None] * bs[None]
-    bound = 2 * (qe[:, None] * bn[None] + np.sqrt(asked_sq)[:, None] * be[None]) + 1e-9 * (asked_sq[:, None] + base_sq[None])
+    bound = 2 * (qe[:, None] * bn[None] + np.sqrt(asked_sq)[:, None] * be[None]) + 1e-9 * (asked_sq[:, None] + base_sq[None]) + 1e-300
     if near.shape[1] <= k + 1:
         return np.nonzero(np.ones(near.shape, dtype=bool))
     upper = near + bound

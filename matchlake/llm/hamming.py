@@ -7,8 +7,8 @@ away in no segment than that would differ in more bits), so a query stops as soo
 provably covered. Codes are dealt into groups with an index each, and the groups' best are merged by heaps.
 
 Rows with a null code or id take no part; codes of different lengths don't meet. Rows with a query's own id are no
-candidates for it; ties go to the smaller id; repeated rows count once each. Empty inputs give no rows. Codes are whole
-bytes; an odd byte is padded with zero bits on both sides.
+candidates for it; ties go to the smaller id; repeated rows count once each. Empty inputs give no rows. Codes fill
+whole bytes; what is missing is padded with zero bits on both sides.
 """
 
 from __future__ import annotations
@@ -29,15 +29,16 @@ BITS = 16
 
 
 def sign_codes(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """``id``, ``code``: one bit per component, set where it is positive. Unusable vectors (see ``ann``) are left out."""
+    """``id``, ``code``, ``bits``: one bit per component, set where it is positive. Unusable vectors (see ``ann``) are left out."""
     items = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("item")).where(usable("item"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = [np.packbits(np.asarray(v) > 0).tobytes() for v in batch.column("item").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(codes, pa.binary())], names=["id", "code"])
+            vectors = batch.column("item").to_pylist()
+            codes = [np.packbits(np.asarray(v) > 0).tobytes() for v in vectors]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(codes, pa.binary()), pa.array([len(v) for v in vectors], pa.int32())], names=["id", "code", "bits"])
 
-    return items.mapInArrow(run, "id long, code binary")
+    return items.mapInArrow(run, "id long, code binary, bits int")
 
 
 @lru_cache(maxsize=None)
@@ -104,11 +105,15 @@ def segments(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def nearest_codes(base: DataFrame, queries: DataFrame, k: int = 10, *, base_rows: int = 65_536, query_rows: int = 1024) -> DataFrame:
-    """One row per query and neighbour: ``query_id``, ``rank`` from 1, ``vec_id``, ``distance`` (differing bits). Inputs: ``id``, ``code``."""
+    """One row per query and neighbour: ``query_id``, ``rank`` from 1, ``vec_id``, ``distance`` (differing bits).
+
+    Inputs: ``id``, ``code`` and, where codes are no whole bytes, ``bits``: codes of different lengths don't meet.
+    """
 
     def side(df: DataFrame) -> DataFrame:
-        items = df.select(F.col("id").cast("long").alias("id"), F.col("code").alias("item"))
-        return items.where(F.col("id").isNotNull() & (F.length("item") > 0)).withColumn("kind", F.length("item"))
+        bits = F.col("bits").cast("int") if "bits" in df.columns else 8 * F.length("code")
+        items = df.select(F.col("id").cast("long").alias("id"), F.col("code").alias("item"), bits.alias("kind"))
+        return items.where(F.col("id").isNotNull() & (F.length("item") > 0))
 
     def tile(a: pa.Table, b: pa.Table) -> pa.Table:
         if not len(a) or not len(b):

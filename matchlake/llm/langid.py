@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import byte_buffer, id_bucket, slices
-from .sample import Adam, hashed_sample
+from .sample import Adam, stratified_sample
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -141,7 +141,7 @@ class ByteNetwork:
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 4000, folds: int = 4, held_out_fold: int = 2) -> ByteNetwork:
-    """Fit on windows of at most ``sample_docs`` documents with a language, outside the held-out fold."""
+    """Fit on windows of about ``sample_docs`` documents outside the held-out fold, as many of each language that occurs there."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"))
     known = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_bucket("doc_id", folds) != held_out_fold))
 
@@ -153,7 +153,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
                 taken = [x[ends[i] + np.unique(np.linspace(0, ends[i + 1] - ends[i] - 1, SAMPLE_WINDOWS).astype(int))].tobytes() if ends[i + 1] > ends[i] else b"" for i in range(len(part))]
                 yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array(taken, pa.binary())], names=["lang", "cut"])
 
-    found = sorted((r["lang"], bytes(r["cut"])) for r in hashed_sample(known, sample_docs).select("lang", "text").mapInArrow(cut, "lang string, cut binary").toLocalIterator())
+    found = sorted((r["lang"], bytes(r["cut"])) for r in stratified_sample(known, sample_docs, stratum="lang", text_col="text").mapInArrow(cut, "lang string, cut binary").toLocalIterator())
     languages = sorted({lang for lang, _ in found})
     x = [np.frombuffer(b, np.uint16).reshape(-1, WINDOW) for _, b in found]
     y = np.repeat([languages.index(lang) for lang, _ in found], [len(v) for v in x]).astype(int)

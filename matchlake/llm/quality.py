@@ -4,10 +4,10 @@ A document is a bag of passages of ``PASSAGE`` bytes that cover its whole text.
 of its pairs of byte classes and by how much it repeats itself, and encoded by one tanh layer. Gated attention, a_i ~ exp(w.(tanh(V h_i) * sigmoid(U h_i))),
 weighs the passages; the score is a logistic function of the weighted sum. Only documents carry labels; encoder, attention
 and score are learned together from them in numpy, on a bounded sample (``sample_docs`` documents with at most
-``SAMPLE_PASSAGES`` passages each, evenly spaced). Scoring reads every passage.
+``SAMPLE_PASSAGES`` passages each, evenly spaced; the driver holds them in half precision). Scoring reads every passage.
 
 Null and empty texts are one passage without pairs and get the score the model gives that. Null ids and labels, ids with
-contradicting labels and labels other than 0 and 1 are not learned from. With a single class (or no label at all) there is
+contradicting labels and labels other than 0 and 1 are not learned from; of several texts with one id the first in order is. With a single class (or no label at all) there is
 nothing to learn: every document gets the share of label 1, or 0.5. Repeated rows are scored once each. Other columns are
 dropped.
 """
@@ -114,7 +114,7 @@ class GatedAttention:
             for at in range(0, len(order), batch):
                 pick = order[at : at + batch]
                 sizes = np.array([len(bags[i]) for i in pick])
-                x, y = np.concatenate([bags[i] for i in pick]), labels[pick].astype(np.float32)
+                x, y = np.concatenate([bags[i] for i in pick]).astype(np.float32), labels[pick].astype(np.float32)
                 owner, starts = np.repeat(np.arange(len(pick)), sizes), np.cumsum(sizes) - sizes
                 h = self.encode(x)
                 t, s = np.tanh(h @ p["V"]), _sigmoid(h @ p["U"])
@@ -136,8 +136,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     """Fit on at most ``sample_docs`` labelled documents outside the held-out fold."""
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & (id_bucket("doc_id", folds) != held_out_fold))
     agreed = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
+    agreed = agreed.join(docs.select(F.col(id_col).alias("doc_id")), "doc_id", "left_semi")  # labels without a document take no places
     picked = F.broadcast(hashed_sample(agreed, sample_docs))  # at most sample_docs rows of two numbers
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(picked, "doc_id").limit(sample_docs)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(picked, "doc_id")
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # of several texts with one id the first in order
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(bags, pa.binary())], names=["label", "bag"])
 
     found = sorted((r["label"], bytes(r["bag"])) for r in rows.select("label", "text").mapInArrow(describe, "label int, bag binary").toLocalIterator())
-    bags = [np.frombuffer(b, "<f2").astype(np.float32).reshape(-1, FEATURES) for _, b in found]
+    bags = [np.frombuffer(b, "<f2").reshape(-1, FEATURES) for _, b in found]
     return GatedAttention().fit(bags, np.array([y for y, _ in found]))
 
 

@@ -146,3 +146,49 @@ def test_sample_is_bounded_and_stable(spark):
     df = spark.range(1000).select(F.col("id").alias("doc_id"))
     a, b = (sorted(r[0] for r in sample.hashed_sample(d, 50).collect()) for d in (df, df.repartition(7)))
     assert len(a) == 50 and a == b and sample.hashed_sample(df.limit(0), 5).count() == 0
+
+
+def test_labels_without_a_document_take_no_places(spark):
+    docs = spark.createDataFrame([(i, ("good words here " if i % 2 else "x#x#x# ") * 20, "en", "s", 1) for i in range(60)], DOCS)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] + [(i, 1, 0) for i in range(1000, 6000)], "doc_id long, quality int, toxic int")
+    model = quality.train(docs, labels, sample_docs=60)
+    assert model.constant is None
+    scores = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
+    assert all((scores[i] > 0.5) == (i % 2 == 1) for i in range(60))
+
+
+def test_rare_languages_get_a_class_and_equal_shares(spark):
+    rows = [(i, f"common text {i} of many", "en", "s", 1) for i in range(3000)] + [(5000 + i, f"seltener Satz {i}", "de", "s", 1) for i in range(5)] + [(7, "one id", "fr", "s", 1)] * 400
+    sampled = sample.stratified_sample(spark.createDataFrame(rows, DOCS), 90, stratum="lang", text_col="text").collect()
+    assert {lang: sum(r["lang"] == lang for r in sampled) for lang in ("en", "de", "fr")} == {"en": 30, "de": 5, "fr": 1}
+    assert sample.stratified_sample(spark.createDataFrame([], DOCS), 5, stratum="lang", text_col="text").count() == 0
+
+
+def test_scores_equal_a_plain_pass_per_document(spark):
+    """Features, attention and score of one document at a time, in loops over its passages."""
+    rng = np.random.default_rng(8)
+    model = quality.GatedAttention()
+    model.p["c"][:] = 0.3
+    texts = ["".join(rng.choice(list("ab etn.,AE9\n#é"), int(k))) for k in (0, 1, 4, 300, 511, 1700, 5000)]
+    got = {r["doc_id"]: r["score"] for r in quality.score(spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], DOCS), model).collect()}
+    for i, text in enumerate(texts):
+        raw, hidden = text.encode(), []
+        for at in range(0, max(1, len(raw)), quality.PASSAGE):
+            part = raw[at : at + quality.PASSAGE]
+            after = raw[at + quality.PASSAGE : at + quality.PASSAGE + 3]
+            pairs, grams = np.zeros(quality.PAIRS), {}
+            for j, byte in enumerate(part):
+                near = (part + after)[j : j + 4]
+                if len(near) > 1:
+                    pairs[int(quality.BYTE_CLASS[byte]) * quality.CLASSES + int(quality.BYTE_CLASS[near[1]])] += 1
+                if len(near) == 4:
+                    cell = (sum(b * m for b, m in zip(near, (2654435761, 2246822519, 3266489917, 668265263))) % 2**32) >> 22
+                    grams[cell] = grams.get(cell, 0) + 1
+            total = max(1, sum(grams.values()))
+            repeats = [len(grams) / total, np.sqrt(sum(v * v for v in grams.values())) / total, max(grams.values(), default=0) / total]
+            x = np.r_[np.sqrt(pairs / max(1, pairs.sum())), repeats]
+            hidden.append(np.tanh(x @ model.p["W"] + model.p["b"]))
+        e = [float(np.exp(((np.tanh(h @ model.p["V"]) / (1 + np.exp(-(h @ model.p["U"])))) @ model.p["w"])[0])) for h in hidden]
+        z = sum(w * h for w, h in zip(e, hidden)) / sum(e)
+        want = 1 / (1 + np.exp(-(z @ model.p["o"] + model.p["c"])[0]))
+        assert abs(got[i] - want) < 1e-5

@@ -122,3 +122,17 @@ def test_own_id_takes_no_slots(spark):
         assert sorted(map(tuple, near)) == want
         coded = hamming.nearest_codes(hamming.sign_codes(df), hamming.sign_codes(asked), k, base_rows=base_rows).collect()
         assert sorted((r["query_id"], r["rank"], r["vec_id"], r["distance"]) for r in coded) == brute_force(lambda x, y: int(((x > 0) != (y > 0)).sum()))
+
+
+def test_vectors_of_other_lengths_keep_their_codes_apart(spark):
+    rows = [(0, [1.0] * 9, 0), (1, [1.0] * 12, 0), (2, [-1.0] + [1.0] * 8, 0), (3, [-1.0] * 12, 0), (4, [1.0] * 16, 0)]
+    codes = hamming.sign_codes(spark.createDataFrame(rows, VECS))
+    got = sorted(tuple(r) for r in hamming.nearest_codes(codes, codes, 3).select("query_id", "rank", "vec_id", "distance").collect())
+    assert got == [(0, 1, 2, 1), (1, 1, 3, 12), (2, 1, 0, 1), (3, 1, 1, 12)]
+
+
+def test_huge_components_lose_no_neighbours(spark):
+    rows = [(i, [1e200, float(i)]) for i in range(30)] + [(100, [1.0, 2.0]), (101, [1.0, 2.5]), (102, [1e-170, 2.0]), (103, [3e-170, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in ann.nearest(df, df.where("vec_id in (7, 100)"), 3).select("query_id", "rank", "vec_id", "score").collect())
+    assert got == [(7, 1, 6, 1.0), (7, 2, 8, 1.0), (7, 3, 5, 2.0), (100, 1, 101, 0.5), (100, 2, 102, 1.0), (100, 3, 103, 1.0)]
