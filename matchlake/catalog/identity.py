@@ -119,7 +119,20 @@ def _(d):
     return D.stitch_candidates(d.fx_tracklets).withColumn("cost", F.round("cost", 6))
 
 
-@query("stitched_players", "G1")
+@query("stitched_players", "G1", """
+WITH RECURSIVE e AS (SELECT a.video_id, a.track_id AS a, b.track_id AS b, (CASE WHEN a.jersey = b.jersey THEN -10 ELSE 0 END) + (CASE WHEN a.team = b.team THEN -5 ELSE 0 END) + (b.first_t - a.last_t) / 10 AS cost
+  FROM fx_tracklets a JOIN fx_tracklets b ON a.video_id = b.video_id AND b.first_frame > a.last_frame AND coalesce(a.team = b.team, TRUE) AND coalesce(a.jersey = b.jersey, TRUE)
+    AND b.first_t > a.last_t AND sqrt((b.first_x - a.last_x) * (b.first_x - a.last_x) + (b.first_y - a.last_y) * (b.first_y - a.last_y)) <= 12 * (b.first_t - a.last_t)),
+ways AS (SELECT video_id, a, list(b ORDER BY cost, b) AS ways FROM e WHERE cost <= 10 GROUP BY video_id, a),
+heads AS (SELECT video_id, list(track_id ORDER BY first_frame, track_id) AS heads FROM fx_tracklets GROUP BY video_id),
+walk AS (
+  SELECT video_id, heads, heads[1] AS here, [heads[1]] AS seen, CAST(0 AS BIGINT) AS player_uid FROM heads
+  UNION ALL
+  SELECT n.video_id, n.heads, coalesce(n.way, n.head) AS here, list_append(n.seen, coalesce(n.way, n.head)) AS seen, n.player_uid + CASE WHEN n.way IS NULL THEN 1 ELSE 0 END AS player_uid
+  FROM (SELECT g.*, list_filter(coalesce(w.ways, []), lambda x: NOT list_contains(g.seen, x))[1] AS way, list_filter(g.heads, lambda x: NOT list_contains(g.seen, x))[1] AS head
+        FROM walk g LEFT JOIN ways w ON w.video_id = g.video_id AND w.a = g.here) n
+  WHERE n.head IS NOT NULL)
+SELECT video_id, here AS track_id, player_uid FROM walk""")
 def _(d):
     return D.stitch(d.fx_tracklets)
 

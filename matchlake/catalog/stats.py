@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import numbers as N
 from ..operators import heatmap as H, registry as R, stats as S
+from ..plans.ranking import ordinal_position
 from .registry import query, rnd
 
 RANK = "CASE injury_risk WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 ELSE 1 END"
@@ -315,16 +316,9 @@ def _(d):
 SELECT stat_id, row_number() OVER (ORDER BY CASE injury_risk WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 ELSE 1 END DESC,
   distance_km DESC NULLS LAST, stat_id) - 1 AS place FROM fx_stats""")
 def _(d):
-    from ..plans.blocked import with_position
-
-    rank = N.risk_rank(F.col("injury_risk"))
-    s = d.fx_stats.select("stat_id", "distance_km", rank.alias("rank"), F.lit(0).alias("all"))
-    block = F.struct(
-        (-F.col("rank")).alias("r"), F.col("distance_km").isNull().alias("n"),
-        (-F.coalesce("distance_km", F.lit(0.0))).alias("d"), F.floor(F.col("stat_id") / 65536).alias("s"),
-    )
+    s = d.fx_stats.select("stat_id", "distance_km", N.risk_rank(F.col("injury_risk")).alias("rank"))
     order = [F.desc("rank"), F.desc_nulls_last("distance_km"), F.asc("stat_id")]
-    return with_position(s, ["all"], order, block, out="place").select("stat_id", "place")
+    return ordinal_position(s, [], order, out="place").select("stat_id", "place")
 
 
 @query("jersey_override", "J14", """

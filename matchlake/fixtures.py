@@ -317,6 +317,8 @@ def oracle_with_fixtures(body: str) -> str:
         ctes.append(f"{name} AS ({text.strip()})")
     body = body.strip()
     joined = ",\n".join(ctes)
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {joined},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {joined},\n{body[5:]}"
     return f"WITH {joined}\n{body}"

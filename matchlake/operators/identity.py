@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as C
+from ..plans.components import component_labels
 from ..plans.materialize import materialised
+from ..plans.ranking import ordinal_position
 
 KEYS = ("video_id", "track_id")
 
@@ -176,67 +178,44 @@ def stitch_candidates(tracklets: DataFrame, appearance: bool = False, keep: int
     return j.select("video_id", "a", "b", cost.alias("cost")).where(F.col("cost") <= C.STITCH_MAX_COST)
 
 
-def _similarity(a: np.ndarray, b: np.ndarray) -> float:
-    n = np.linalg.norm(a) * np.linalg.norm(b) if len(a) == len(b) and len(a) else 0.0
-    return (a @ b / n + 1) / 2 if n > 0 else 0.0
-
-
-def _chain_video(part: pd.DataFrame) -> pd.DataFrame:
-    """Greedy chains of one video, earliest track first; candidates of a step are scored as arrays."""
-    t = part.sort_values(["first_frame", "track_id"]).reset_index(drop=True)
-    first, last = t["first_frame"].to_numpy(), t["last_frame"].to_numpy()
-    start_t, end_t = t["first_t"].to_numpy(float), t["last_t"].to_numpy(float)
-    fx, fy, lx, ly = (t[c].to_numpy(float) for c in ("first_x", "first_y", "last_x", "last_y"))
-    team, jersey = t["team"].to_numpy(float), t["jersey"].to_numpy(float)
-    look = None
-    if "appearance" in t.columns:
-        look = [np.zeros(0) if v is None else np.asarray(v, float) for v in t["appearance"]]
-    uid = np.full(len(t), -1, dtype=np.int64)
-    order = np.argsort(t["track_id"].to_numpy(), kind="stable")
-    place = np.empty(len(t), dtype=np.int64)
-    place[order] = np.arange(len(t))
-    next_uid = 0
-    for i in range(len(t)):
-        if uid[i] >= 0:
-            continue
-        cur, uid[i] = i, next_uid
-        while True:
-            # first_frame is sorted, so only the tracks that start within the largest useful gap are looked at
-            lo = np.searchsorted(first, last[cur], side="right")
-            cand = np.arange(lo, len(t))
-            cand = cand[(uid[cand] < 0) & (start_t[cand] - end_t[cur] <= C.STITCH_MAX_GAP_S)]
-            dt = start_t[cand] - end_t[cur]
-            same_team, same_no = team[cand] == team[cur], jersey[cand] == jersey[cur]
-            clash = (~same_team & ~np.isnan(team[cand]) & ~np.isnan(team[cur])) | (
-                ~same_no & ~np.isnan(jersey[cand]) & ~np.isnan(jersey[cur])
-            )
-            far = np.hypot(fx[cand] - lx[cur], fy[cand] - ly[cur]) > C.STITCH_MAX_SPEED_MS * dt
-            cost = np.where(same_no, -10.0, 0.0) + np.where(same_team, -5.0, 0.0) + dt / 10
-            if look is not None:
-                cost = cost - 5.0 * np.array([_similarity(look[cur], look[k]) for k in cand])
-            ok = ~clash & ~far & (dt > 0) & (cost <= C.STITCH_MAX_COST)
-            if not ok.any():
-                break
-            cand, cost = cand[ok], cost[ok]
-            best = cand[np.lexsort((place[cand], cost))[0]]
-            uid[best], cur = next_uid, best
-        next_uid += 1
-    return pd.DataFrame({"video_id": t["video_id"], "track_id": t["track_id"], "player_uid": uid})
+def _chain_component(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    """Greedy chains of one component, earliest track first: each goes on with the cheapest successor that no chain has yet."""
+    nodes = nodes.sort_values(["first_frame", "track_id"], ignore_index=True)
+    number = pd.Series(nodes.index, index=nodes["node"])
+    edges = edges.assign(a=number.loc[edges["a"]].to_numpy(), b=number.loc[edges["b"]].to_numpy())
+    edges = edges.assign(tie=nodes["track_id"].to_numpy()[edges["b"]]).sort_values(["a", "cost", "tie"])
+    ways = edges["b"].to_numpy()
+    first = np.searchsorted(edges["a"].to_numpy(), np.arange(len(nodes) + 1))
+    head = np.full(len(nodes), -1, dtype=np.int64)
+    for i in range(len(nodes)):
+        at = i if head[i] < 0 else -1
+        while at >= 0:
+            head[at] = i
+            at = next((j for j in ways[first[at] : first[at + 1]] if head[j] < 0), -1)
+    return pd.DataFrame({"node": nodes["node"], "head": nodes["node"].to_numpy()[head]})
 
 
 def stitch(tracklets: DataFrame) -> DataFrame:
-    """(video, track, player_uid). The greedy order is sequential within a video; videos run in parallel.
+    """(video, track, player_uid): tracks chained by greedy path cover of the candidate edges, numbered per video from the earliest head.
 
-    The input is one row per track fragment, so a group holds the fragments of one clip, not its detections.
+    A chain only ever meets tracks of its own component of the edges, so components, not videos, are the groups; a track
+    without an edge is in none. The edges are bounded by the largest useful time gap. The numbers are positions among the
+    heads of a video, by first frame, then track.
     """
-    cols = [
-        "video_id", "track_id", "first_frame", "last_frame", "first_x", "first_y", "first_t", "last_x", "last_y", "last_t",
-        F.col("team").cast("double"), F.col("jersey").cast("double"),
-        *(["appearance"] if "appearance" in tracklets.columns else []),
-    ]
-    return tracklets.select(*cols).groupBy("video_id").applyInPandas(
-        _chain_video, "video_id bigint, track_id bigint, player_uid bigint"
-    )
+    look = ["appearance"] if "appearance" in tracklets.columns else []
+    cols = ["video_id", "track_id", "first_frame", "last_frame", "first_x", "first_y", "first_t", "last_x", "last_y", "last_t"]
+    tracks = tracklets.select(*cols, F.col("team").cast("double"), F.col("jersey").cast("double"), *look)
+    tracks = materialised(tracks.withColumn("node", F.monotonically_increasing_id()))
+    edges = materialised(stitch_candidates(tracks.withColumn("track_id", F.col("node")), appearance=bool(look)).select("a", "b", "cost"))
+    labels = component_labels(edges)
+    members = tracks.select("node", "first_frame", "track_id").join(labels, "node").groupBy("label")
+    inside = edges.join(labels.select(F.col("node").alias("a"), F.col("label").alias("component")), "a").groupBy("component")
+    heads = members.cogroup(inside).applyInPandas(_chain_component, "node bigint, head bigint")
+    tracks = tracks.select("video_id", "track_id", "first_frame", "node").join(heads, "node", "left").withColumn("head", F.coalesce("head", "node"))
+    tracks = materialised(tracks)
+    starts = tracks.where("head = node").select("video_id", "first_frame", "track_id", "head")
+    uids = ordinal_position(starts, ["video_id"], [F.asc("first_frame"), F.asc("track_id")], "player_uid").select("head", "player_uid")
+    return tracks.join(uids, "head").select("video_id", "track_id", "player_uid")
 
 
 def stats_per_uid(stats: DataFrame, mapping: DataFrame) -> DataFrame:

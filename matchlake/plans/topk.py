@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .blocked import with_position
+from .ranking import ordinal_position
 
 
 def kth_largest(
@@ -53,17 +53,9 @@ def kth_largest(
     )
 
 
-def ordinal_rank(
-    df: DataFrame, keys: Sequence[str], value: str, tie: str, out: str, bin_width: float = 0.01, tie_block: int = 65536
-) -> DataFrame:
+def ordinal_rank(df: DataFrame, keys: Sequence[str], value: str, tie: str, out: str) -> DataFrame:
     """1-based rank by ``value`` descending, then ``tie`` ascending; null values get no rank."""
-    ranked = df.where(F.col(value).isNotNull())
-    block = F.struct(
-        (-F.floor(F.col(value) / F.lit(bin_width))).alias("b"), F.floor(F.col(tie) / F.lit(tie_block)).alias("t")
-    )
-    # the tie block only keeps the order when the bin holds one value, so the exact value goes in between
-    block = F.struct(block["b"].alias("b"), (-F.col(value)).alias("v"), block["t"].alias("t"))
-    ranked = with_position(ranked, keys, [F.desc(value), F.asc(tie)], block, out="__pos")
+    ranked = ordinal_position(df.where(F.col(value).isNotNull()), keys, [F.desc(value), F.asc(tie)], "__pos")
     ranked = ranked.withColumn(out, F.col("__pos") + 1).drop("__pos")
     missing = df.where(F.col(value).isNull()).withColumn(out, F.lit(None).cast("bigint"))
     return ranked.unionByName(missing)
