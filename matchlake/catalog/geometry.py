@@ -142,11 +142,21 @@ def _(d):
     return q.select("camera_id", "points", "inliers", F.round("mean_error", 4).alias("mean_error"), "accepted")
 
 
-@query("smoothed_calibration", "W31")
+_SMOOTHED = [k for k in HOMOGRAPHY if k != "h33"]
+
+
+@query("smoothed_calibration", "W31", f"""
+WITH RECURSIVE m AS (SELECT track_id, frame, row_number() OVER (PARTITION BY track_id ORDER BY frame) AS n, {", ".join(f"{b} AS {k}" for k, (_, b) in HOMOGRAPHY.items()).replace("video_id", "track_id")}
+  FROM fx_detections),
+j AS (SELECT * REPLACE (h13 + frame % 3 AS h13, h33 + frame % 4 * 0.125e0 AS h33) FROM m),
+s AS (SELECT * FROM j WHERE n = 1
+  UNION ALL
+  SELECT j.track_id, j.frame, j.n, {", ".join(f"(0.8e0 * s.{k} + 0.2e0 * j.{k}) / (0.8e0 * s.h33 + 0.2e0 * j.h33)" for k in HOMOGRAPHY)} FROM s JOIN j ON j.track_id = s.track_id AND j.n = s.n + 1)
+SELECT track_id AS camera_id, frame, {", ".join(f"round({k}, 7) AS {k}" for k in _SMOOTHED)}, round(h33, 7) AS h33 FROM s""")
 def _(d):
     frames = d.fx_detections.select(F.col("track_id").alias("camera_id"), F.col("track_id").alias("video_id"), "frame")
-    m = frames.selectExpr("*", *SPARK_H).withColumn("h13", F.col("h13") + F.col("frame") % 3)
-    return K.smooth(m)
+    m = frames.selectExpr("*", *SPARK_H).withColumns({"h13": F.col("h13") + F.col("frame") % 3, "h33": F.col("h33") + F.col("frame") % 4 * 0.125})
+    return K.smooth(m).select("camera_id", "frame", *[F.round(h, 7).alias(h) for h in X.H])
 
 
 @query("uncalibrated_masked", "G16", """

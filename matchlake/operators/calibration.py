@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.geometry import H, project
-from ..plans.scan import ordered_scan
+from ..plans.blocked import BLOCK_ROWS, with_position
+from ..plans.recurrence import linear_recurrence
 
 # upper triangle of the symmetric 9 x 9 normal matrix
 _PAIRS = [(i, j) for i in range(9) for j in range(i, 9)]
@@ -75,26 +76,24 @@ def quality(points: DataFrame, cameras: DataFrame, inlier: float = 5.0, limit: f
 
 
 def smooth(matrices: DataFrame, alpha: float = 0.8) -> DataFrame:
-    """Exponential moving average of each camera's matrix, scaled so that h33 stays 1."""
-
-    def make():
-        state: list[np.ndarray] = []
-
-        def step(part: pd.DataFrame) -> pd.DataFrame:
-            out = np.empty((len(part), 9))
-            for i, row in enumerate(part[list(H)].to_numpy(float)):
-                if state:
-                    row = alpha * state[0] + (1 - alpha) * row
-                    row = row / row[8]
-                state[:] = [row]
-                out[i] = row
-            res = part[["camera_id", "frame"]].reset_index(drop=True)
-            return pd.concat([res, pd.DataFrame(out, columns=list(H))], axis=1)
-
-        return step
-
-    schema = "camera_id bigint, frame bigint, " + ", ".join(f"{h} double" for h in H)
-    return ordered_scan(matrices.select("camera_id", "frame", *H), ["camera_id"], ["frame"], make, schema)
+    """Exponential moving average of each camera's matrix, scaled so that h33 stays 1.
+
+    The first matrix is taken as it is. After a step h33 of the average is 1, so the divisor of the next step is known from
+    that step's own matrix (the second one also needs the first's h33), and the average is a linear recurrence with the
+    divisor as a factor: s[t] = alpha / d[t] * s[t-1] + (1 - alpha) / d[t] * m[t]. Matrices of one frame are taken in any order.
+    """
+    if not 0 < alpha <= 1:
+        raise ValueError("alpha is the share of the average so far, above 0")
+    frame = F.floor(F.col("frame") / F.lit(BLOCK_ROWS))
+    m = with_position(matrices.select("camera_id", "frame", *H), ["camera_id"], [F.asc("frame")], frame, out="__pos")
+    # only the second matrix needs the one before it
+    first = m.where("__pos = 0").select(F.struct("camera_id").alias("__camera"), F.col("h33").alias("__h33"), F.lit(1).cast("bigint").alias("__pos"))
+    m = m.withColumn("__camera", F.struct("camera_id")).join(first, ["__camera", "__pos"], "left")
+    before = F.when(F.col("__pos") == 1, F.col("__h33")).otherwise(F.lit(1.0))
+    m = m.withColumn("__d", alpha * before + (1 - alpha) * F.col("h33"))
+    terms = {f"__{h}": F.when(F.col("__pos") == 0, F.col(h)).otherwise((1 - alpha) / F.col("__d") * F.col(h)) for h in H}
+    out = linear_recurrence(m, ["camera_id"], "__pos", alpha / F.col("__d"), terms)
+    return out.select("camera_id", "frame", *[F.col(f"__{h}").alias(h) for h in H])
 
 
 def outside_mask(boxes: DataFrame, masked_cells: DataFrame, cell: float, keys: Sequence[str] = ("camera_id",)) -> DataFrame:
