@@ -2,7 +2,8 @@
 
 Texts are cut into units at line breaks (or blank lines). A unit is normalised (lower case, white space collapsed) and
 hashed; of all units with one digest the earliest ranked stays, by (id, place), and the others are removed. Offsets into
-the original text are kept. Units of fewer than ``min_words`` words are never removed, nor do they make others go.
+the original text are kept. Blank units are never removed, nor, if that is asked for, units of fewer than ``min_words``
+words.
 
 The earliest place of a digest is a partial aggregate, and the join that brings it back is salted, so a line that a third
 of all documents share is no hot group. Texts are joined once, with the units that they lose.
@@ -41,7 +42,7 @@ def normalised(unit: str) -> str:
     return _SPACE.sub(" ", unit.lower().replace("\n", " ")).strip(" ")
 
 
-def repeated_units(docs: DataFrame, *, unit: str = "line", min_words: int = 5, salts: int = 16) -> DataFrame:
+def repeated_units(docs: DataFrame, *, unit: str = "line", min_words: int = 1, salts: int = 16) -> DataFrame:
     """``row``, ``places``: the places (numbers of units) that each row of ``docs`` (``doc_id``, ``row``, ``text``) loses."""
     cut = CUTS[unit]
     kind = docs.schema["doc_id"].dataType
@@ -69,7 +70,7 @@ def repeated_units(docs: DataFrame, *, unit: str = "line", min_words: int = 5, s
     return found.join(first, ["digest", "salt"]).where("at <> first").groupBy("row").agg(F.collect_list("place").alias("places"))
 
 
-def remove_repeated_units(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", min_words: int = 5) -> DataFrame:
+def remove_repeated_units(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", min_words: int = 1) -> DataFrame:
     """Per document ``doc_id``, ``n_units``, ``n_removed``, ``removed_chars``, ``removed`` (start and stop in the original text) and ``text`` (the units left, with one break between)."""
     cut, glue = CUTS[unit], {"line": "\n", "paragraph": "\n\n"}[unit]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id())

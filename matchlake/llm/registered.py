@@ -91,15 +91,15 @@ def op4_repeats(spark, sf_dir):
 @llm_query("op5_lines", r"""
 WITH u AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS unit, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place FROM documents),
 n AS (SELECT *, trim(regexp_replace(lower(unit), '[ \t\r\f\v]+', ' ', 'g'), ' ') AS plain FROM u),
-m AS (SELECT *, plain <> '' AND len(string_split(plain, ' ')) >= 5
+m AS (SELECT *, plain <> ''
     AND row_number() OVER (PARTITION BY plain ORDER BY doc_id, place) > 1 AS gone FROM n)
 SELECT doc_id, count(*) AS n_units, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_removed,
   CAST(coalesce(sum(length(unit)) FILTER (WHERE gone), 0) AS BIGINT) AS removed_chars,
   coalesce(string_agg(unit, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '') AS text
 FROM m GROUP BY doc_id""")
 def op5_lines(spark, sf_dir):
-    """Whole texts without lines of five words or more that an earlier place has."""
-    found = lines.remove_repeated_units(table(spark, sf_dir, "documents"), unit="line", min_words=5)
+    """Whole texts without lines that an earlier place has; blank lines stay."""
+    found = lines.remove_repeated_units(table(spark, sf_dir, "documents"), unit="line")
     return found.select("doc_id", "n_units", "n_removed", "removed_chars", "text")
 
 
