@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import gaps as G
+from ..operators import ball as B, gaps as G
 from .registry import query, rnd
 
 FPS = 10.0
@@ -223,6 +223,22 @@ def _(d):
     )
 
 
-@query("ball_filter", "G3 W14")
-def _(d):
-    return G.smooth_ball(d.fx_gaps, FPS)
+@query("ball_filter", "G3 W14", """
+WITH RECURSIVE z AS (SELECT video_id, track_id, CAST(frame AS BIGINT) AS frame, cx, cy FROM fx_gaps),
+ends AS (SELECT video_id, track_id, min(frame) AS first_frame, max(frame) AS last_frame FROM z GROUP BY ALL),
+b AS (
+  SELECT z.video_id, z.track_id, z.frame, last_frame, cx AS px, 0e0 AS vx, cy AS py, 0e0 AS vy, 1000e0 AS p, 0e0 AS r, 1000e0 AS v, cx AS lx, cy AS ly, cx AS ox, cy AS oy, TRUE AS is_detected, FALSE AS gated
+  FROM z JOIN ends e ON e.video_id = z.video_id AND e.track_id = z.track_id AND e.first_frame = z.frame
+  UNION ALL
+  SELECT video_id, track_id, frame, last_frame, CASE WHEN ok THEN px + k0 * (cx - px) ELSE px END, CASE WHEN ok THEN vx + k1 * (cx - px) ELSE vx END,
+    CASE WHEN ok THEN py + k0 * (cy - py) ELSE py END, CASE WHEN ok THEN vy + k1 * (cy - py) ELSE vy END,
+    CASE WHEN ok THEN (1 - k0) * (1 - k0) * p + 25e0 * k0 * k0 ELSE p END, CASE WHEN ok THEN (1 - k0) * (r - k1 * p) + 25e0 * k0 * k1 ELSE r END,
+    CASE WHEN ok THEN v - 2e0 * k1 * r + k1 * k1 * p + 25e0 * k1 * k1 ELSE v END, CASE WHEN ok THEN cx ELSE lx END, CASE WHEN ok THEN cy ELSE ly END,
+    CASE WHEN ok THEN cx ELSE px END, CASE WHEN ok THEN cy ELSE py END, ok, cx IS NOT NULL AND NOT ok
+  FROM (SELECT *, p / (p + 25e0) AS k0, r / (p + 25e0) AS k1, cx IS NOT NULL AND sqrt((cx - lx) * (cx - lx) + (cy - ly) * (cy - ly)) <= 140e0 AS ok
+    FROM (SELECT b.video_id, b.track_id, b.frame + 1 AS frame, b.last_frame, px + 0.1e0 * vx AS px, vx, py + 0.1e0 * vy AS py, vy,
+        p + 0.2e0 * r + 0.01e0 * v + 0.0125e0 AS p, r + 0.1e0 * v + 0.25e0 AS r, v + 5e0 AS v, lx, ly, z.cx, z.cy
+      FROM b LEFT JOIN z ON z.video_id = b.video_id AND z.track_id = b.track_id AND z.frame = b.frame + 1 WHERE b.frame < b.last_frame)))
+SELECT video_id, track_id, frame, round(ox, 6) AS cx, round(oy, 6) AS cy, is_detected, gated FROM b""")
+def _(d):
+    return B.smooth_ball(d.fx_gaps, FPS).withColumns({"cx": F.round("cx", 6), "cy": F.round("cy", 6)})

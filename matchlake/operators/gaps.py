@@ -12,7 +12,6 @@ from .. import constants as C
 from ..functions.numbers import stable_round
 from ..plans.blocked import BLOCK_ROWS, asof_before, running, with_halo, with_position
 from ..plans.runs import runs
-from ..plans.scan import ordered_scan
 
 KEYS = ("video_id", "track_id")
 
@@ -285,7 +284,7 @@ BALL_SCHEMA = "video_id bigint, track_id bigint, frame bigint, cx double, cy dou
 
 
 def ball_rows(fps: float, ball: BallFilter | None = None, seen: list[int] | None = None):
-    """Step function for ``ordered_scan``: detections in, one row per frame out (predicted where missing or gated).
+    """Step function of a live series: detections in, one row per frame out (predicted where missing or gated).
 
     ``seen`` holds the last frame handled; both arguments let a stream resume from stored state. Frames up to it come late
     or again and are left out, so no frame is written twice.
@@ -311,9 +310,3 @@ def ball_rows(fps: float, ball: BallFilter | None = None, seen: list[int] | None
         return pd.DataFrame(out, columns=["video_id", "track_id", "frame", "cx", "cy", "is_detected", "gated"])
 
     return step
-
-
-def smooth_ball(detections: DataFrame, fps: float) -> DataFrame:
-    """Filtered ball path. Each row depends on the last accepted one, so a series is scanned in order."""
-    src = detections.select("video_id", "track_id", "frame", "cx", "cy")
-    return ordered_scan(src, KEYS, ["frame"], lambda: ball_rows(fps), BALL_SCHEMA)

@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from matchlake.operators import gaps as G, identity as D, risk as K, target as TG, trajectory as T
+from matchlake.operators import ball as B, gaps as G, identity as D, risk as K, target as TG, trajectory as T
 
 
 def loop_bursts(speeds, threshold, bridge, dwell):
@@ -120,7 +120,7 @@ def test_ball_filter_matches_a_full_state_filter(spark):
         if rng.random() > 0.25:
             obs[f] = (x + (900 if f % 19 == 7 else 0), y)
     df = spark.createDataFrame([(1, -1, f, *o) for f, o in obs.items()], "video_id bigint, track_id bigint, frame bigint, cx double, cy double")
-    got = {r.frame: r for r in G.smooth_ball(df, 10.0).collect()}
+    got = {r.frame: r for r in B.smooth_ball(df, 10.0).collect()}
     dt = 0.1
     a = np.array([[1, 0, dt, 0], [0, 1, 0, dt], [0, 0, 1, 0], [0, 0, 0, 1.0]])
     q = np.kron(np.array([[dt**4 / 4, dt**3 / 2], [dt**3 / 2, dt**2]]), np.eye(2)) * 500
