@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.gaps import BALL_SCHEMA, BallFilter, ball_rows
+from .. import constants as C
+from ..operators.ball import Path
+from ..operators.gaps import BALL_SCHEMA
 from ..operators.target import FOLLOW_SCHEMA, Follower, follow_rows
 from ..sources.sinks import merge_by_video, scratch_path
+from .stateful import OrderedProcessor, stateful
 
 
 # ---- running a stream to its end --------------------------------------------------------------------------------
@@ -92,66 +92,94 @@ def rescore_on_arrival(stream: DataFrame, rescore: Callable[[DataFrame], None],
 
 
 # ---- custom state -----------------------------------------------------------------------------------------------
-def _stateful(stream: DataFrame, keys: Sequence[str], fn, schema: str, mode: str = "append") -> DataFrame:
-    return stream.groupBy(*keys).applyInPandasWithState(fn, schema, "state string", mode, GroupStateTimeout.NoTimeout)
+class BallPath(OrderedProcessor):
+    """The filter of ``operators.ball``, its state carried from batch to batch; a frame that comes again or late is left out."""
 
+    order = "frame"
+    row_columns = {"frame": "bigint", "cx": "double", "cy": "double"}
+    state_schema = ", ".join(f"{n} double" for n in ("frame", "x", "vx", "y", "vy", "p", "r", "v", "last_x", "last_y"))
 
-def _ball_to_text(ball: BallFilter, seen: int) -> str:
-    return json.dumps({"p": ball.p.tolist(), "s": None if ball.state is None else ball.state.tolist(),
-                       "l": None if ball.last is None else [float(v) for v in ball.last], "f": int(seen)})
+    def __init__(self, fps: float, **timed):
+        super().__init__(**timed)
+        self.path = Path(fps)
 
+    def advance(self, key, state, rows):
+        out = []
+        for frame, x, y in rows.itertuples(index=False, name=None):
+            if state is not None and frame <= state[0]:
+                continue
+            if state is not None:
+                for f in range(int(state[0]) + 1, frame):
+                    ahead = self.path.ahead(state, f - int(state[0]))
+                    out.append((*key, f, ahead[1], ahead[3], False, False))
+            state, accepted = self.path.step(state, frame, x, y)
+            out.append((*key, frame, x, y, True, False) if accepted else (*key, frame, state[1], state[3], False, True))
+        return pd.DataFrame(out, columns=["video_id", "track_id", "frame", "cx", "cy", "is_detected", "gated"]), state
 
-def live_ball(detections: DataFrame, fps: float) -> DataFrame:
-    """Filtered ball path across micro-batches; rows of a series arrive in frame order between batches."""
 
-    def step(key, parts: Iterable[pd.DataFrame], state: GroupState):
-        rows = pd.concat(list(parts)).sort_values("frame")
-        ball, seen = BallFilter(fps), []
-        if state.exists:
-            old = json.loads(state.get[0])
-            ball.p = np.array(old["p"])
-            ball.state = None if old["s"] is None else np.array(old["s"])
-            ball.last = None if old["l"] is None else np.array(old["l"])
-            seen = [old["f"]]
-        out = ball_rows(fps, ball, seen)(rows)
-        state.update((_ball_to_text(ball, seen[0]),))
-        yield out
+def live_ball(detections: DataFrame, fps: float, **timed) -> DataFrame:
+    """Filtered ball path across micro-batches; rows of a series arrive in frame order between batches. ``timed``: see ``OrderedProcessor``."""
+    return stateful(detections, ["video_id", "track_id"], BallPath(fps, **timed), BALL_SCHEMA)
 
-    return _stateful(detections.select("video_id", "track_id", "frame", "cx", "cy"), ["video_id", "track_id"], step, BALL_SCHEMA)
 
+class TargetStates(OrderedProcessor):
+    """The follower of ``operators.target``. Once it is silent, the frames of the occlusion are written and it is lost."""
 
-def live_follow(candidates: DataFrame, fps: float) -> DataFrame:
-    """Target states across micro-batches; candidates arrive in frame order between batches."""
+    order = "frame"
+    state_schema = ("tracks array<bigint>, box array<double>, place array<double>, missing bigint, state string, next bigint")
+
+    def __init__(self, fps: float, boxes: str, **timed):
+        super().__init__(**timed)
+        self.fps, self.row_columns = fps, {"frame": "bigint", "boxes": boxes}
+
+    def _follower(self, state) -> Follower:
+        f = Follower(self.fps)
+        if state is not None:
+            f.restore(dict(zip(("tracks", "box", "place", "missing", "state", "next"), state)))
+        return f
+
+    def _state(self, f: Follower) -> tuple:
+        s = f.snapshot()
+        return (s["tracks"], s["box"], s["place"], int(s["missing"]), s["state"], s["next"])
+
+    def advance(self, key, state, rows):
+        f = self._follower(state)
+        rows = rows.assign(video_id=key[0], target_id=key[1])
+        return follow_rows(self.fps, f)(rows), self._state(f)
 
-    def step(key, parts: Iterable[pd.DataFrame], state: GroupState):
-        rows = pd.concat(list(parts)).sort_values("frame")
-        f = Follower(fps)
-        if state.exists:
-            f.restore(json.loads(state.get[0]))
-        out = follow_rows(fps, f)(rows)
-        state.update((json.dumps(f.snapshot()),))
-        yield out
+    def silent(self, key, state):
+        f = self._follower(state)
+        left = max(0, C.OCCLUSION_FRAMES + 1 - f.missing)
+        out = follow_rows(self.fps, f)(pd.DataFrame({"video_id": [key[0]], "target_id": [key[1]], "frame": [f.next_frame + left], "boxes": [[]]}))
+        return out, self._state(f)
 
-    return _stateful(candidates, ["video_id", "target_id"], step, FOLLOW_SCHEMA)
+
+def live_follow(candidates: DataFrame, fps: float, **timed) -> DataFrame:
+    """Target states across micro-batches; candidates arrive in frame order between batches."""
+    boxes = candidates.schema["boxes"].dataType.simpleString()
+    return stateful(candidates, ["video_id", "target_id"], TargetStates(fps, boxes, **timed), FOLLOW_SCHEMA)
 
 
 PROGRESS_SCHEMA = "video_id bigint, stage string, percent bigint"
 TERMINAL = ("done", "failed")
 
 
-def live_progress(events: DataFrame) -> DataFrame:
-    """Latest stage per video from (video_id, at, stage, percent); the percent never falls unless a stage is final."""
+class Progress(OrderedProcessor):
+    order = "at"
+    row_columns = {"at": "bigint", "stage": "string", "percent": "bigint"}
+    state_schema = "stage string, percent bigint"
 
-    def step(key, parts: Iterable[pd.DataFrame], state: GroupState):
-        rows = pd.concat(list(parts)).sort_values("at")
-        stage, percent = json.loads(state.get[0]) if state.exists else ("queued", 0)
+    def advance(self, key, state, rows):
+        stage, percent = state or ("queued", 0)
         for s, p in zip(rows["stage"], rows["percent"]):
             if p >= percent or s in TERMINAL:
                 stage, percent = s, int(min(100, max(0, p)))
-        state.update((json.dumps([stage, percent]),))
-        yield pd.DataFrame({"video_id": [key[0]], "stage": [stage], "percent": [percent]})
+        return pd.DataFrame({"video_id": [key[0]], "stage": [stage], "percent": [percent]}), (stage, percent)
 
-    return _stateful(events, ["video_id"], step, PROGRESS_SCHEMA, "update")
+
+def live_progress(events: DataFrame, **timed) -> DataFrame:
+    """Latest stage per video from (video_id, at, stage, percent); the percent never falls unless a stage is final."""
+    return stateful(events, ["video_id"], Progress(**timed), PROGRESS_SCHEMA, "update")
 
 
 def stage_from_log(text: Column) -> Column:
