@@ -256,6 +256,12 @@ def _(d):
     return K.run_summary(scored(d))
 
 
+@query("scoring_run_cube", "A35", "WITH " + ALLROWS + """
+SELECT score_status, data_quality, level, CAST(grouping_id(score_status, data_quality, level) AS BIGINT) AS grouping_id, count(*) AS rows FROM ar GROUP BY CUBE (score_status, data_quality, level)""")
+def _(d):
+    return K.run_cube(scored(d))
+
+
 @query("level_counts", "A29", "WITH " + ALLROWS + """
 SELECT team_id, count(*) FILTER (WHERE level = 'red') AS red, count(*) FILTER (WHERE level = 'yellow') AS yellow, count(*) FILTER (WHERE level = 'green') AS green,
   count(*) FILTER (WHERE level = 'unknown') AS unknown, count(risk_percent) * 2 < count(*) AS mostly_unscored

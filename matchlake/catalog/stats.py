@@ -335,7 +335,7 @@ def _(d):
     return S.with_jersey_override(rows, overrides)
 
 
-@query("video_thresholds", "A32 J22", """
+_VIDEO_THRESHOLDS = """
 WITH v AS (SELECT video_id, CASE WHEN video_id % 10 = 0 THEN 'club' END AS preset, hsr_kmh, sprint_kmh,
   CASE WHEN video_id % 10 = 0 THEN 6.5e0 END AS w, CASE WHEN video_id % 10 = 0 THEN 14.25e0 END AS j,
   CASE WHEN video_id % 20 = 0 THEN 20e0 END AS r, CASE WHEN video_id % 20 = 0 THEN 25e0 END AS h FROM fx_videos)
@@ -344,15 +344,31 @@ SELECT video_id, coalesce(preset, 'gps_standard') AS preset, round(coalesce(hsr_
   round(coalesce(r, 19.8e0), 1) AS edge_run, round(coalesce(h, 25.3e0), 1) AS edge_hsr,
   CASE WHEN n = 7 THEN 'pipeline' WHEN n = 0 THEN 'default' ELSE 'mixed' END AS source
 FROM (SELECT *, (preset IS NOT NULL)::INT + (hsr_kmh IS NOT NULL)::INT + (sprint_kmh IS NOT NULL)::INT + (w IS NOT NULL)::INT
-  + (j IS NOT NULL)::INT + (r IS NOT NULL)::INT + (h IS NOT NULL)::INT AS n FROM v)""")
-def _(d):
+  + (j IS NOT NULL)::INT + (r IS NOT NULL)::INT + (h IS NOT NULL)::INT AS n FROM v)"""
+
+
+def video_settings(d):
+    """Presets and zone edges that some videos bring along."""
     ten, twenty = F.col("video_id") % 10 == 0, F.col("video_id") % 20 == 0
-    v = d.fx_videos.select(
+    return d.fx_videos.select(
         "video_id", F.when(ten, "club").alias("preset"), F.col("hsr_kmh").cast("double"), F.col("sprint_kmh").cast("double"),
         F.when(ten, 6.5).alias("edge_walk"), F.when(ten, 14.25).alias("edge_jog"),
         F.when(twenty, 20.0).alias("edge_run"), F.when(twenty, 25.0).alias("edge_hsr"),
     )
-    return v.select("video_id", *S.thresholds())
+
+
+@query("video_thresholds", "A32 J22", _VIDEO_THRESHOLDS)
+def _(d):
+    return video_settings(d).select("video_id", *S.thresholds())
+
+
+@query("stat_thresholds", "J22", f"""
+WITH t AS ({_VIDEO_THRESHOLDS})
+SELECT stat_id, player_id, s.video_id, distance_km, coalesce(preset, 'gps_standard') AS preset, coalesce(hsr_kmh, 19.8e0) AS hsr_kmh, coalesce(sprint_kmh, 25.3e0) AS sprint_kmh,
+  coalesce(edge_walk, 7e0) AS edge_walk, coalesce(edge_jog, 15e0) AS edge_jog, coalesce(edge_run, 19.8e0) AS edge_run, coalesce(edge_hsr, 25.3e0) AS edge_hsr, coalesce(source, 'default') AS source
+FROM fx_stats s LEFT JOIN t ON t.video_id = s.video_id""")
+def _(d):
+    return S.with_thresholds(d.fx_stats.select("stat_id", "player_id", "video_id", "distance_km"), video_settings(d))
 
 
 @query("unit_conversions", "X11 X12 X14 X15", f"""

@@ -305,6 +305,11 @@ def run_summary(rows: DataFrame) -> DataFrame:
     return rows.groupBy("score_status", "data_quality", "level").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def run_cube(rows: DataFrame) -> DataFrame:
+    """Counts for every combination of status, quality and level, and all their totals; ``grouping_id`` tells which columns are added up."""
+    return rows.cube("score_status", "data_quality", "level").agg(F.grouping_id().alias("grouping_id"), F.count(F.lit(1)).alias("rows"))
+
+
 def level_counts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Players per level and whether fewer than half have a score."""
     n = lambda v: F.count(F.when(F.col("level") == v, 1))

@@ -196,10 +196,13 @@ def ranked(rows: DataFrame, keys: Sequence[str], metric: str) -> DataFrame:
     return ordinal_rank(rows, keys, metric, "player_id", "rank")
 
 
+THRESHOLD_COLUMNS = ("preset", "hsr_kmh", "sprint_kmh", "edge_walk", "edge_jog", "edge_run", "edge_hsr")
+
+
 def thresholds() -> list[Column]:
     """Video speed thresholds with gaps filled from the defaults, and where they came from."""
     d = C.DEFAULT_THRESHOLDS
-    got = [F.col(c) for c in ("preset", "hsr_kmh", "sprint_kmh", "edge_walk", "edge_jog", "edge_run", "edge_hsr")]
+    got = [F.col(c) for c in THRESHOLD_COLUMNS]
     n = sum((g.isNotNull().cast("int") for g in got), F.lit(0))
     fill = lambda c, v: stable_round(F.coalesce(F.col(c), F.lit(v)), 1)
     return [
@@ -214,6 +217,14 @@ def thresholds() -> list[Column]:
     ]
 
 
+def with_thresholds(stats: DataFrame, videos: DataFrame) -> DataFrame:
+    """Stat rows with the speed thresholds of their video; rows without a video, or of an unknown one, get the defaults."""
+    known = videos.select(F.col("video_id").alias("__video"), *[F.col(c) for c in THRESHOLD_COLUMNS])
+    own = [c for c in stats.columns if c not in THRESHOLD_COLUMNS]
+    joined = stats.select(*own).join(known, F.col("video_id") == F.col("__video"), "left")
+    return joined.select(*own, *thresholds())
+
+
 def player_series(stats: DataFrame, metrics: DataFrame, matches: DataFrame) -> DataFrame:
     """History of every player: one row per stat row, with its match date.
 

@@ -26,8 +26,8 @@ def get_spark(app: str = "matchlake", cores: str | int = "*", shuffle_partitions
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints: the cluster's own setting, else a temporary one (local runs and tests only)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """Shared folder for checkpoints: the cluster's own setting, else the one the context already has, else a temporary one (local runs and tests only), made once."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
         path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if spark.sparkContext.getCheckpointDir() is None:
