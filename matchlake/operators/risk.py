@@ -22,6 +22,7 @@ DISPLAY = [
 
 
 # ---- gates ------------------------------------------------------------------------------------------------------
+# The texts of the gate notes below are published ones.
 def custom_calibration(path: Column) -> Column:
     """A calibration of the video's own: given, not 'none'/'null', and not the shipped default file."""
     p = F.trim(path)
@@ -68,6 +69,7 @@ def gate_match_rows(rows: DataFrame) -> DataFrame:
 
 
 def gate_log_rows(logs: DataFrame) -> DataFrame:
+    # The text of the note.
     measured = F.coalesce("gps_distance_km", "heart_rate", "sprints", "top_speed_kmh").isNotNull()
     note = "no load values (gps_distance, heart_rate, sprints, top_speed)"
     return logs.withColumns(
