@@ -14,10 +14,13 @@ string is one depends on the window alone, so equal 50-byte strings have an anch
    has too is *covered*, and all its windows go; the first document of a context is *open* if its key has other contexts.
 2. The documents get their marks back (join on the id), and send the bytes around open anchors by key.
 3. The suffixes around the open anchors of a key are put in suffix order, which gives those with an earlier document.
+   Keys with more than ``HELD`` open anchors are handed on instead: their suffixes become rows, the earliest document of
+   each 50-byte prefix comes from a partial aggregate, and a salted join takes it back to the suffixes.
 4. Spans go back to the documents (join on the id) and are removed.
 
 Copies thus meet as equal contexts, in a sorted stream with constant memory, and only the edges of repeated passages are
-compared byte by byte. Step 3 holds the distinct open contexts of one key at a time.
+compared byte by byte. Step 3 holds at most ``HELD`` and a batch of open anchors, whatever the key. Texts are read in
+blocks of ``BLOCK`` bytes that overlap by the reach of an anchor, so memory doesn't follow the length of a text.
 
 Null texts count as empty. Rows with a null id are kept whole and don't make others go. Rows with equal ids don't remove
 each other's bytes. Repeated rows come back once each. Other columns are dropped unless named in ``keep``.
@@ -26,6 +29,7 @@ each other's bytes. Repeated rows come back once each. Other columns are dropped
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +43,12 @@ from .common import byte_buffer, materialised, slices
 WIDTH = 50
 ANCHOR = 20
 REACH = WIDTH - ANCHOR
+#: Bytes of one text whose anchors are taken at a time.
+BLOCK = 1 << 19
+#: Open anchors of one key that a task orders itself.
+HELD = 50_000
+#: Tasks that share the suffixes with one prefix.
+SALT = 8
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -95,6 +105,12 @@ class Anchors:
         context = _join(context, (self.left * 64 + self.right).astype(np.uint64))
         self.key = (key >> np.uint64(16)).view(np.int64)
         self.context = (context & ~np.uint64(1)).view(np.int64)
+        self.place = self.at - self.begin[self.owner]
+
+    def only(self, which: np.ndarray) -> None:
+        """Forget the other anchors."""
+        for name in ("at", "owner", "left", "right", "key", "context", "place"):
+            setattr(self, name, getattr(self, name)[which])
 
     def _reach(self, h: dict, shift: int, s: int) -> np.ndarray:
         """Hashes of s bytes at a distance from the anchors, with other texts' bytes and padding as zero."""
@@ -117,6 +133,24 @@ class Anchors:
         return self.buf[self.at[which][:, None] + np.arange(-REACH, WIDTH)[None]]
 
 
+def anchors_of(texts: pa.Array, block: int = BLOCK) -> Iterator[Anchors]:
+    """Anchors of a batch of texts, a single long text in blocks; ``place`` is where they are in their text.
+
+    An anchor and its context depend on the bytes from REACH before it to WIDTH after its start, so a block that reads
+    those beyond the anchors it owns finds what the whole text has.
+    """
+    data, offsets = byte_buffer(texts)
+    if len(texts) > 1 or len(data) <= block:
+        yield Anchors(data, offsets)
+        return
+    for start in range(0, len(data), block):
+        first, last = max(0, start - REACH), min(len(data), start + block + WIDTH)
+        a = Anchors(data[first:last], np.array([0, last - first]))
+        a.place = a.place + first
+        a.only((a.place >= start) & (a.place < start + block))
+        yield a
+
+
 def _pairwise(x: np.ndarray) -> np.ndarray:
     return _join(x[:, ::2], x[:, 1::2])
 
@@ -162,16 +196,16 @@ def suffix_order(prefix: np.ndarray, key: np.ndarray, doc: np.ndarray) -> tuple[
     return order, order[np.flatnonzero(start)[np.cumsum(start) - 1]]
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _anchor_rows(batches: Iterator[pa.RecordBatch], block: int = BLOCK) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text", 1 << 19):
-            a = Anchors(*byte_buffer(part.column("text")))
-            ids = np.asarray(part.column("doc_id"))[a.owner]
-            order = np.lexsort((a.context, a.key, ids))
-            t = [v[order] for v in (a.key, a.context, ids)]
-            once = np.ones(len(order), bool)
-            once[1:] = (t[0][1:] != t[0][:-1]) | (t[1][1:] != t[1][:-1]) | (t[2][1:] != t[2][:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(v[once]) for v in t], names=["key", "context", "doc_id"])
+        for part in slices(batch, "text", block):
+            for a in anchors_of(part.column("text"), block):
+                ids = np.asarray(part.column("doc_id"))[a.owner]
+                order = np.lexsort((a.context, a.key, ids))
+                t = [v[order] for v in (a.key, a.context, ids)]
+                once = np.ones(len(order), bool)
+                once[1:] = (t[0][1:] != t[0][:-1]) | (t[1][1:] != t[1][:-1]) | (t[2][1:] != t[2][:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(v[once]) for v in t], names=["key", "context", "doc_id"])
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,44 +250,53 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs).astype(np.int64)), pa.array(np.concatenate(marks).astype(np.int64))], names=["doc_id", "mark"])
 
 
-def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Columns of the rows of open anchors.
+OPEN = ["key", "doc_id", "row", "at", "left", "right", "around"]
+
+
+def _around(batches: Iterator[pa.RecordBatch], block: int = BLOCK) -> Iterator[pa.RecordBatch]:
     """Per document a row with its covered spans, and per open anchor a row with the bytes around it."""
     for batch in batches:
-        for part in slices(batch.filter(pa.compute.is_valid(batch.column("marks"))), "text", 1 << 19):
-            a = Anchors(*byte_buffer(part.column("text")))
+        for part in slices(batch.filter(pa.compute.is_valid(batch.column("marks"))), "text", block):
             ids, rows = np.asarray(part.column("doc_id")), np.asarray(part.column("row"))
             marks = part.column("marks")
             ends, flat = np.asarray(marks.offsets).astype(np.int64), np.asarray(marks.values)
-            bounds = np.searchsorted(a.owner, np.arange(len(part) + 1))
-            covered, opened, spans = [], [], []
-            for i in range(len(part)):
-                own = np.sort(flat[ends[i] : ends[i + 1]])
-                here = np.arange(bounds[i], bounds[i + 1])
-                c = a.context[here]
-                full = own[np.minimum(np.searchsorted(own, c | 1), len(own) - 1)] == (c | 1)
-                free = ~full & (own[np.minimum(np.searchsorted(own, c), len(own) - 1)] == c)
-                h = here[full]
-                starts, stops = a.at[h] - a.left[h] - a.begin[i], a.at[h] + a.right[h] - a.begin[i]
-                spans.append(merged(starts, stops))
-                covered.append(i)
-                opened.append(here[free])
-            opened = np.concatenate(opened) if opened else np.zeros(0, int)
-            yield _span_rows(rows[covered], ids[covered], spans)
-            for at in range(0, len(opened), 20_000):
-                o = opened[at : at + 20_000]
-                w = a.owner[o]
-                around = np.ascontiguousarray(a.bytes_around(o))
-                flat_bytes = pa.Array.from_buffers(pa.binary(), len(o), [None, pa.py_buffer((np.arange(len(o) + 1, dtype=np.int32) * around.shape[1]).tobytes()), pa.py_buffer(around.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(a.key[o]), pa.array(ids[w]), pa.array(rows[w]), pa.array(a.at[o] - a.begin[w]), pa.array(a.left[o].astype(np.int32)), pa.array(a.right[o].astype(np.int32)), flat_bytes],
-                                                 names=["key", "doc_id", "row", "at", "left", "right", "around"])
+            for a in anchors_of(part.column("text"), block):
+                yield from _around_part(a, ids, rows, ends, flat)
+
+
+def _around_part(a: Anchors, ids: np.ndarray, rows: np.ndarray, ends: np.ndarray, flat: np.ndarray) -> Iterator[pa.RecordBatch]:
+    bounds = np.searchsorted(a.owner, np.arange(len(ids) + 1))
+    opened, spans = [], []
+    for i in range(len(ids)):
+        own = np.sort(flat[ends[i] : ends[i + 1]])
+        here = np.arange(bounds[i], bounds[i + 1])
+        c = a.context[here]
+        full = own[np.minimum(np.searchsorted(own, c | 1), len(own) - 1)] == (c | 1)
+        free = ~full & (own[np.minimum(np.searchsorted(own, c), len(own) - 1)] == c)
+        h = here[full]
+        spans.append(merged(a.place[h] - a.left[h], a.place[h] + a.right[h]))
+        opened.append(here[free])
+    yield _span_rows(rows, ids, spans)
+    opened = np.concatenate(opened) if opened else np.zeros(0, int)
+    for at in range(0, len(opened), 20_000):
+        o = opened[at : at + 20_000]
+        w = a.owner[o]
+        around = np.ascontiguousarray(a.bytes_around(o))
+        yield pa.RecordBatch.from_arrays([pa.array(a.key[o]), pa.array(ids[w]), pa.array(rows[w]), pa.array(a.place[o]), pa.array(a.left[o].astype(np.int32)), pa.array(a.right[o].astype(np.int32)), fixed_binary(around)], names=OPEN)
+
+
+def fixed_binary(values: np.ndarray) -> pa.Array:
+    """Rows of a contiguous (n, width) byte matrix as a binary column."""
+    n, width = values.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1, dtype=np.int32) * width).tobytes()), pa.py_buffer(values.tobytes())])
 
 
 def _span_rows(rows: np.ndarray, ids: np.ndarray, spans: list[np.ndarray]) -> pa.RecordBatch:
     has = np.array([len(s) > 0 for s in spans], dtype=bool)
     packed = [s.astype("<i8").tobytes() for s in spans if len(s)]
     n = len(packed)
-    return pa.RecordBatch.from_arrays([pa.array(rows[has]), pa.array(ids[has]), pa.array(rows[has]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.array(packed, pa.binary())],
-                                      names=["key", "doc_id", "row", "at", "left", "right", "around"])
+    return pa.RecordBatch.from_arrays([pa.array(rows[has]), pa.array(ids[has]), pa.array(rows[has]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.array(packed, pa.binary())], names=OPEN)
 
 
 def merged(starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
@@ -266,11 +309,11 @@ def merged(starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     return np.stack([s[new], e[np.r_[np.flatnonzero(new)[1:] - 1, len(e) - 1]]], axis=1)
 
 
-def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: spans pass, open anchors are resolved, whole keys at a time."""
-    names = ["key", "doc_id", "row", "at", "left", "right", "around"]
+def _resolve(batches: Iterator[pa.RecordBatch], most: int = HELD) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key: spans pass, open anchors are resolved, whole keys at a time; those of a key with more than ``most`` are handed on as they are."""
     schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("at", pa.int64()), ("left", pa.int32()), ("right", pa.int32()), ("around", pa.binary())])
-    held: list[pa.RecordBatch] = []
+    held: list[pa.RecordBatch] = []  # rows of the last key so far
+    crowded = None  # the key whose rows are handed on
 
     def finish(t: pa.Table) -> pa.RecordBatch:
         t = t.combine_chunks()
@@ -280,36 +323,81 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = np.flatnonzero(high >= 0)
         at, rows, ids = (np.asarray(t[c])[got] for c in ("at", "row", "doc_id"))
         spans = np.stack([at - high[got], at - low[got] + WIDTH], axis=1).astype("<i8")
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(rows), pa.array([s.tobytes() for s in spans], pa.binary())], names=["doc_id", "row", "spans"])
+        return _span_rows(rows, ids, [x.reshape(1, 2) for x in spans])
 
     for batch in batches:
-        batch = pa.RecordBatch.from_arrays([batch.column(n) for n in names], names=names)
+        batch = pa.RecordBatch.from_arrays([batch.column(n) for n in OPEN], names=OPEN)
         passing = pa.compute.is_null(batch.column("at"))
         spans = batch.filter(passing)
         if len(spans):
-            yield pa.RecordBatch.from_arrays([spans.column("doc_id"), spans.column("row"), spans.column("around")], names=["doc_id", "row", "spans"])
+            yield spans
         rest = batch.filter(pa.compute.invert(passing))
+        if crowded is not None and len(rest):
+            stop = int(np.searchsorted(np.asarray(rest.column("key")), crowded, side="right"))
+            if stop:
+                yield rest.slice(0, stop)
+            rest = rest.slice(stop)
+            crowded = None if len(rest) else crowded
         if not len(rest):
             continue
         key = np.asarray(rest.column("key"))
-        cut = int(np.searchsorted(key, key[-1]))
-        if cut == 0 and held and np.asarray(held[-1].column("key"))[-1] == key[-1]:
-            held.append(rest)
-            continue
-        for at in range(0, cut, 50_000):
-            # 50,000 rows and what follows of their last key
-            stop = cut if at + 50_000 >= cut else int(np.searchsorted(key, key[at + 50_000], side="right"))
-            begin = at if at == 0 else int(np.searchsorted(key, key[at], side="right"))
-            if stop > begin:
-                yield finish(pa.Table.from_batches([*held, rest.slice(begin, stop - begin)], schema=held[0].schema if held else rest.schema))
-                held = []
-        if held:
+        if held and np.asarray(held[-1].column("key"))[-1] != key[0]:
             yield finish(pa.Table.from_batches(held))
-        held = [rest.slice(cut)]
+            held = []
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        stops = np.r_[starts[1:], len(key)]
+        ready = 0  # rows from here on wait for their turn
+        for start, stop in zip(starts.tolist(), stops.tolist()):
+            before = sum(map(len, held)) if start == 0 else 0
+            if before + stop - start > most:
+                if start > ready:
+                    yield finish(pa.Table.from_batches([*held, rest.slice(ready, start - ready)], schema=schema))
+                    held = []
+                yield from held
+                yield rest.slice(start, stop - start)
+                held, ready = [], stop
+                crowded = int(key[start]) if stop == len(key) else None
+            elif stop < len(key) and stop - ready >= most:
+                yield finish(pa.Table.from_batches([*held, rest.slice(ready, stop - ready)], schema=schema))
+                held, ready = [], stop
+        last = max(ready, int(starts[-1]))
+        if last > ready:
+            yield finish(pa.Table.from_batches([*held, rest.slice(ready, last - ready)], schema=schema))
+            held = []
+        if last < len(key):
+            held.append(rest.slice(last))
     if held:
         yield finish(pa.Table.from_batches(held))
 
 
+def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The suffixes of at least WIDTH bytes around open anchors: their first WIDTH bytes and the span of those in the text."""
+    for batch in batches:
+        for begin in range(0, len(batch), 5_000):
+            part = batch.slice(begin, 5_000)
+            around = np.frombuffer(b"".join(part.column("around").to_pylist()), np.uint8).reshape(len(part), REACH + WIDTH)
+            at, left, right, ids, rows = (np.asarray(part.column(c)) for c in ("at", "left", "right", "doc_id", "row"))
+            for j in range(REACH + 1):
+                fits = np.flatnonzero((left >= j) & (right >= WIDTH - j))
+                if len(fits):
+                    prefix = fixed_binary(np.ascontiguousarray(around[fits, REACH - j : REACH - j + WIDTH]))
+                    span = np.ascontiguousarray((at[fits, None] + np.array([-j, WIDTH - j])).astype("<i8")).view(np.uint8)
+                    yield pa.RecordBatch.from_arrays([prefix, pa.array(ids[fits]), pa.array(rows[fits]), fixed_binary(span)], names=["prefix", "doc_id", "row", "spans"])
+
+
+def suffix_spans(crowded: DataFrame) -> DataFrame:
+    """``doc_id``, ``row`` and ``spans`` of the suffixes whose first WIDTH bytes an earlier document has too, without a group per key.
+
+    The documents of one prefix meet in a partial aggregate; only prefixes of several documents are joined back, salted.
+    """
+    suffixes = crowded.select(*OPEN).mapInArrow(_suffixes, "prefix binary, doc_id long, row long, spans binary")
+    first = suffixes.groupBy("prefix").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    first = first.select("prefix", "first", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    salted = suffixes.withColumn("salt", F.pmod(F.xxhash64("doc_id", "spans"), F.lit(SALT)).cast("int"))
+    later = salted.join(first, ["prefix", "salt"]).where(F.col("doc_id") > F.col("first"))
+    return later.select("doc_id", "row", "spans")
+
+
 def _removed(text: bytes, spans: np.ndarray) -> bytes:
     out, at = [], 0
     for start, stop in spans.tolist():
@@ -318,21 +406,23 @@ def _removed(text: bytes, spans: np.ndarray) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, as_text: bool = False, most: int = HELD, block: int = BLOCK) -> DataFrame:
     """Per document: the columns ``keep`` (by default ``doc_id``), ``kept`` (binary), ``n_bytes``, ``n_removed``, ``n_spans`` and ``spans`` (start and stop of the removed bytes in the input).
 
+    ``most`` (open anchors of one key in a task) and ``block`` (bytes read at a time) bound the memory; results don't depend on them.
     With ``as_text`` a column ``text`` takes the place of ``kept``; characters that lost some of their bytes are left out of it.
     """
     fields = [f for f in docs.schema.fields if f.name in keep] if keep else [docs.schema[id_col]]
     mine = [f"keep{i}" for i in range(len(fields))]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(f.name).alias(m) for f, m in zip(fields, mine))).withColumn("row", F.monotonically_increasing_id())
     known = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= WIDTH))
-    anchors = known.select("doc_id", "text").mapInArrow(_anchor_rows, "key long, context long, doc_id long")
+    anchors = known.select("doc_id", "text").mapInArrow(partial(_anchor_rows, block=block), "key long, context long, doc_id long")
     marks = anchors.repartition("key").sortWithinPartitions("key", "context", "doc_id").mapInArrow(_marks, "doc_id long, mark long")
     marked = materialised(marks.groupBy("doc_id").agg(F.collect_list("mark").alias("marks")))
     # both joins read the same columns of the documents on the same side, so their texts are shuffled once
-    around = rows.join(marked, "doc_id", "left").mapInArrow(_around, "key long, doc_id long, row long, at long, left int, right int, around binary")
-    spans = around.repartition("key").sortWithinPartitions("key").mapInArrow(_resolve, "doc_id long, row long, spans binary")
+    around = rows.join(marked, "doc_id", "left").mapInArrow(partial(_around, block=block), "key long, doc_id long, row long, at long, left int, right int, around binary")
+    resolved = materialised(around.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_resolve, most=most), around.schema))
+    spans = resolved.where("at is null").select("doc_id", "row", F.col("around").alias("spans")).unionByName(suffix_spans(resolved.where("at is not null")))
     by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("row", "spans")).alias("found"))
     left = T.StructField("text", T.StringType()) if as_text else T.StructField("kept", T.BinaryType())
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))

@@ -144,8 +144,8 @@ def brute_repeats(docs):
     return sorted(out, key=str)
 
 
-def run_repeats(df):
-    got = repeats.remove_repeats(df).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))
+def run_repeats(df, **bounds):
+    got = repeats.remove_repeats(df, **bounds).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))
     return sorted((tuple(r) for r in got.collect()), key=str)
 
 
@@ -162,7 +162,32 @@ def test_repeats_match_brute_force(spark, seed):
             parts += [rng.choice([s, s[a:b], s[:49], s[:50], "a" * rng.randint(40, 130), "ab" * rng.randint(20, 80), "é" * rng.randint(20, 60)]), prose(i, rng.randint(0, 4))]
         docs.append((rng.choice([i, i, 7]), rng.choice(["", " "]).join(parts)))
     df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in docs], DOCS).repartition(3)
-    assert run_repeats(df) == brute_repeats(docs)
+    want = brute_repeats(docs)
+    assert run_repeats(df) == want
+    # keys of any size are split into suffix rows, and texts into blocks, without a change
+    assert run_repeats(df, most=seed, block=64 + 50 * seed) == want
+
+
+def test_a_key_with_many_contexts_is_not_held():
+    rng = np.random.default_rng(5)
+    n, width = 5000, repeats.REACH + repeats.WIDTH
+    key = np.sort(np.r_[np.full(3000, 7), rng.integers(0, 12, 2000)])
+    columns = [pa.array(key), pa.array(rng.integers(0, 90, n)), pa.array(np.arange(n)), pa.array(np.full(n, 40)), pa.array(np.full(n, 30, np.int32)), pa.array(np.full(n, 50, np.int32)), repeats.fixed_binary(rng.integers(97, 99, (n, width)).astype(np.uint8))]
+    for size in (64, 999, n):
+        batches = [pa.RecordBatch.from_arrays([c[i : i + size] for c in columns], names=repeats.OPEN) for i in range(0, n, size)]
+        handed = [b for b in repeats._resolve(iter(batches), most=1000) if len(b) and b.column("at").null_count == 0]
+        assert sum(map(len, handed)) == (key == 7).sum() and all(set(b.column("key").to_pylist()) == {7} for b in handed)
+        assert max(map(len, handed)) <= max(size, 1000)
+
+
+@pytest.mark.parametrize("block", [50, 81, 400])
+def test_blocks_give_the_anchors_of_the_whole_text(block):
+    data = (prose(3, 300) + "a" * 120 + prose(3, 40)).encode()
+    whole = repeats.Anchors(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    parts = list(repeats.anchors_of(pa.array([data.decode()]), block))
+    assert len(parts) > 1
+    for name in ("place", "key", "context", "left", "right"):
+        assert np.concatenate([getattr(p, name) for p in parts]).tolist() == getattr(whole, name).tolist()
 
 
 def test_repeats_awkward_rows(spark):
