@@ -18,6 +18,7 @@ def load_all() -> dict[str, "Query"]:
         listings,
         evaluation,
         streams,
+        uploads,
     )
 
     return QUERIES
