@@ -19,6 +19,7 @@ def load_all() -> dict[str, "Query"]:
         evaluation,
         streams,
         uploads,
+        custom,
     )
 
     return QUERIES

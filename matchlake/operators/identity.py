@@ -12,6 +12,7 @@ from .. import constants as C
 from ..plans.components import component_labels
 from ..plans.materialize import materialised
 from ..plans.ranking import ordinal_position
+from . import registry as R
 
 KEYS = ("video_id", "track_id")
 
@@ -252,6 +253,17 @@ def quality_warnings(tracks: DataFrame, keys: Sequence[str] = ("video_id",)) ->
     )
 
 
+def unknown_key_warnings(metrics: DataFrame, keys: Sequence[str] = ("video_id",)) -> DataFrame:
+    """A warning per video that has metric keys which no definition, alias or other reader takes; null keys don't count.
+
+    ``metrics``: one row per value with its ``metric_key``.
+    """
+    known = sorted({*R.ALIASES, *R.KNOWN_OTHER, *R.KEYS})
+    odd = metrics.where(~F.col("metric_key").isin(known)).select(*keys, "metric_key").distinct()
+    names = F.array_join(F.array_sort(F.collect_set("metric_key")), ", ")
+    return odd.groupBy(*keys).agg(F.concat(F.lit("unknown metric keys left out: "), names).alias("warning"))
+
+
 # ---- team colours -----------------------------------------------------------------------------------------------
 CHANNELS = ("c1", "c2", "c3")
 

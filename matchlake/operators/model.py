@@ -25,14 +25,14 @@ class RiskModel:
 
 
 # Published coefficients, intercept and medians. Centre and scale are not published; these are round
-# numbers of the right size and are replaced by training.
+# numbers of the right size and are replaced by training, so the model carries a version name of its own.
 DEFAULT_MODEL = RiskModel(
     medians=(1.0328, 116.2901, 21.0, 8.7101, 30.5665, 85.0, 158.1629, 0.0),
     means=(1.05, 116.0, 21.0, 8.7, 30.5, 80.0, 158.0, 0.45),
     scales=(0.35, 12.0, 9.0, 2.5, 1.6, 15.0, 9.0, 0.5),
     coefficients=(1.71399, 0.52757, 0.48354, 0.19351, -0.01439, 0.23592, 0.45797, 0.03536),
     intercept=-1.00127,
-    version="risk-lr-0.7.0",
+    version="risk-lr-assumed-scale",
 )
 
 
