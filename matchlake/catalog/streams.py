@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import risk as K
 from ..sources.sinks import scratch_path, upsert_by_player
-from ..streaming import twins as S
+from ..streaming import accounted as A, twins as S
 from .registry import query
 
 
@@ -119,3 +119,29 @@ def _(d):
     new = S.stream_of(d.spark, d.sf_dir, "orders").select(F.col("o_custkey").alias("player_id"))
     S.rescore_on_arrival(new, rescore, scratch_path(d.spark, "rescore-log")).awaitTermination()
     return d.spark.read.parquet(out).drop("player_bucket")
+
+
+@query("live_late_rows", "T2 T5", """
+WITH b AS (SELECT min(epoch_us(ts) // 1000000) AS lo, max(epoch_us(ts) // 1000000) AS hi FROM events),
+e AS (SELECT user_id, ts, value, time_bucket(INTERVAL 6 HOUR, ts) AS w, CASE WHEN event_id % 10 = 0 THEN 3 ELSE 3 * (epoch_us(ts) // 1000000 - lo) // (hi - lo + 1) END AS arrival FROM events, b),
+m AS (SELECT arrival, max(ts) AS top FROM e GROUP BY arrival),
+k AS (SELECT a.arrival, max(o.top) - INTERVAL 10 MINUTE AS mark FROM m a LEFT JOIN m o ON o.arrival < a.arrival GROUP BY a.arrival),
+l AS (SELECT e.*, coalesce(w + INTERVAL 6 HOUR <= mark, FALSE) AS late FROM e JOIN k ON k.arrival = e.arrival)
+SELECT w AS window_start, user_id, count(*) FILTER (WHERE NOT late) AS samples, count(*) FILTER (WHERE late) AS late_samples,
+  CAST(sum(CAST(value AS DECIMAL(20, 4))) FILTER (WHERE NOT late) AS DOUBLE) AS load FROM l GROUP BY ALL""")
+def _(d):
+    """All events in four arrivals, a tenth of them long after their time."""
+    spark, columns = d.spark, "user_id bigint, event_id bigint, ts timestamp, value double"
+    source, out, log = (scratch_path(spark, f"late-{n}") for n in ("in", "out", "log"))
+    e = d.events.selectExpr("CAST(user_id AS BIGINT) AS user_id", "CAST(event_id AS BIGINT) AS event_id", "CAST(ts AS TIMESTAMP) AS ts", "CAST(value AS DOUBLE) AS value")
+    seconds = F.unix_seconds("ts")
+    lo, hi = e.agg(F.min(seconds), F.max(seconds)).first()
+    third = F.lit(0) if lo is None else F.floor((seconds - lo) * 3 / (hi - lo + 1))
+    e = e.withColumn("arrival", F.when(F.col("event_id") % 10 == 0, 3).otherwise(third))
+    for arrival in range(4):
+        e.where(F.col("arrival") == arrival).drop("arrival").write.mode("append").parquet(source)
+        A.account(spark.readStream.schema(columns).parquet(source), out, log, ["user_id"], "6 hours").awaitTermination()
+    late = A.late_rows(spark, out, columns).groupBy(F.window("ts", "6 hours").start.alias("window_start"), "user_id").agg(F.count(F.lit(1)).alias("late_samples"))
+    both = A.windows(spark, out, "user_id bigint").join(late, ["window_start", "user_id"], "full_outer")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return both.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "user_id", zero("samples"), zero("late_samples"), "load")
