@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import uploads as U
 from ..sources.sinks import scratch_path
-from ..sources.snapshots import Replace, commit, snapshot
+from ..sources.snapshots import commit, snapshot
 from .athlete import CHECKED, COLUMNS
 from .registry import query
 from .risk import ALLROWS, stat_rows
@@ -21,7 +21,7 @@ def uploaded(d, dry_run=False):
     """All text rows uploaded to a store that holds the logs so far."""
     key = F.unhex(F.sha2(F.lit("matchlake sample key"), 256))
     empty = snapshot(d.spark, scratch_path(d.spark, "uploads"))
-    store = commit(empty, {"logs": Replace(U.seal_logs(d.fx_logs.withColumn("line", F.col("log_id")), key), "player_id")}, buckets=16)
+    store = commit(empty, {"logs": U.log_change(d.fx_logs.withColumn("line", F.col("log_id")), key)}, buckets=16)
     cells = d.fx_csv.withColumn("upload_id", F.col("upload_id") + FIRST).withColumn("filename", F.concat(F.lit("upload-"), F.col("upload_id").cast("string"), F.lit(".csv")))
     return U.upload(store, cells, COLUMNS, d.fx_players, stat_rows(d), key, dry_run=dry_run, line_bits=BITS, buckets=16), key
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from py4j.protocol import Py4JJavaError
@@ -27,11 +27,16 @@ class Conflict(RuntimeError):
 
 @dataclass(frozen=True)
 class Replace:
-    """The rows of every key value in ``keys`` (by default those in ``rows``) become ``rows``; a value without rows loses its old ones."""
+    """The rows of every key value in ``keys`` (by default those in ``rows``) become ``rows``; a value without rows loses its old ones.
+
+    ``shape`` makes the stored rows after ``rows`` are dealt out by bucket, so that wide columns (ciphertext) are not shuffled.
+    It keeps the key and ``__bucket``.
+    """
 
     rows: DataFrame
     key: str
     keys: DataFrame | None = None
+    shape: Callable[[DataFrame], DataFrame] | None = None
 
 
 @dataclass(frozen=True)
@@ -113,20 +118,22 @@ def _bucket(key: str, n: int) -> Column:
 def _write(base: Snapshot, table: str, change: Replace, buckets: int) -> tuple[dict, list[int]]:
     """New state of a table whose touched buckets lie in a fresh folder, and those buckets (at most their number passes the driver)."""
     spark = base.spark
-    state = base.tables.get(table) or {"schema": change.rows.schema.jsonValue(), "key": change.key, "buckets": buckets, "folders": {}}
+    shape = change.shape or (lambda dealt: dealt)
+    stored = shape(change.rows.withColumn("__bucket", F.lit(0))).drop("__bucket").schema
+    state = base.tables.get(table) or {"schema": stored.jsonValue(), "key": change.key, "buckets": buckets, "folders": {}}
     if state["key"] != change.key:
         raise ValueError(f"{table} is kept by {state['key']}, not {change.key}")
     bucket = _bucket(change.key, state["buckets"])
-    who = (change.rows if change.keys is None else change.keys).select(change.key).distinct()
+    place = f"data/{table}/{uuid.uuid4().hex}"
+    # rebalance splits a bucket with very many rows over several tasks and files
+    shape(change.rows.withColumn("__bucket", bucket).hint("rebalance", "__bucket")).write.partitionBy("__bucket").parquet(f"{base.root}/{place}")
+    who = (spark.read.schema(stored).parquet(f"{base.root}/{place}") if change.keys is None else change.keys).select(change.key).distinct()
     touched = sorted(r[0] for r in who.select(bucket.alias("b")).distinct().collect())
-    rows = change.rows
     if any(str(b) in state["folders"] for b in touched):
-        old = base.read(table, touched)
         gone = who.select(F.col(change.key).alias("__gone"))
-        rows = old.join(gone, F.col(change.key).eqNullSafe(F.col("__gone")), "left_anti").unionByName(rows)
-    place = f"data/{table}/{uuid.uuid4().hex}"
-    # rebalance splits a bucket with very many rows over several tasks and files
-    rows.withColumn("__bucket", bucket).hint("rebalance", "__bucket").write.partitionBy("__bucket").parquet(f"{base.root}/{place}")
+        old = base.read(table, touched).join(gone, F.col(change.key).eqNullSafe(F.col("__gone")), "left_anti")
+        # what stays comes from folders by bucket, so it is not shuffled again
+        old.withColumn("__bucket", bucket).write.mode("append").partitionBy("__bucket").parquet(f"{base.root}/{place}")
     made = [s.getPath().getName() for s in _names(spark, f"{base.root}/{place}") if s.isDirectory()]
     folders = {str(b): f for b, f in state["folders"].items() if int(b) not in touched}
     folders |= {n.removeprefix("__bucket="): f"{place}/{n}" for n in made}
