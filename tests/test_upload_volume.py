@@ -3,7 +3,7 @@
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
-from test_volume import SHAPED, dealt_first, no_checkpoint  # noqa: F401
+from test_volume import SCHEMA, SHAPED, dealt_first, no_checkpoint  # noqa: F401
 
 from matchlake.operators import uploads as U
 from matchlake.sources.snapshots import Replace, commit, snapshot
