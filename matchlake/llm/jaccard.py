@@ -1,7 +1,9 @@
 """Near-duplicates by the Jaccard similarity of word shingles, verified exactly; the near-duplicate stage of the pipeline.
 
 A text is the set of its five-word shingles (words as in ``simhash``; a shorter text is one shingle). Texts with the same
-words are one node. Candidates share the ``ROWS`` minimum hashes of one of ``BANDS`` bands: two sets of similarity 0.8 share
+words are one node. Candidates are found in two ways. The SimHash fingerprints of the five-word shingles that differ in at most
+3 bits meet by the Golay-coded fuzzy keys of ``op8`` (``simhash.links``); at the limit fingerprints differ in about 10 bits, so
+this finds the nearer copies only. For the rest, candidates share the ``ROWS`` minimum hashes of one of ``BANDS`` bands: two sets of similarity 0.8 share
 none with probability (1 - 0.8**5)**40, one in eight millions, and more similar ones less. A 256-bit parity map of the
 hashes, whose differing bits never exceed the shingles that only one of two sets has, drops most pairs below the limit;
 every other pair is decided on the whole sets. Fuzzy keys as in ``simhash`` would need hundreds per text at this limit.
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..plans.components import component_labels
 from .common import materialised, slices, text_bytes
-from .simhash import SEED
+from .simhash import SEED, bit_counts, links, majority
 
 SHINGLE = 5
 #: Similarity of at least LIMIT[0] / LIMIT[1].
@@ -37,8 +39,8 @@ _FLIP = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)[:, None]
 _TIMES = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
 
 
-def shingles(text: bytes, size: int = SHINGLE) -> tuple[bytes, np.ndarray]:
-    """The words with one space between, and the sorted distinct XXH64 hashes of their shingles."""
+def all_shingles(text: bytes, size: int = SHINGLE) -> tuple[bytes, np.ndarray]:
+    """The words with one space between, and the XXH64 hashes of their shingles, repeats included."""
     words = text.lower().split()
     joined = b" ".join(words)
     if len(words) <= size:
@@ -47,7 +49,18 @@ def shingles(text: bytes, size: int = SHINGLE) -> tuple[bytes, np.ndarray]:
     starts = np.concatenate([[0], ends[:-1] + 1])
     digest = xxhash.xxh64_intdigest
     spans = zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist())
-    return joined, np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, len(words) - size + 1))
+    return joined, np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, len(words) - size + 1)
+
+
+def shingles(text: bytes, size: int = SHINGLE) -> tuple[bytes, np.ndarray]:
+    """The words with one space between, and the sorted distinct XXH64 hashes of their shingles."""
+    joined, hashes = all_shingles(text, size)
+    return joined, np.unique(hashes)
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """Fingerprint of a text from the hashes of all its shingles, as in ``simhash.fingerprint``."""
+    return majority(sum(bit_counts(hashes[at : at + 65_536]) for at in range(0, len(hashes), 65_536)), len(hashes)) if len(hashes) else 0
 
 
 def band_keys(hashes: np.ndarray) -> list[int]:
@@ -188,15 +201,17 @@ def _across(nearest_only: bool):
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text", 4 << 20):
-            digest, n, maps, keys = [], [], [], []
+            digest, n, maps, keys, fps = [], [], [], [], []
             for text in text_bytes(part.column("text")):
-                joined, hashes = shingles(text)
+                joined, hashes = all_shingles(text)
+                fps.append(simhash(hashes))
+                hashes = np.unique(hashes)
                 digest.append(xxhash.xxh3_128_digest(joined))
                 n.append(len(hashes))
                 maps.append(parity_map(hashes))
                 keys.append(band_keys(hashes))
-            yield pa.RecordBatch.from_arrays([part.column("rank"), pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(maps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                                             names=["rank", "digest", "n", "map", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column("rank"), pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(maps, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))],
+                                             names=["rank", "digest", "n", "map", "keys", "fp"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,6 +244,14 @@ def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialised(both.mapInArrow(_decided, "a long, b long, good boolean"))
 
 
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """``a`` < ``b``: candidates whose SimHash fingerprints (``fp``) differ in 3 bits or fewer, found by the Golay-coded keys of ``op8``; they connect all such nodes."""
+    first = nodes.groupBy("fp").agg(F.min("node").alias("least"))
+    equal = nodes.join(first, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    linked = links(first).join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b")
+    return equal.union(linked.select(F.least("x", "y"), F.greatest("x", "y")))
+
+
 def first_rows(docs: DataFrame, rank: Column) -> DataFrame:
     """``row`` of the row with the smallest rank in each group of near-duplicates.
 
@@ -237,15 +260,16 @@ def first_rows(docs: DataFrame, rank: Column) -> DataFrame:
     """
     texts = docs.select("row", F.col("text").cast("string").alias("text"), rank.alias("rank"))
     kind = texts.schema["rank"].dataType.simpleString()
-    signed = materialised(texts.select("rank", "text").mapInArrow(_signed, f"rank {kind}, digest binary, n long, map binary, keys array<long>"))
-    firsts = signed.groupBy("digest").agg(F.min(F.struct("rank", "n", "map", "keys")).alias("v")).select("v.*")
-    nodes = materialised(firsts.select(F.col("rank.row").alias("node"), "rank", "n", "map", "keys"))
+    signed = materialised(texts.select("rank", "text").mapInArrow(_signed, f"rank {kind}, digest binary, n long, map binary, keys array<long>, fp long"))
+    firsts = signed.groupBy("digest").agg(F.min(F.struct("rank", "n", "map", "keys", "fp")).alias("v")).select("v.*")
+    nodes = materialised(firsts.select(F.col("rank.row").alias("node"), "rank", "n", "map", "keys", "fp"))
 
     def by_key(rows: DataFrame, *more: str) -> DataFrame:
         keyed = rows.select(F.explode("keys").alias("key"), "node", "n", "map", *more)
         return keyed.repartition("key").sortWithinPartitions("key", "node")
 
-    pairs = materialised(by_key(nodes).mapInArrow(_forest, "a long, b long").distinct())
+    banded = by_key(nodes).mapInArrow(_forest, "a long, b long")
+    pairs = materialised(banded.union(fingerprint_pairs(nodes)).distinct())
     tested = verified(texts, pairs)
     labels = component_labels(tested.where("good"))
 

@@ -50,12 +50,22 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
     ends = np.cumsum(sizes) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    digest, ones, n = xxhash.xxh64_intdigest, np.zeros(64, np.int64), len(words) - shingle + 1
+    digest, n = xxhash.xxh64_intdigest, len(words) - shingle + 1
+    parts = []
     for at in range(0, n, 65_536):
         stop = min(n, at + 65_536)
         spans = zip(starts[at:stop].tolist(), ends[at + shingle - 1 : stop + shingle - 1].tolist())
-        hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, stop - at)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        parts.append(bit_counts(np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, stop - at)))
+    return majority(sum(parts), n)
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(ones: np.ndarray, n: int) -> int:
+    """The bits set in over half of n hashes."""
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 

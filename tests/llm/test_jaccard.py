@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 import corpus_pipeline as C
-from matchlake.llm import jaccard
+from matchlake.llm import jaccard, simhash
 from tests.llm.helpers import DOCS, prose
 
 
@@ -71,3 +71,22 @@ def test_parity_map_never_excludes_a_pair_at_the_limit():
             if jaccard.similar(x, y):
                 maps = np.array([np.frombuffer(jaccard.parity_map(v), np.uint64) for v in (x, y)])
                 assert jaccard.possible(np.array([len(x), len(y)]), maps, 0, np.array([1]))[0]
+
+
+def test_near_copies_are_candidates_by_their_fingerprints(spark):
+    rng = random.Random(5)
+    base = prose(1, 900)
+    texts = [base, edited(base, rng, 1), base.upper(), prose(2, 300), "", "two words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "rank long, text string")
+    signed = docs.mapInArrow(jaccard._signed, "rank long, digest binary, n long, map binary, keys array<long>, fp long")
+    got = {r["rank"]: r["fp"] % 2**64 for r in signed.collect()}
+    assert got == {i: simhash.fingerprint(t.encode(), 5) for i, t in enumerate(texts)}
+    fps = {3: 0b111, 9: 0b111, 4: 0, 5: 1 << 40 | 0b11, 6: -1, 8: (1 << 63) - 1}
+    nodes = spark.createDataFrame(list(fps.items()), "node long, fp long")
+    pairs = {tuple(r) for r in jaccard.fingerprint_pairs(nodes).collect()}
+    far = lambda a, b: bin((fps[a] ^ fps[b]) % 2**64).count("1")
+    assert (3, 9) in pairs and all(a < b and far(a, b) <= 3 for a, b in pairs)
+    label = {n: n for n in fps}
+    for a, b in pairs:
+        label = {n: min(label[a], label[b]) if v in (label[a], label[b]) else v for n, v in label.items()}
+    assert label == {3: 3, 9: 3, 4: 3, 5: 3, 6: 6, 8: 6}
