@@ -59,7 +59,6 @@ SELECT e.video_id, e.jersey, {rnd('abs(kmh - ex)', 2)} AS error_kmh, {rnd('abs(k
 FROM e LEFT JOIN f ON f.video_id = e.video_id AND f.jersey = e.jersey""")
 def _(d):
     stats = d.fx_fragments.select("video_id", "track_id", (F.col("track_id") % 4).alias("jersey"), "top_speed_kmh")
-    stats = stats.groupBy("video_id", "track_id", "jersey").agg(F.max("top_speed_kmh").alias("top_speed_kmh"))
     e = d.fx_fragments.select("video_id").distinct().select(
         "video_id", F.when(F.col("video_id") % 6 == 0, F.lit(9)).otherwise(F.lit(1)).cast("bigint").alias("jersey"),
         (F.lit(20.0) + F.col("video_id") % 4).alias("expected_kmh"), F.lit(15.0).alias("tolerance_pct"),

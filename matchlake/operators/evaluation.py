@@ -50,8 +50,10 @@ def sprint_errors(detections: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def top_speed_errors(expected: DataFrame, stats: DataFrame) -> DataFrame:
-    """expected (video_id, jersey, expected_kmh, tolerance_pct) against the first stat row with that number."""
-    first = stats.groupBy("video_id", "jersey").agg(F.min_by("top_speed_kmh", "track_id").alias("kmh"), F.lit(True).alias("known"))
+    """expected (video_id, jersey, expected_kmh, tolerance_pct) against the first track with that number, at its highest speed."""
+    # one ordering instead of a table of tracks first; unknown speeds come last
+    order = F.struct("track_id", F.col("top_speed_kmh").isNull().alias("unknown"), -F.col("top_speed_kmh"))
+    first = stats.groupBy("video_id", "jersey").agg(F.min_by("top_speed_kmh", order).alias("kmh"), F.lit(True).alias("known"))
     j = expected.join(first, ["video_id", "jersey"], "left")
     error = F.abs(F.col("kmh") - F.col("expected_kmh"))
     pct = error / F.col("expected_kmh") * 100
