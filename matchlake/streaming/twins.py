@@ -204,12 +204,15 @@ def stream_of(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def drain_in_steps(df: DataFrame, name: str, step: Column, build: Callable[[DataFrame], DataFrame], steps: int = 3) -> DataFrame:
     """Feed ``df`` to a stream in ``steps`` arrivals (``step`` = 0..steps-1) and return everything it wrote.
 
-    Each arrival is appended to the source folder and processed by a run that resumes from the same stored state.
+    ``df`` is computed once. Each arrival is appended to the source folder and processed by a run that resumes from the
+    same stored state.
     """
     spark = df.sparkSession
-    source, out, log = (scratch_path(spark, f"{name}-{part}") for part in ("in", "out", "log"))
+    arrivals, source, out, log = (scratch_path(spark, f"{name}-{part}") for part in ("all", "in", "out", "log"))
+    df.withColumn("__step", step).where(F.col("__step").between(0, steps - 1)).write.partitionBy("__step").parquet(arrivals)
+    rows = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("__step", T.LongType())])).parquet(arrivals)
     for i in range(steps):
-        df.where(step == i).write.mode("append").parquet(source)
+        rows.where(F.col("__step") == i).drop("__step").write.mode("append").parquet(source)
         stream = build(spark.readStream.schema(df.schema).parquet(source))
         writer = stream.writeStream.option("checkpointLocation", log).trigger(availableNow=True)
         writer.outputMode("append").format("parquet").option("path", out).start().awaitTermination()
