@@ -105,13 +105,13 @@ def _(d):
 
 @query("rescore_on_arrival", "T7 K7")
 def _(d):
-    from .risk import logs, stat_rows
+    from .risk import logs, one_task_enough, stat_rows
 
-    out = scratch_path(d.spark, "rescored")
+    out, split = scratch_path(d.spark, "rescored"), not one_task_enough(d)
 
     def rescore(players):
         rows = K.score_rows(
-            stat_rows(d).join(players, "player_id", "left_semi"), logs(d).join(players, "player_id", "left_semi"), d.fx_players,
+            stat_rows(d).join(players, "player_id", "left_semi"), logs(d).join(players, "player_id", "left_semi"), d.fx_players, split=split,
         )
         rows = rows.select("player_id", "source", "log_id", "stat_id", "risk_percent", "level")
         upsert_by_player(rows, out, players)

@@ -3,8 +3,10 @@
 from conftest import rows
 from pyspark.sql import functions as F
 
+from matchlake import constants as C
+from matchlake.catalog import load_all
 from matchlake.fixtures import Data
-from matchlake.operators import heatmap as H, identity as D
+from matchlake.operators import heatmap as H, identity as D, model as M
 
 SF = "/root/testdata/sf0.001"
 READINGS = "video_id bigint, track_id bigint, frame bigint, jersey bigint, team string, role string"
@@ -48,3 +50,19 @@ def test_tracks_of_ordinary_length_are_numbered_after_one_shuffle(spark):
     d = Data(spark, SF).fx_detections
     plan = d.groupBy("video_id", "track_id").agg(F.max("x"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_sessions_are_scored_without_a_copy_of_the_match_rows(spark):
+    for name in ("latest_score", "risk_history", "scoring_run_summary"):
+        plan = load_all()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "InMemoryTableScan" not in plan, name
+
+
+def test_contributions_as_rows_are_those_of_the_score(spark):
+    data = [(i, *[None if (i + j) % 5 == 0 else float(i * j % 7) + j for j in range(8)]) for i in range(40)]
+    df = spark.createDataFrame(data, "id bigint, " + ", ".join(f"{f} double" for f in C.FEATURES))
+    sorted_ones = M.score(df).select("id", F.explode("contributions").alias("c")).select("id", "c.feature", "c.contribution", "c.imputed")
+    got = M.contribution_rows(df, ["id"])
+    assert got.columns == sorted_ones.columns and rows(got, *got.columns) == rows(sorted_ones, *got.columns)
+    plan = load_all()["contributions"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "array_sort" not in plan
