@@ -4,7 +4,8 @@ Each row depends on the last accepted detection and on the covariance, so one se
 forgotten quickly, though: a filter that starts cold at some detection soon accepts the same detections as the one that was
 carried there, and then has its covariance and state. So every block of a series is run from a cold start; a second run carries
 in the end of the block before and stops where it agrees with the cold one, whose path it then takes. A block whose end has
-changed (it never agreed) makes the next block run again, until no end changes. Blocks run in parallel, a task holds one block.
+changed (it never agreed) makes the next block run again, until no end changes. Blocks run in parallel; a task of
+that search holds one block, the last pass only the state of one series.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import math
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .. import constants as C
@@ -59,23 +61,31 @@ class Path:
         covariance = ((1 - k0) ** 2 * p + MEASUREMENT * k0 * k0, (1 - k0) * (r - k1 * p) + MEASUREMENT * k0 * k1, v - 2 * k1 * r + k1 * k1 * p + MEASUREMENT * k1 * k1)
         return (f, px + k0 * (x - px), vx + k1 * (x - px), py + k0 * (y - py), vy + k1 * (y - py), *covariance, x, y), True
 
+    def advance(self, cold: State | None, carried: State | None, frame: int, x: float, y: float) -> tuple[State, State | None, State | None, State, bool]:
+        """(cold, carried, state before, state after, accepted) after a detection; from where both agree on, ``carried`` is None and the path is that of the cold start."""
+        before = carried if carried is not None else cold
+        cold, accepted = self.step(cold, frame, x, y)
+        if carried is None:
+            return cold, None, before, cold, accepted
+        now, accepted = self.step(carried, frame, x, y)
+        agree = now[8:] == cold[8:] and all(abs(a - b) <= AGREE * max(1.0, abs(a)) for a, b in zip(now, cold))
+        return cold, None if agree else now, before, now, accepted
+
     def walk(self, rows: Sequence[tuple[int, float, float]], carried: State | None) -> Iterator[tuple[State | None, State, bool]]:
-        """(state before, state after, accepted) of every detection; from where both agree on, the path is that of the cold start."""
+        """(state before, state after, accepted) of every detection."""
         cold = None
         for frame, x, y in rows:
-            before = carried if carried is not None else cold
-            cold, accepted = self.step(cold, frame, x, y)
-            if carried is None:
-                yield before, cold, accepted
-                continue
-            carried, accepted = self.step(carried, frame, x, y)
-            yield before, carried, accepted
-            if carried[8:] == cold[8:] and all(abs(a - b) <= AGREE * max(1.0, abs(a)) for a, b in zip(carried, cold)):
-                carried = None
+            cold, carried, before, now, accepted = self.advance(cold, carried, frame, x, y)
+            yield before, now, accepted
 
 
 ENDS = "video_id bigint, track_id bigint, block bigint, end array<double>"
-STEPS = "video_id bigint, track_id bigint, frame bigint, cx double, cy double, accepted boolean, prior array<double>, now array<double>"
+#: A detection, or the prediction in its place, and the state before it: its frame, place and speed.
+STEPS = "video_id bigint, track_id bigint, frame bigint, cx double, cy double, accepted boolean, last bigint, px double, vx double, py double, vy double"
+
+
+NAMES = [c.split()[0] for c in STEPS.split(", ")]
+TYPES = [{"bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[c.split()[1]] for c in STEPS.split(", ")]
 
 
 def _rows(part: pd.DataFrame) -> list[tuple[int, float, float]]:
@@ -98,9 +108,8 @@ def smooth_ball(detections: DataFrame, fps: float, *, block_frames: int = 4096)
     src = detections.select(*[F.col(k).cast("bigint").alias(k) for k in KEYS], F.col("frame").cast("bigint").alias("frame"), F.col("cx").cast("double").alias("cx"), F.col("cy").cast("double").alias("cy"))
     src = src.where("frame is not null and cx is not null and cy is not null").withColumn("block", F.floor(F.col("frame") / F.lit(block_frames)))
     group = [*KEYS, "block"]
-    blocks = src.select(*group).distinct()
-    many = blocks.groupBy(*KEYS).count().where("count > 1").select(F.struct(*KEYS).alias("series"))
-    long = materialised(src.withColumn("series", F.struct(*KEYS)).join(many, "series", "left_semi").drop("series"))
+    spans = src.groupBy(*KEYS).agg(F.min("block").alias("lo"), F.max("block").alias("hi"))
+    many = materialised(spans.where("lo < hi").select(F.struct(*KEYS).alias("series")))
 
     def one(part: pd.DataFrame, end: State) -> pd.DataFrame:
         return pd.DataFrame({"video_id": part["video_id"].iloc[:1], "track_id": part["track_id"].iloc[:1], "block": part["block"].iloc[:1], "end": [list(end)]})
@@ -111,32 +120,43 @@ def smooth_ball(detections: DataFrame, fps: float, *, block_frames: int = 4096)
     def carried_end(part: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
         return one(part, list(path.walk(_rows(part), _carried(carry)))[-1][1]) if len(part) else pd.DataFrame({"video_id": [], "track_id": [], "block": [], "end": []})
 
-    def steps(part: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
-        rows = _rows(part) if len(part) else []
-        out = [(frame, x, y, ok, None if before is None else list(before), list(now)) for (frame, x, y), (before, now, ok) in zip(rows, path.walk(rows, _carried(carry)))]
-        found = pd.DataFrame(out, columns=["frame", "cx", "cy", "accepted", "prior", "now"])
-        found.insert(0, "track_id", part["track_id"].iloc[0] if len(part) else None)
-        found.insert(0, "video_id", part["video_id"].iloc[0] if len(part) else None)
-        return found
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # many short series pass one after the other; all that is kept is the state of the current one
+        current, cold, carried, seen = None, None, None, None
+        for batch in batches:
+            out = []
+            for *key, frame, x, y, end in zip(*[c.to_pylist() for c in batch.columns]):
+                if key != current:
+                    current, cold, carried, seen = key, None, None if end is None else tuple(end), None
+                if frame == seen:
+                    continue  # of several detections in a frame the first
+                seen = frame
+                cold, carried, prior, now, ok = path.advance(cold, carried, frame, x, y)
+                out.append((key[0], key[1], frame, x if ok else now[1], y if ok else now[3], ok, *((None,) * 5 if prior is None else (int(prior[0]), *prior[1:5]))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), TYPES)] if out else [pa.array([], t) for t in TYPES], names=NAMES)
 
     def before(ends: DataFrame) -> DataFrame:
         return ends.withColumn("end", F.lag("end").over(W.partitionBy(*KEYS).orderBy("block")))
 
-    ends = materialised(long.groupBy(*group).applyInPandas(cold_end, ENDS))
-    while not ends.isEmpty():
-        moved = materialised(long.groupBy(*group).cogroup(before(ends).groupBy(*group)).applyInPandas(carried_end, ENDS))
-        settled = ends.union(moved).groupBy(*group).agg(F.count_distinct("end").alias("ends")).where("ends > 1").isEmpty()
-        ends = moved
-        if settled:
-            break
-    found = src.groupBy(*group).cogroup(before(ends).groupBy(*group)).applyInPandas(steps, STEPS)
-
-    seen = F.struct("frame", F.when(F.col("accepted"), F.col("cx")).otherwise(F.col("now")[1]).alias("cx"), F.when(F.col("accepted"), F.col("cy")).otherwise(F.col("now")[3]).alias("cy"),
-                    F.col("accepted").alias("is_detected"), (~F.col("accepted")).alias("gated"))
-    last = F.col("prior")[0].cast("bigint")
-    along = lambda f, at: F.col("prior")[at] + F.col("prior")[at + 1] * (f - last) * path.dt
-    missing = F.when(F.col("frame") - last > 1, F.sequence(last + 1, F.col("frame") - 1))
-    gap = F.transform(missing, lambda f: F.struct(f.alias("frame"), along(f, 1).alias("cx"), along(f, 3).alias("cy"), F.lit(False).alias("is_detected"), F.lit(False).alias("gated")))
+    carry = F.lit(None).cast("array<double>").alias("end")
+    rows = src.select(*group, "frame", "cx", "cy", carry)
+    if not many.isEmpty():
+        long = materialised(src.withColumn("series", F.struct(*KEYS)).join(many, "series", "left_semi").drop("series"))
+        ends = materialised(long.groupBy(*group).applyInPandas(cold_end, ENDS))
+        while True:
+            moved = materialised(long.groupBy(*group).cogroup(before(ends).groupBy(*group)).applyInPandas(carried_end, ENDS))
+            settled = ends.union(moved).groupBy(*group).agg(F.count_distinct("end").alias("ends")).where("ends > 1").isEmpty()
+            ends = moved
+            if settled:
+                break
+        known = before(ends).where("end is not null").select(F.struct(*group).alias("place"), "end")
+        rows = src.withColumn("place", F.struct(*group)).join(known, "place", "left").select(*group, "frame", "cx", "cy", "end")
+    found = rows.repartition(*group).sortWithinPartitions(*group, "frame", "cx", "cy").mapInArrow(steps, STEPS)
+
+    seen = F.struct("frame", "cx", "cy", F.col("accepted").alias("is_detected"), (~F.col("accepted")).alias("gated"))
+    along = lambda f, at, speed: F.col(at) + F.col(speed) * (f - F.col("last")) * path.dt
+    missing = F.when(F.col("frame") - F.col("last") > 1, F.sequence(F.col("last") + 1, F.col("frame") - 1))
+    gap = F.transform(missing, lambda f: F.struct(f.alias("frame"), along(f, "px", "vx").alias("cx"), along(f, "py", "vy").alias("cy"), F.lit(False).alias("is_detected"), F.lit(False).alias("gated")))
     return found.select(*KEYS, F.inline(F.concat(F.coalesce(gap, F.array().cast(gap_type())), F.array(seen))))
 
 

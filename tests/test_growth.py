@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from matchlake import constants as C
 from matchlake.catalog import load_all
 from matchlake.fixtures import Data
-from matchlake.operators import heatmap as H, identity as D, model as M
+from matchlake.operators import ball as B, heatmap as H, identity as D, model as M
 
 SF = "/root/testdata/sf0.001"
 READINGS = "video_id bigint, track_id bigint, frame bigint, jersey bigint, team string, role string"
@@ -66,3 +66,14 @@ def test_contributions_as_rows_are_those_of_the_score(spark):
     assert got.columns == sorted_ones.columns and rows(got, *got.columns) == rows(sorted_ones, *got.columns)
     plan = load_all()["contributions"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "array_sort" not in plan
+
+
+def test_short_series_are_no_groups_of_their_own(spark):
+    data = [(v, t, f, float(f), 1.0) for v in (1, None) for t in (1, 2, None) for f in (3, 3, 4, 9)]
+    df = spark.createDataFrame(data, "video_id bigint, track_id bigint, frame bigint, cx double, cy double")
+    out = B.smooth_ball(df, 10.0)
+    assert "InPandas" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in out.collect():
+        got.setdefault((r.video_id, r.track_id), []).append(r.frame)
+    assert len(got) == 6 and all(sorted(v) == list(range(3, 10)) for v in got.values())
