@@ -98,7 +98,12 @@ def output_problems(spark: SparkSession, path: str, id_from_path: str, videos: D
 
     A video with a problem must not be stored: its rows are incomplete. Files are read whole, one per task at a time.
     """
-    found = read_text_files(spark, path, id_from_path).select("video_id", F.lit(True).alias("__found"), F.try_parse_json("body").alias("__v"))
+    return list_problems(read_text_files(spark, path, id_from_path), videos)
+
+
+def list_problems(outputs: DataFrame, videos: DataFrame) -> DataFrame:
+    """``output_problems`` of outputs that are rows (video_id, body) already."""
+    found = outputs.select("video_id", F.lit(True).alias("__found"), F.try_parse_json("body").alias("__v"))
     kind = F.schema_of_variant("__v")
     problem = (
         F.when(F.col("__found").isNull(), "output is missing").when(F.col("__v").isNull(), "output is not valid JSON")
@@ -107,6 +112,21 @@ def output_problems(spark: SparkSession, path: str, id_from_path: str, videos: D
     return videos.select("video_id").distinct().join(found, "video_id", "left").select("video_id", problem.alias("problem"))
 
 
+def list_rows(outputs: DataFrame, schema: T.StructType) -> DataFrame:
+    """Rows of the lists in (video_id, body); elements that are not objects are dropped, other text gives no rows."""
+    each = outputs.select("video_id", F.explode(F.from_json("body", "array<string>")).alias("e")).where(F.trim("e").startswith("{"))
+    return each.select("video_id", F.from_json("e", schema).alias("o")).select("video_id", "o.*")
+
+
+def write_bundles(outputs: DataFrame, path: str) -> None:
+    """Whole outputs (video_id, body) of many videos, one a line: a small file and a folder for each cost far more than their content."""
+    outputs.select("video_id", "body").write.json(path)
+
+
+def read_bundles(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("video_id bigint, body string").json(path)
+
+
 def read_text_files(spark: SparkSession, path: str, id_from_path: str) -> DataFrame:
     """(video_id, body) of whole small files."""
     df = spark.read.text(path, wholetext=True).withColumnRenamed("value", "body")
