@@ -77,3 +77,32 @@ def test_short_series_are_no_groups_of_their_own(spark):
     for r in out.collect():
         got.setdefault((r.video_id, r.track_id), []).append(r.frame)
     assert len(got) == 6 and all(sorted(v) == list(range(3, 10)) for v in got.values())
+
+
+def test_dense_grids_hold_every_cell_in_its_place(spark):
+    data = [(k, r, c, float(k + r * 10 + c) if (k, r) != (3, 1) else None) for k in (1, 2, 3) for r in range(4) for c in range(5) if (k + r * 3 + c) % 4 == 0]
+    data += [(2, 9, 9, 7.0), (4, 0, 0, 5.0), (5, 3, 4, 6.0), (6, 8, 8, 1.0), (None, 1, 2, 3.0)]  # 9, 9 and 8, 8 lie outside
+    df = spark.createDataFrame(data, "k bigint, cell_row bigint, cell_col bigint, value double")
+    out = H.dense_grid(df, ["k"], 5, 4)
+    got = {r.k: r.grid for r in out.collect()}
+    held = {(k, r, c): v for k, r, c, v in data}
+    assert got == {k: [[held.get((k, r, c)) or 0.0 for c in range(5)] for r in range(4)] for k in (1, 2, 3, 4, 5, 6, None)}
+    assert "try_element_at(m" not in out._jdf.queryExecution().analyzed().toString()  # no search of all cells for every place
+
+
+def test_outputs_of_many_videos_share_files(spark, tmp_path, monkeypatch):
+    from matchlake.sources import files, sinks
+
+    monkeypatch.setattr(sinks, "scratch_path", lambda _spark, name: str(tmp_path / name))
+    for name in ("output_file_problems", "stat_lists"):
+        monkeypatch.setattr(sinks, "scratch_path", lambda _spark, n, name=name: str(tmp_path / name / n))
+        assert load_all()[name](spark, SF).count() > 0
+        assert not list((tmp_path / name).rglob("video_id=*"))
+    lists = [(1, '[{"track_id": 4, "distance_km": 2.5}, 17, {"track_id": 5}]'), (2, "[{oops"), (3, '{"rows": 1}'), (5, "[]"), (6, '[{"injury_risk": "a\\nb"}]')]
+    files.write_bundles(spark.createDataFrame(lists, "video_id bigint, body string"), str(tmp_path / "b"))
+    back = files.read_bundles(spark, str(tmp_path / "b"))
+    assert rows(back, "video_id", "body") == sorted(lists)
+    found = files.list_problems(back, spark.range(1, 7).withColumnRenamed("id", "video_id"))
+    assert dict(map(tuple, found.collect())) == {1: None, 2: "output is not valid JSON", 3: "output must be a list", 4: "output is missing", 5: None, 6: None}
+    good = files.list_rows(back, files.STATS).where("video_id not in (2, 3)")
+    assert sorted((r.video_id, r.track_id or 0, r.distance_km, r.injury_risk) for r in good.collect()) == [(1, 4, 2.5, None), (1, 5, None, None), (6, 0, None, "a\nb")]
