@@ -3,10 +3,11 @@
 from conftest import rows
 from pyspark.sql import functions as F
 
-from matchlake import constants as C
+from matchlake import constants as C, fixtures
 from matchlake.catalog import load_all
 from matchlake.fixtures import Data
 from matchlake.operators import ball as B, heatmap as H, identity as D, model as M
+from matchlake.sources import sinks
 
 SF = "/root/testdata/sf0.001"
 READINGS = "video_id bigint, track_id bigint, frame bigint, jersey bigint, team string, role string"
@@ -106,3 +107,27 @@ def test_outputs_of_many_videos_share_files(spark, tmp_path, monkeypatch):
     assert dict(map(tuple, found.collect())) == {1: None, 2: "output is not valid JSON", 3: "output must be a list", 4: "output is missing", 5: None, 6: None}
     good = files.list_rows(back, files.STATS).where("video_id not in (2, 3)")
     assert sorted((r.video_id, r.track_id or 0, r.distance_km, r.injury_risk) for r in good.collect()) == [(1, 4, 2.5, None), (1, 5, None, None), (6, 0, None, "a\nb")]
+
+
+def test_cells_are_joined_in_parts_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(fixtures, "TASK_ROWS", 700)
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        d = Data(spark, SF)
+        cells = d.fx_cells.agg(F.count(F.lit(1)), F.sum("value")).first()
+        joined = d.fx_cells.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+        monkeypatch.setattr(fixtures, "TASK_ROWS", 10 * lines)
+        assert Data(spark, SF).fx_cells.agg(F.count(F.lit(1)), F.sum("value")).first() == cells
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(joined) == -(-lines // 700) and max(r["count"] for r in joined) < 700
+
+
+def test_folders_are_made_by_many_tasks(spark, tmp_path):
+    df = spark.range(2000).select((F.col("id") % 40).alias("video_id"), "id")
+    for _ in range(2):
+        sinks.replace_by_video(df, str(tmp_path / "t"))
+    files = [f.name for f in (tmp_path / "t").rglob("*.parquet")]
+    assert len(files) == 40 and len({f.split("-")[1] for f in files}) > 2  # the tasks' numbers
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 2000
