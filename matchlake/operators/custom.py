@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from ..functions.numbers import stable_round
+from ..functions.numbers import stable_round, steady_sum
 
 #: One row per metric. ``formula``: scalar expression; ``weight``: denominator of a ratio; ``guard``: condition a row has to meet;
 #: ``minimum``: least total weight of a ratio; ``scale``: factor on the result; ``sort_order``: place of the column.
@@ -75,7 +75,7 @@ def _column(m) -> Column:
         return AGGREGATIONS[m["aggregation"]](value)
     weight = F.expr(m["weight"]).cast("double")
     both = value.isNotNull() & (weight > 0)
-    total = F.sum(F.when(both, weight))
+    total = steady_sum(F.when(both, weight))  # a total of exactly the minimum reaches it in any order of the rows
     return F.when(total >= F.lit(m["minimum"] or 0.0), F.sum(F.when(both, value)) / total)
 
 

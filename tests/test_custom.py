@@ -45,3 +45,15 @@ def test_keys_that_are_there_twice(spark, stats):
 def test_unknown_key_warnings(spark):
     m = spark.createDataFrame([(1, "zeta"), (1, "alpha"), (1, "alpha"), (1, "accels"), (2, "accel_count"), (3, None)], "video_id int, metric_key string")
     assert rows(D.unknown_key_warnings(m), "video_id", "warning") == [(1, "unknown metric keys left out: alpha, zeta")]
+
+
+def test_a_total_of_exactly_the_minimum_reaches_it_in_any_order(spark):
+    # added as doubles in the order 0.05, 4.85, 0.1 the total is 4.999999999999999
+    data = [(i, km, 1) for i, order in enumerate([(0.05, 4.85, 0.1), (0.05, 0.1, 4.85), (4.85, 0.1, 0.05)]) for km in order]
+    parts = spark.createDataFrame(data, "player_id int, km double, sprints int").coalesce(1)
+    got = X.aggregate(parts, ["player_id"], registry(spark, ("per_km", "ratio", "sprints", "km", None, 1.0, 5.0, 2)))
+    assert {tuple(r) for r in got.collect()} == {(0, 0.6), (1, 0.6), (2, 0.6)}
+    # what lies below stays below
+    less = spark.createDataFrame([(1, 4.9999999999, 1), (2, 2.0, 1), (2, 2.0, 1), (2, 0.9999999999, 1)], "player_id int, km double, sprints int")
+    got = X.aggregate(less, ["player_id"], registry(spark, ("per_km", "ratio", "sprints", "km", None, 1.0, 5.0, 2)))
+    assert {tuple(r) for r in got.collect()} == {(1, None), (2, None)}
