@@ -259,7 +259,7 @@ GROUP BY match_id""")
 def _(d):
     wide = R.widen(d.fx_stats, d.fx_metrics, ["coverage_pct"])
     rows = wide.groupBy("match_id", "player_id").agg(
-        F.max("top_speed_mph").alias("top_speed_mph"), F.sum("distance_km").alias("distance_km"),
+        F.max("top_speed_mph").alias("top_speed_mph"), N.steady_sum("distance_km").alias("distance_km"),
         F.avg("coverage_pct").alias("coverage_pct"), N.rank_risk(F.max(N.risk_rank(F.col("injury_risk")))).alias("injury_risk"),
     )
     return S.squad_summary(rows, ["match_id"])

@@ -1,12 +1,14 @@
 """Small worked examples: registry rules, gates, scores, text and files."""
 
+import datetime as dt
 import json
 import math
 
 from pyspark.sql import functions as F
 
 from matchlake import constants as C
-from matchlake.functions import text as X
+from matchlake.catalog import load_all
+from matchlake.functions import numbers as N, text as X
 from matchlake.operators import athlete as A, calibration as K, model as M, registry as R, risk, stats as S, tags as TG
 from matchlake.sources import files, sinks
 
@@ -142,3 +144,23 @@ def test_override_with_null_wins(spark):
     p = spark.createDataFrame([(1, 5, 7), (1, 6, 8)], "video_id bigint, player_id bigint, jersey bigint")
     o = spark.createDataFrame([(1, 5, None)], "video_id bigint, player_id bigint, jersey bigint")
     assert sorted((r.player_id, r.jersey) for r in S.with_jersey_override(p, o).collect()) == [(5, None), (6, 8)]
+
+
+def test_sums_do_not_depend_on_the_order_of_rows(spark):
+    orders = [(0.05, 4.85, 0.1), (0.05, 0.1, 4.85), (4.85, 0.1, 0.05), (0.1, 0.2), (None, 0.1), (None, None), (1e300, 2.0, 3.0), (math.nan, 1.0, 2.0)]
+    data = spark.createDataFrame([(i, v) for i, o in enumerate(orders) for v in o], "k int, v double").coalesce(1)
+    got = {r["k"]: r["s"] for r in data.groupBy("k").agg(N.steady_sum("v").alias("s")).collect()}
+    assert math.isnan(got.pop(7)) and got == {0: 5.0, 1: 5.0, 2: 5.0, 3: 0.1 + 0.2, 4: 0.1, 5: None, 6: 1e300}
+
+
+def test_the_longest_player_of_equal_ones_has_the_lowest_id(spark, tmp_path):
+    # three rows of each player, the same numbers in another order: 4.999999999999999 for the first, 5 for the second
+    day = dt.datetime(1995, 3, 4)
+    quantities = {1: (1.0, 97.0, 2.0), 26: (1.0, 2.0, 97.0)}
+    orders = [(100 * c + i, c, "O", 1.0, day, "5-LOW") for c in quantities for i in range(3)]
+    items = [(100 * c + i, 1, 1, 1, q, 1.0, 0.0, 0.0, "N", "O", day) for c, own in quantities.items() for i, q in enumerate(own)]
+    write = lambda r, schema, name: spark.createDataFrame(r, schema).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    write(orders, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string", "orders")
+    write(items, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz", "lineitem")
+    got = load_all()["squad_summary"](spark, str(tmp_path)).collect()
+    assert [(r["players"], r["longest_player"]) for r in got] == [(2, 1)]
