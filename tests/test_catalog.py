@@ -56,3 +56,17 @@ def test_stream_equals_batch(spark, live, batch):
         for c in cols:
             u, v = x[k][c], r[c]
             assert u == v or (isinstance(u, float) and abs(u - v) < 1e-6) or (u != u and v != v), (k, c, u, v)
+
+
+def test_ingested_totals_follow_the_stored_values(spark):
+    stored = {}
+    for r in entry.queries()["ingested_metrics"](spark, SF).collect():
+        stored.setdefault(r["metric_key"], []).append(r)
+    got = {r["metric_key"]: r for r in entry.queries()["ingested_totals"](spark, SF).collect()}
+    assert set(got) == set(stored)
+    for key, rows in stored.items():
+        values = [r["value"] for r in rows if r["value"] is not None]
+        assert (got[key]["rows"], got[key]["measured"], got[key]["highest"]) == (len(rows), len(values), max(values))
+        assert got[key]["on_roster"] == sum(r["player_key"].startswith("id:") for r in rows)
+        assert got[key]["total"] == pytest.approx(sum(values), abs=1e-6)
+    test_matches_oracle(spark, "ingested_totals")
