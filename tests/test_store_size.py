@@ -40,3 +40,13 @@ def test_old_rows_of_few_buckets_at_a_time_lie_beside_the_new_ones(spark, tmp_pa
     assert rows(spark.read.parquet(path), "player_id", "v") == sorted([(i, -1) for i in range(40)] + [(i, i) for i in range(41, 200)])
     assert 0 < max(beside) <= 2
     assert {p.name.split("=")[0] for p in (tmp_path / "p").iterdir()} == {"player_bucket"}
+
+
+def test_a_snapshot_is_stored_without_the_spare_bits_of_base64(spark, tmp_path):
+    from matchlake.sources.snapshots import Replace, commit, snapshot
+
+    rows_ = spark.range(2000).select(F.col("id").alias("player_id"), F.base64(F.unhex(F.sha2(F.col("id").cast("string"), 512))).alias("t"))
+    store = commit(snapshot(spark, str(tmp_path)), {"t": Replace(rows_, "player_id")}, buckets=1)
+    assert store.read("t").count() == 2000
+    size = sum(p.stat().st_size for p in tmp_path.rglob("*.parquet"))
+    assert size < 2000 * (88 * 0.85 + 8)  # 88 characters for 64 bytes
