@@ -20,6 +20,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
+from ..plans.materialize import shuffles_removed
 from .sinks import CODEC
 
 
@@ -128,14 +129,16 @@ def _write(base: Snapshot, table: str, change: Replace, buckets: int) -> tuple[d
     bucket = _bucket(change.key, state["buckets"])
     place = f"data/{table}/{uuid.uuid4().hex}"
     # rebalance splits a bucket with very many rows over several tasks and files
-    shape(change.rows.withColumn("__bucket", bucket).hint("rebalance", "__bucket")).write.option("compression", CODEC).partitionBy("__bucket").parquet(f"{base.root}/{place}")
+    with shuffles_removed(spark):
+        shape(change.rows.withColumn("__bucket", bucket).hint("rebalance", "__bucket")).write.option("compression", CODEC).partitionBy("__bucket").parquet(f"{base.root}/{place}")
     who = (spark.read.schema(stored).parquet(f"{base.root}/{place}") if change.keys is None else change.keys).select(change.key).distinct()
     touched = sorted(r[0] for r in who.select(bucket.alias("b")).distinct().collect())
     if any(str(b) in state["folders"] for b in touched):
         gone = who.select(F.col(change.key).alias("__gone"))
         old = base.read(table, touched).join(gone, F.col(change.key).eqNullSafe(F.col("__gone")), "left_anti")
         # what stays comes from folders by bucket, so it is not shuffled again
-        old.withColumn("__bucket", bucket).write.option("compression", CODEC).mode("append").partitionBy("__bucket").parquet(f"{base.root}/{place}")
+        with shuffles_removed(spark):
+            old.withColumn("__bucket", bucket).write.option("compression", CODEC).mode("append").partitionBy("__bucket").parquet(f"{base.root}/{place}")
     made = [s.getPath().getName() for s in _names(spark, f"{base.root}/{place}") if s.isDirectory()]
     folders = {str(b): f for b, f in state["folders"].items() if int(b) not in touched}
     folders |= {n.removeprefix("__bucket="): f"{place}/{n}" for n in made}
